@@ -1,0 +1,6 @@
+"""Intentionally empty: the workload is batch only.
+
+There is no watermark, window over arrival time or stateful operator to
+express.  Date windows around a target day are plain range predicates and live
+in :mod:`marshgrid.operators.catalog`.
+"""
