@@ -140,9 +140,9 @@ def priors(spark, sf):
 # --- mosaic ---------------------------------------------------------------------
 
 MOSAIC = f"""WITH {S.MASKED}, {S.FRAME}, sd AS ({B.SCENE_DIM}),
- rk AS (SELECT scene, row_number() OVER (ORDER BY cloud ASC NULLS LAST, acq_day) AS k FROM sd),
- win AS (SELECT m.*, rk.k FROM m JOIN rk USING (scene) WHERE valid
-         QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY rk.k) = 1),
+ srk AS (SELECT scene, row_number() OVER (ORDER BY cloud ASC NULLS LAST, acq_day) AS k FROM sd),
+ win AS (SELECT m.*, srk.k FROM m JOIN srk USING (scene) WHERE valid
+         QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY srk.k) = 1),
  hist AS (SELECT k, count(*) AS px FROM win GROUP BY k),
  cum AS (SELECT k, px, sum(px) OVER (ORDER BY k) / (SELECT hh * ww FROM fr) AS cov FROM hist),
  cut AS (SELECT coalesce(min(CASE WHEN cov >= 0.75 THEN k END), max(k)) AS last FROM cum)"""
@@ -358,7 +358,7 @@ def d13_tiles(spark, sf):
                     rr("review_density"), rr(F.col("review_px") / float(SIZE * SIZE), alias="review_fraction"))
 
 
-@query("d14_reed_support", f"""WITH {S.TALLY} SELECT scene, CAST(sum(label_3) AS BIGINT) AS reed_px, sum(label_3) >= 500 AS sufficient
+@query("d14_reed_support", f"""WITH {S.TALLY} SELECT scene, CAST(sum(mask_3) AS BIGINT) AS reed_px, sum(mask_3) >= 500 AS sufficient
   FROM ta GROUP BY scene""")
 def d14(spark, sf):
     return T.reed_support(tallies(spark, sf), ["scene"])
@@ -424,3 +424,23 @@ def b14(spark, sf):
 def b18(spark, sf):
     px = R.reflectance(B.px_masked(spark, sf), BANDS)
     return T.extract_tile(px, 40, 24, 32).select("row", "col", "scene", rr("b08"))
+
+
+FLAGSHIP = MOSAIC + f""", kept AS (SELECT r, c, 0 AS scene, true AS valid, {', '.join(f'd{b[1:]}' for b in BANDS)}
+   FROM win WHERE k <= (SELECT last FROM cut)),
+ m2 AS (SELECT * FROM kept), rf AS (SELECT r, c, scene, valid, {', '.join(f'd{b[1:]} * 1e-4 AS {b}' for b in BANDS)} FROM m2),
+ ix AS (SELECT *, {S.nd('b08', 'b04')} AS ndvi, {S.nd('b03', 'b08')} AS ndwi, {S.nd('b08', 'b05')} AS ndre,
+   {S.nd('b08', 'b11')} AS ndmi FROM rf) {S.scores()} {S.LABEL_TAIL.replace('FROM m LEFT', 'FROM kept m LEFT')}
+ SELECT count(*) FILTER (WHERE usable) AS usable_px, count(*) FILTER (WHERE trainable) AS trainable_px,
+  count(*) FILTER (WHERE review) AS review_px, {r('avg(conf)', 4)} AS mean_confidence,
+  """ + ", ".join(f"count(*) FILTER (WHERE label = {c}) AS class_{c}_px" for c in range(4)) + " FROM lab"
+
+
+@query("flagship_composite_labels", FLAGSHIP)
+def flagship(spark, sf):
+    """Composite the observations, label every pixel, report the classes."""
+    from marshgrid.plans.composite import composite
+    comp = composite(B.px_obs(spark, sf), B.scene_dim(spark, sf), B.frame(spark, sf), BANDS, [], 0.75)
+    out = L.label_statistics(L.weak_label(comp), [])
+    return out.select("usable_px", "trainable_px", "review_px", "mean_confidence",
+                      *[f"class_{c}_px" for c in range(4)])

@@ -93,8 +93,9 @@ COLOUR_ANCHORS = {
 DEFAULT_ANCHORS = [(0.0, (0, 0, 60)), (0.5, (120, 120, 120)), (1.0, (255, 255, 255))]
 LUT_SIZE = 512
 
-# --- fixed values: map colours per class, review colours, ignored and nodata greys
+# --- fixed values: chip and figure colours per class, review colours, ignored and nodata greys
 CLASS_COLOURS = {0: (58, 110, 165), 1: (196, 160, 90), 2: (150, 130, 170), 3: (60, 150, 80)}
+FIGURE_COLOURS = {0: (40, 78, 122), 1: (196, 175, 130), 2: (110, 190, 120), 3: (232, 56, 140)}
 REVIEW_COLOURS = {0: (70, 70, 70), 1: (230, 120, 40)}
 IGNORED_COLOUR = (86, 94, 108)
 NODATA_COLOUR = (16, 20, 32)

@@ -30,47 +30,82 @@ _DELTA = (2 * _N - 2 * _N ** 2 / 3 - 2 * _N ** 3,
           56 * _N ** 3 / 15)
 
 
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``v`` bound to ``value``, which is then evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _atanh(x: Column) -> Column:
     return 0.5 * F.log((1 + x) / (1 - x))
 
 
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
 def utm_zone(epsg: Column) -> tuple[Column, Column]:
     """Central meridian in degrees and false northing of a UTM EPSG code."""
     zone = F.pmod(epsg, F.lit(100))
     return zone * 6 - 183, F.when(F.floor(epsg / 100) == 327, F.lit(FALSE_NORTH)).otherwise(F.lit(0.0))
 
 
+def project_point(lon: Column, lat: Column, epsg: Column) -> Column:
+    """``struct<x,y>`` in metres.
+
+    Each intermediate is bound once; spelled out, the series would repeat the
+    latitude terms dozens of times.
+    """
+    meridian, north0 = utm_zone(epsg)
+
+    def conformal(s):
+        return _point(F.radians(lon - meridian), F.sinh(_atanh(s) - _E * _atanh(_E * s)))
+
+    def sphere(v):
+        return _point(F.atan2(v["y"], F.cos(v["x"])), _atanh(F.sin(v["x"]) / F.sqrt(1 + v["y"] * v["y"])))
+
+    def series(v):
+        xi, eta = v["x"], v["y"]
+        east, north = eta, xi
+        for j, a in enumerate(_ALPHA, start=1):
+            east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return _point(FALSE_EAST + K0 * _RADIUS * east, north0 + K0 * _RADIUS * north)
+
+    return let(let(let(F.sin(F.radians(lat)), conformal), sphere), series)
+
+
+def unproject_point(x: Column, y: Column, epsg: Column) -> Column:
+    """``struct<x,y>`` of longitude and latitude in degrees."""
+    meridian, north0 = utm_zone(epsg)
+
+    def sphere(v):
+        xi, eta = v["x"], v["y"]
+        xi1, eta1 = xi, eta
+        for j, b in enumerate(_BETA, start=1):
+            xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return _point(xi1, eta1)
+
+    def degrees(v):
+        lon = F.radians(meridian.cast("double")) + F.atan2(F.sinh(v["y"]), F.cos(v["x"]))
+        chi = F.asin(F.sin(v["x"]) / F.cosh(v["y"]))
+        return let(chi, lambda c: _point(F.degrees(lon), F.degrees(
+            c + sum((d * F.sin(2 * j * c) for j, d in enumerate(_DELTA, start=1)), F.lit(0.0)))))
+
+    start = _point((y - north0) / (K0 * _RADIUS), (x - FALSE_EAST) / (K0 * _RADIUS))
+    return let(let(start, sphere), degrees)
+
+
 def project_utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
     """Easting and northing in metres."""
-    meridian, north0 = utm_zone(epsg)
-    phi, lam = F.radians(lat), F.radians(lon - meridian)
-    s = F.sin(phi)
-    t = F.sinh(_atanh(s) - _E * _atanh(_E * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = _atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east = eta
-    north = xi
-    for j, a in enumerate(_ALPHA, start=1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return FALSE_EAST + K0 * _RADIUS * east, north0 + K0 * _RADIUS * north
+    p = project_point(lon, lat, epsg)
+    return p["x"], p["y"]
 
 
 def unproject_utm(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
     """Longitude and latitude in degrees."""
-    meridian, north0 = utm_zone(epsg)
-    xi = (y - north0) / (K0 * _RADIUS)
-    eta = (x - FALSE_EAST) / (K0 * _RADIUS)
-    xi1, eta1 = xi, eta
-    for j, b in enumerate(_BETA, start=1):
-        xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
-    for j, d in enumerate(_DELTA, start=1):
-        lat = lat + d * F.sin(2 * j * chi)
-    lon = F.radians(meridian.cast("double")) + F.atan2(F.sinh(eta1), F.cos(xi1))
-    return F.degrees(lon), F.degrees(lat)
+    p = unproject_point(x, y, epsg)
+    return p["x"], p["y"]
 
 
 def epsg_of(crs: Column) -> Column:
@@ -84,10 +119,14 @@ def is_utm(epsg: Column) -> Column:
 
 def hull_of_corners(west: Column, south: Column, east: Column, north: Column, epsg: Column) -> Column:
     """Projected envelope of a lon/lat box, from its four corners."""
-    pts = [project_utm(x, y, epsg) for x in (west, east) for y in (south, north)]
-    xs, ys = [p[0] for p in pts], [p[1] for p in pts]
-    return F.struct(F.least(*xs).alias("west"), F.least(*ys).alias("south"),
-                    F.greatest(*xs).alias("east"), F.greatest(*ys).alias("north"))
+    corners = F.array(*[project_point(x, y, epsg) for x in (west, east) for y in (south, north)])
+
+    def envelope(pts):
+        xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+        return F.struct(F.array_min(xs).alias("west"), F.array_min(ys).alias("south"),
+                        F.array_max(xs).alias("east"), F.array_max(ys).alias("north"))
+
+    return let(corners, envelope)
 
 
 def snap_bounds(box: Column, gsd: Column) -> Column:
@@ -128,34 +167,36 @@ def tile_corners(grid: Column, row: Column, col: Column, size, epsg: Column) ->
     for dr, dc in ((0, 0), (0, 1), (1, 1), (1, 0)):
         x = grid["x0"] + (col + size * dc) * grid["gsd"]
         y = grid["y0"] - (row + size * dr) * grid["gsd"]
-        lon, lat = unproject_utm(x, y, epsg)
-        points.append(F.array(F.round(lon, 7), F.round(lat, 7)))
-    return F.array(*points)
+        points.append(unproject_point(x, y, epsg))
+    return F.transform(F.array(*points), lambda p: F.array(F.round(p["x"], 7), F.round(p["y"], 7)))
 
 
 def ring_area(ring: Column) -> Column:
     """Unsigned planar area of a ring of ``struct<x,y>`` (closed or open), by shoelace."""
-    nxt = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    terms = F.zip_with(ring, nxt, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    return F.when(F.size(ring) >= 3,
-                  F.abs(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)) / 2).otherwise(
-        F.when(ring.isNotNull(), F.lit(0.0)))
+    def shoelace(r):
+        terms = F.zip_with(r, next_points(r), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+        return F.abs(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)) / 2
+    return let(ring, lambda r: F.when(F.size(r) >= 3, shoelace(r)).when(r.isNotNull(), F.lit(0.0)))
+
+
+def next_points(r: Column) -> Column:
+    """The ring rotated by one vertex."""
+    return F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
 
 
 def project_ring(ring: Column, epsg: Column) -> Column:
-    def move(p):
-        x, y = project_utm(p["x"], p["y"], epsg)
-        return F.struct(x.alias("x"), y.alias("y"))
-    return F.transform(ring, move)
+    return F.transform(ring, lambda p: project_point(p["x"], p["y"], epsg))
 
 
 def polygon_area_m2(rings: Column, epsg: Column) -> Column:
     """Area of a lon/lat polygon (outer ring, then holes) in the area's projected CRS."""
     areas = F.transform(rings, lambda r: ring_area(project_ring(r, epsg)))
-    outer = F.try_element_at(areas, F.lit(1))
-    holes = F.aggregate(F.slice(areas, F.lit(2), F.greatest(F.size(areas) - 1, F.lit(0))),
-                        F.lit(0.0), lambda acc, a: acc + a)
-    return outer - holes
+
+    def net(a):
+        holes = F.aggregate(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.lit(0.0), lambda acc, x: acc + x)
+        return F.try_element_at(a, F.lit(1)) - holes
+
+    return let(areas, net)
 
 
 def bbox_ring(west: Column, south: Column, east: Column, north: Column) -> Column:

@@ -264,8 +264,8 @@ def tile_review_density(tallies: DataFrame) -> DataFrame:
 
 
 def reed_support(tallies: DataFrame, by: list[str]) -> DataFrame:
-    """Reed pixels per group of tiles and whether they suffice to measure an IoU."""
-    return tallies.groupBy(*by).agg(F.sum(f"label_{C.REED}_px").alias("reed_px")) \
+    """Reed pixels of the gated mask per group of tiles and whether they suffice to measure an IoU."""
+    return tallies.groupBy(*by).agg(F.sum(f"mask_{C.REED}_px").alias("reed_px")) \
                   .withColumn("sufficient", F.col("reed_px") >= C.MIN_REED_PIXELS)
 
 

@@ -1,11 +1,11 @@
-"""Composite, label and summarise: the flagship plan."""
+"""Composites: mosaic, reflectance and indices in one plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marshgrid.operators import labels, raster
+from marshgrid.operators import raster
 
 
 def composite(px: DataFrame, scenes: DataFrame, frame: DataFrame, bands: list[str], by: list[str],
@@ -37,10 +37,3 @@ def composite_summary(comp: DataFrame, scenes: DataFrame, frame: DataFrame, by:
                          F.filter(F.array(F.when(share < 0.5, F.lit("coverage below one half"))),
                                   lambda w: w.isNotNull()).alias("warnings"))
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Composite the observations of a folder, label every pixel, report the classes."""
-    from harness import bindings as B
-    comp = composite(B.px_obs(spark, sf_dir), B.scene_dim(spark, sf_dir), B.frame(spark, sf_dir),
-                     B.BANDS5, [], 0.75)
-    return labels.label_statistics(labels.weak_label(comp), [])
