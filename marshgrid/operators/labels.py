@@ -39,13 +39,16 @@ def weak_label(px: DataFrame, drop_ambiguous: bool = True) -> DataFrame:
         if f"prior_{c}" in px.columns:
             bonus = F.coalesce(F.col(f"prior_{c}"), F.lit(0.0))
             scores[c] = P.clip(scores[c] + bonus)
-    keep = [c for c in px.columns if not c.startswith("prior_")]
-    # A score is NULL exactly when an index is, so ``usable`` is stated on the indices:
-    # a filter on it then reaches the scan without dragging the scores along.
+    keep = [c for c in px.columns if not c.startswith("prior_") and c != "usable"]
+    # A score is NULL exactly when an index is.
     usable = P.known(ndvi, ndwi, ndre, ndmi)
     if "valid" in px.columns:
         usable = F.coalesce(F.col("valid"), F.lit(False)) & usable
-    named = px.select(*keep, usable.alias("usable"), *[s.alias(f"_s{i}") for i, s in enumerate(scores)])
+    # ``inline`` turns the scores into generated columns.  Later filters on a label then
+    # stop here instead of being rewritten in terms of the bands, where the rule engine
+    # would be spelled out once per comparison.
+    named = px.select(*keep, F.inline(F.array(F.struct(
+        usable.alias("usable"), *[s.alias(f"_s{i}") for i, s in enumerate(scores)]))))
     s = [F.col(f"_s{i}") for i in range(4)]
     ranked = named.select(*keep, "usable", *s, F.greatest(*s).alias("_top"),
                           F.greatest(F.least(s[0], s[1]), F.least(s[2], s[3]),
