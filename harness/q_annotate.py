@@ -21,6 +21,7 @@ from marshgrid.operators import resample as Z
 from marshgrid.operators import split as Sp
 from marshgrid.operators import tiles as T
 from marshgrid.operators.labels import weak_label
+from marshgrid.session import materialise
 
 N = len(C.CLASS_NAMES)
 
@@ -299,13 +300,13 @@ def _ramp_sql(i: int) -> str:
 @query("b19_colormap_pixels", f"""WITH {S.INDICES}, lut AS (SELECT slot, {', '.join(f'{_ramp_sql(i)} AS {n}' for i, n in enumerate(V.CHANNELS))}
    FROM (SELECT CAST(i AS INT) AS slot, i / 511.0::DOUBLE AS x FROM (SELECT unnest(range(0, 512)) AS i)))
   SELECT {PIX}, red, green, blue, CASE WHEN ndvi IS NULL THEN 0 ELSE 255 END AS alpha FROM ix
-  JOIN lut ON slot = coalesce(CAST(floor(greatest(0.0, least(1.0, (ndvi - {_LO}) / ({_HI - _LO}))) * 511) AS INT), 0)""")
+  JOIN lut ON slot = coalesce(CAST(floor(({S.clip(f'(ndvi - {_LO}) / ({_HI - _LO})')}) * 511) AS INT), 0)""")
 def b19(spark, sf):
     return V.colormap_pixels(B.px_indices(spark, sf), "ndvi").select("row", "col", "scene", *V.CHANNELS, "alpha")
 
 
 @query("b20_truecolor_pixels", f"""WITH {S.REFL} SELECT {PIX}, """ + ", ".join(
-    f"coalesce(CAST(floor(least(1.0, greatest(0.0, least(1.0, ({b} - 0.0) / 0.25)) * 1.35) * 255) AS INT), 0) AS {n}"
+    f"coalesce(CAST(floor(CASE WHEN {b} IS NOT NULL THEN least(1.0, least(1.0, {b} / 0.25) * 1.35) END * 255) AS INT), 0) AS {n}"
     for n, b in zip(V.CHANNELS, ("b04", "b03", "b04"))) + ", CASE WHEN valid THEN 255 ELSE 0 END AS alpha FROM rf")
 def b20(spark, sf):
     px = R.reflectance(B.px_masked(spark, sf), BANDS).withColumn("b02", F.col("b04"))
@@ -337,10 +338,10 @@ def c12_nearest(spark, sf):
 
 @query("c12_resample_bilinear", f"""WITH {S.REFL}, {S.FRAME}, k AS (SELECT * FROM (VALUES (-1, 0.25::DOUBLE), (0, 0.75::DOUBLE), (1, 0.75::DOUBLE), (2, 0.25::DOUBLE)) t(d, w)),
   s AS (SELECT r * 2 + a.d AS tr, c * 2 + b.d AS tc, scene, b08, a.w * b.w AS w FROM rf, k a, k b)
-  SELECT CAST(tr AS INT) AS "row", CAST(tc AS INT) AS col, scene, {r('sum(w * b08) / sum(CASE WHEN b08 IS NOT NULL THEN w END)')} AS b08
+  SELECT CAST(tr AS INT) AS "row", CAST(tc AS INT) AS col, scene, {r('sum(w * b08) / sum(CASE WHEN b08 IS NOT NULL THEN w END)', 9)} AS b08
   FROM s, fr WHERE tr >= 0 AND tr < hh * 2 AND tc >= 0 AND tc < ww * 2 GROUP BY tr, tc, scene""")
 def c12_bilinear(spark, sf):
-    return Z.upsample(half_grid(spark, sf), ["b08"], 2, "bilinear", ["scene"]).withColumn("b08", rr("b08"))
+    return Z.upsample(half_grid(spark, sf), ["b08"], 2, "bilinear", ["scene"]).withColumn("b08", rr("b08", 9))
 
 
 @query("c12_resample_cubic")
@@ -411,7 +412,7 @@ def b17(spark, sf):
 def training_data(spark, sf):
     px = B.labelled(spark, sf)
     fp = footprints(spark, sf)
-    tiles = Sp.geographic_split(fp, [], 16, seed=1)
+    tiles = materialise(Sp.geographic_split(fp, [], 16, seed=1))
     return px, tiles, tallies(spark, sf)
 
 
@@ -445,7 +446,7 @@ def k3(spark, sf):
    SELECT concat(s.scene, '/r', ty.k * 16, '_c', tx.k * 16) AS key FROM (SELECT DISTINCT scene FROM px) s, fr,
     (SELECT unnest(range(0, 100000)) AS k) ty, (SELECT unnest(range(0, 8)) AS k) tx WHERE ty.k * 16 + 32 <= fr.hh AND tx.k * 16 + 32 <= fr.ww)""")
 def k4(spark, sf):
-    _, tiles, _ = training_data(spark, sf)
+    tiles = Sp.geographic_split(footprints(spark, sf), [], 16, seed=1)
     return K.provenance(tiles).agg(F.count(F.lit(1)).alias("tiles"), F.countDistinct("key").alias("keys"))
 
 

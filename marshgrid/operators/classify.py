@@ -22,6 +22,7 @@ from marshgrid.operators import metrics as M
 from marshgrid.operators import split as Sp
 from marshgrid.operators import tiles as T
 from marshgrid.operators.scale import with_scalar
+from marshgrid.session import materialise
 
 
 @dataclass(frozen=True)
@@ -56,15 +57,17 @@ def train_pixel_classifier(px: DataFrame, tiles: DataFrame, tallies: DataFrame,
                            max_iter: int = 50) -> PixelModel:
     """Fit a four-class model on the train split only.
 
-    ``tiles`` is (by..., top, left, key, split); ``px`` holds the bands with label,
+    ``tiles`` is (by..., top, left, key, split), written or checkpointed beforehand so
+    that every step reads one split; ``px`` holds the bands with label,
     usable and trainable.  Statistics and class weights come from train tiles alone.
     The optimiser starts from zero and sums gradients over all executors, so a run
     needs no seed beyond the split's.
     """
     train = tiles.where(F.col("split") == "train")
     tile_key = [*by, "top", "left"]
-    stats = T.band_statistics(px, train, bands, by, size, stride, sample_limit)
-    weights = T.class_weights(T.class_balance(tallies, train, tile_key), scheme)
+    # A handful of rows each, kept with the model: computed once, not per use.
+    stats = materialise(T.band_statistics(px, train, bands, by, size, stride, sample_limit))
+    weights = materialise(T.class_weights(T.class_balance(tallies, train, tile_key), scheme))
     seen = covered_pixels(px.where("trainable"), train.select(*tile_key), by, size, stride)
     scaled = T.standardise_bands(seen, stats, bands)
     # Four rows of weights.
