@@ -63,6 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Spread a one-file table over the cores before costly per-row work, as many files would be."""
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run a binding with its tables passed as DataFrames, so no global view is left behind."""
     text = sql

@@ -248,7 +248,7 @@ def label_documents(spark, sf):
                        F.when(k % 2 == 1, "crops_soil").alias("class"))
     doc = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(
         feature(box(x, y, x + 8, y + 6), by_code), feature(box(x + 4, y + 3, x + 10, y + 9), by_name)).alias("features")))
-    return B.table(spark, sf, "orders").select(k.alias("key"), doc.alias("document"))
+    return B.spread(spark, B.table(spark, sf, "orders"), "o_orderkey").select(k.alias("key"), doc.alias("document"))
 
 
 @query("a8_parse_annotations", """SELECT o_orderkey AS key, f AS feature_pos, CASE WHEN f = 0 THEN CAST(o_orderkey % 3 AS INT)

@@ -52,7 +52,7 @@ def stac_items(spark, sf):
         F.when(o % 7 != 0, (o % 1000) / 10.0).alias("eo:cloud_cover"), F.when(o % 2 == 0, 32636).alias("proj:epsg"),
         F.when(o % 2 == 1, "EPSG:32635").alias("proj:code"), F.when(o % 4 == 0, "MGRS-36RUV").alias("grid:code"),
         F.lit("36RTV").alias("s2:mgrs_tile"))
-    return B.table(spark, sf, "orders").select(F.to_json(F.struct(
+    return B.spread(spark, B.table(spark, sf, "orders"), "o_orderkey").select(F.to_json(F.struct(
         o.cast("string").alias("id"), F.lit("sentinel-2-l2a").alias("collection"),
         F.when(o % 5 != 0, F.array(west, south, west + 1, south + 1)).alias("bbox"),
         F.when(o % 10 != 0, F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))).alias("geometry"),
@@ -93,7 +93,7 @@ def odata_products(spark, sf):
     attrs = F.array(F.struct(F.lit("orbit").alias("Name"), F.lit("64").alias("Value")),
                     F.struct(F.when(o % 7 != 0, "cloudCover").otherwise("other").alias("Name"),
                              ((o % 1000) / 10.0).cast("string").alias("Value")))
-    return B.table(spark, sf, "orders").select(F.to_json(F.struct(
+    return B.spread(spark, B.table(spark, sf, "orders"), "o_orderkey").select(F.to_json(F.struct(
         F.when(o % 13 != 0, o.cast("string")).alias("Id"), name.alias("Name"),
         F.struct(F.when(o % 17 != 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T08:30:00.000Z")))
                  .alias("Start")).alias("ContentDate"),
@@ -272,7 +272,7 @@ def h25(spark, sf):
 # --- grids over scene boxes -----------------------------------------------------------
 
 def scene_boxes(spark, sf):
-    s = scenes(spark, sf)
+    s = B.spread(spark, scenes(spark, sf), "id")
     return s.select("id", "bbox", F.lit("EPSG:32636").alias("crs"))
 
 

@@ -114,7 +114,7 @@ def _logistic(t, k, r, t0):
     return k / (1.0 + np.exp(-np.clip(r * (t - t0), -500, 500)))
 
 
-def _least_squares(t, n, s, ss, start, lo, hi, steps=500):
+def _least_squares(t, n, s, ss, start, lo, hi, steps=200):
     """Box-bounded Levenberg-Marquardt on daily sums; returns (params, sse, converged)."""
     def sse(p):
         f = _logistic(t, *p)
@@ -138,14 +138,14 @@ def _least_squares(t, n, s, ss, start, lo, hi, steps=500):
         trial = np.clip(p + step, lo, hi)
         value = sse(trial)
         if value < best:
-            small = best - value <= 1e-12 * (abs(best) + 1e-300)
+            small = best - value <= 1e-10 * (abs(best) + 1e-300)
             p, best, damp = trial, value, max(damp / 5, 1e-12)
             done = done or small
             if small:
                 return p, best, True
         else:
             damp *= 4
-            if damp > 1e12:
+            if damp > 1e10:
                 return p, best, True
     return p, best, done
 
@@ -198,7 +198,10 @@ def fit_growth_curves(observations: DataFrame, by: list[str]) -> DataFrame:
     schema = ", ".join([f"{b} {kinds[b]}" for b in by] + [
         "origin date", "n_observations long", "proxy_kind string", "k double", "r double", "t0 double",
         "r_squared double", "converged boolean", "note string"])
-    return daily_sums(observations, by).groupBy(*by).applyInPandas(fit, schema)
+    # The rows are few but each group costs solver time: a fixed partition count keeps the
+    # groups spread, where size-based coalescing would pack them into one task.
+    parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return daily_sums(observations, by).repartition(parts, *by).groupBy(*by).applyInPandas(fit, schema)
 
 
 def harvest_windows(observations: DataFrame, by: list[str], season_year: Column | None = None, lead_days: int = 14,

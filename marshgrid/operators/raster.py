@@ -187,22 +187,17 @@ def unpivot(px: DataFrame, by: list[str], columns: list[str], name: str = "name"
 
 def reflectance_check(px: DataFrame, bands: list[str], frame: DataFrame, by: list[str]) -> DataFrame:
     """Plausibility of the reflectance of every composite, with the two warnings."""
-    values = unpivot(px, by, bands)
-    stats = exact_percentiles(values, by, "value", [0.5], ["median"])
-    negative = values.groupBy(*by).agg(
-        F.coalesce(F.avg(F.when(F.col("value").isNotNull(), (F.col("value") < 0).cast("double"))),
-                   F.lit(0.0)).alias("negative_fraction"))
+    stats = exact_percentiles(unpivot(px, by, bands), by, "value", [0.5], ["median"], quantised=True)
     cover = coverage(px, frame, by).select(*by, "coverage")
-    if by:
-        base = frame.select(*by).join(negative, by, "left").join(stats, by, "left").join(cover, by, "left")
-    else:
-        base = with_scalar(with_scalar(negative, stats), cover)
+    base = cover.join(stats, by, "left") if by else with_scalar(cover, stats)
+    share = F.coalesce(F.col("negatives") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
+    base = base.withColumn("negative_fraction", share)
     return base.select(
         *by, F.coalesce("n", F.lit(0)).alias("n"),
-        F.coalesce("negative_fraction", F.lit(0.0)).alias("negative_fraction"),
+        "negative_fraction",
         F.col("vmin").alias("min"), "median", F.col("vmax").alias("max"),
         F.when(F.col("n") > 0, F.col("coverage")).alias("coverage"),
-        (F.coalesce("negative_fraction", F.lit(0.0)) > C.MAX_NEGATIVE_FRACTION).alias("too_negative"),
+        (F.col("negative_fraction") > C.MAX_NEGATIVE_FRACTION).alias("too_negative"),
         F.coalesce(F.col("vmax") > C.MAX_PHYSICAL_REFLECTANCE, F.lit(False)).alias("too_bright"))
 
 
@@ -251,8 +246,8 @@ def index_histogram(px: DataFrame, index: str, by: list[str], bins: int = 40) ->
 
 def percentile_stretch(px: DataFrame, band: str, by: list[str], low: float = 2.0, high: float = 98.0,
                        out: str = "stretched") -> DataFrame:
-    """Rescale a band to 0..1 between two percentiles of its composite; zero when flat."""
-    q = exact_percentiles(px, by, band, [low / 100, high / 100], ["_lo", "_hi"]).select(*by, "_lo", "_hi")
+    """Rescale a reflectance band to 0..1 between two percentiles of its composite; zero when flat."""
+    q = exact_percentiles(px, by, band, [low / 100, high / 100], ["_lo", "_hi"], quantised=True).select(*by, "_lo", "_hi")
     joined = px.join(q, by, "left") if by else with_scalar(px, q, ["_lo", "_hi"])
     span = F.col("_hi") - F.col("_lo")
     value = F.when(F.coalesce(span, F.lit(0.0)) <= 0, F.lit(0.0)).otherwise(

@@ -65,8 +65,11 @@ def _null_safe(left: str, right: str, keys: list[str]) -> Column:
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                      names: list[str], accuracy: int = 10000) -> DataFrame:
-    """Linear-interpolation percentiles per group, with count, minimum and maximum.
+                      names: list[str], accuracy: int = 10000, quantised: bool = False) -> DataFrame:
+    """Linear-interpolation percentiles per group, with count, minimum, maximum and negatives.
+
+    ``quantised`` says the values come from stored 16-bit integers.  A group then has at
+    most 65,536 distinct values, and one pass that counts each value is enough.
 
     ``percentile`` keeps every distinct value of a group in one task.  Here a
     sketch gives a bracket guaranteed to hold each requested order statistic; one
@@ -75,17 +78,19 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: list[floa
     ordered.  NULLs are skipped; a group without values yields no row.
     """
     data = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if quantised:
+        return _percentiles_of_counts(data, by, probs, names)
     slack = 5.0 / accuracy
     lows = [max(0.0, p - slack) for p in probs]
     highs = [min(1.0, p + slack) for p in probs]
     sketch = data.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("vmin"), F.max("_v").alias("vmax"),
-        F.percentile_approx("_v", lows + highs, accuracy).alias("_q"))
+        F.count_if(F.col("_v") < 0).alias("negatives"), F.percentile_approx("_v", lows + highs, accuracy).alias("_q"))
     k = len(probs)
     # A requested end (p near 0 or 1) uses the true extreme as its bracket edge.
     lo = [F.col("vmin") if lows[i] == 0.0 else F.col("_q")[i] for i in range(k)]
     hi = [F.col("vmax") if highs[i] == 1.0 else F.col("_q")[k + i] for i in range(k)]
-    bounds = sketch.select(*by, "n", "vmin", "vmax", F.array(*[
+    bounds = sketch.select(*by, "n", "vmin", "vmax", "negatives", F.array(*[
         F.struct(F.lit(i).alias("i"), lo[i].alias("lo"), hi[i].alias("hi")) for i in range(k)]).alias("_b"))
 
     if by:
@@ -119,8 +124,29 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: list[floa
     value_at = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
     wide = picked.groupBy(*by).agg(*[
         F.max(F.when(F.col("_i") == i, value_at)).alias(names[i]) for i in range(k)])
-    head = bounds.select(*by, "n", "vmin", "vmax")
+    head = bounds.select(*by, "n", "vmin", "vmax", "negatives")
     if by:
         return head.alias("h").join(wide.alias("w"), _null_safe("h", "w", by)) \
                    .select("h.*", *[f"w.{n}" for n in names])
     return with_scalar(head.where(F.col("n") > 0), wide, names)
+
+
+def _percentiles_of_counts(data: DataFrame, by: list[str], probs: list[float], names: list[str]) -> DataFrame:
+    tally = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by)
+    run = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = tally.select(*by, "_v", "_c", F.sum("_c").over(run).alias("_cum"), F.sum("_c").over(group).alias("n"))
+
+    def stat(p, rounding):
+        # The k-th order statistic (0-based) is the first value whose running count exceeds k.
+        return F.min(F.when(F.col("_cum") > rounding(F.lit(float(p)) * (F.col("n") - 1)), F.col("_v")))
+
+    aggs = [F.max("n").alias("n"), F.min("_v").alias("vmin"), F.max("_v").alias("vmax"),
+            F.coalesce(F.sum(F.when(F.col("_v") < 0, F.col("_c"))), F.lit(0)).alias("negatives")]
+    for i, p in enumerate(probs):
+        aggs += [stat(p, F.floor).alias(f"_a{i}"), stat(p, F.ceil).alias(f"_z{i}")]
+    out = cum.groupBy(*by).agg(*aggs).where(F.col("n") > 0)
+    def value(i, p):
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        return F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * (at - F.floor(at))
+    return out.select(*by, "n", "vmin", "vmax", "negatives", *[value(i, p).alias(names[i]) for i, p in enumerate(probs)])

@@ -80,7 +80,8 @@ def scenes_from_stac(items: DataFrame, json: str = "value") -> DataFrame:
     first = F.coalesce(*[F.when(d["scale"].isNotNull(), F.struct(
         d["scale"].alias("scale"), F.coalesce(d["offset"], F.lit(0.0)).alias("offset"))) for d in declared])
     code = F.regexp_extract(F.coalesce(p["proj:code"], F.lit("")), r"(?i)^EPSG:\s*(\d+)\s*$", 1).try_cast("int")
-    out = item.select(
+    # Generated columns again: the closing filter reads them instead of repeating them.
+    out = item.select(F.inline(F.array(F.struct(
         "id", F.to_timestamp(p["datetime"]).alias("acquired"),
         F.coalesce(_filled(p["platform"]), _filled(p["constellation"]), F.lit("unknown")).alias("platform"),
         p["eo:cloud_cover"].alias("cloud_cover"), box.alias("bbox"), F.map_from_entries(pairs).alias("assets"),
@@ -90,7 +91,7 @@ def scenes_from_stac(items: DataFrame, json: str = "value") -> DataFrame:
         F.coalesce(first["offset"], F.lit(C.DECLARED_OFFSET)).alias("offset"),
         F.lit(True).alias("remote_readable"), F.lit("stac").alias("source"),
         F.create_map(F.lit("collection"), F.col("collection"), F.lit("processing_baseline"),
-                     F.coalesce(_filled(p["processing:version"]), _filled(p["s2:processing_baseline"]))).alias("extra"))
+                     F.coalesce(_filled(p["processing:version"]), _filled(p["s2:processing_baseline"]))).alias("extra")))))
     return out.where((F.size("assets") > 0) & F.col("acquired").isNotNull() & F.col("bbox").isNotNull())
 
 
