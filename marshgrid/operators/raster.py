@@ -176,9 +176,13 @@ def coverage(px: DataFrame, frame: DataFrame, by: list[str], low: float = 0.5) -
 
 
 def with_indices(px: DataFrame, bands: list[str], requested=None) -> DataFrame:
-    """Append the requested spectral indices; those whose bands are absent are skipped."""
+    """Append the requested spectral indices; those whose bands are absent are skipped.
+
+    The indices are generated columns (``inline``): a later filter on one compares it
+    where it is, instead of being rewritten down to the stored integers.
+    """
     cols, _ = P.index_columns(bands, requested)
-    return px.select("*", *cols)
+    return px.select("*", F.inline(F.array(F.struct(*cols)))) if cols else px
 
 
 def unpivot(px: DataFrame, by: list[str], columns: list[str], name: str = "name") -> DataFrame:
