@@ -188,6 +188,13 @@ def windows(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
+def windows_of_rows(registers: np.ndarray, rows: int) -> np.ndarray:
+    """Hash of every run of ``rows`` neighbouring registers, by row (n x m / rows)."""
+    n, m = registers.shape
+    odd = stream(4243, m) | np.uint64(1)
+    return mix((registers * odd).reshape(n, m // rows, rows).sum(axis=2, dtype=np.uint64))
+
+
 def row_key(hashes: np.ndarray, seed: int) -> int:
     """Hash of a whole word sequence."""
     n = len(hashes)
