@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marshgrid.llm import oracle
 
@@ -38,3 +39,44 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marshgrid.llm.substring import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op2_source_mixing")
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of each document, next to its source's target."""
+    from marshgrid.llm.mixing import mix
+
+    per_document, _ = mix(_table(spark, sf_dir, "documents"))
+    return per_document.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of each document over verified links of similarity 0.8 or more."""
+    from marshgrid.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each whole text, and whether they decode to it."""
+    import public_tokenizers
+
+    from marshgrid.llm.sentencepiece import decode, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    read = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+                       F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files hold of each document, read back from them."""
+    import public_tokenizers
+
+    from marshgrid.llm.token_store import read_tokens, write_tokens
+
+    manifest = write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(manifest, with_ids=False)
