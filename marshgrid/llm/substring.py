@@ -10,7 +10,7 @@ a window exists in every copy of that window.
 1. Each window takes as anchor its longest such symbol.  Documents send their anchors.
 2. One aggregate finds the anchors that occur twice or more.  A window with any other
    anchor is unique and done.
-3. The rest (shared anchor, or no anchor, as inside long runs) send a 128-bit window hash;
+3. The rest (shared anchor, or no anchor, as inside long runs) send a 96-bit window hash;
    an aggregate finds the first place of each, a join flags every later one.
 
 Aggregates combine on the map side, and both joins may be split by adaptive execution, so a
@@ -29,8 +29,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marshgrid.llm import common as C
 
@@ -127,7 +128,7 @@ def _layout(counts: np.ndarray):
     return edge, np.repeat(np.arange(len(counts)), counts), np.repeat(edge[1:], counts)
 
 
-_PARSED = "doc_id long, tkey long, n_words long, k1 long, k2 long, kept_sha256 string, anchors array<long>, again array<long>"
+_PARSED = "doc_id long, tkey long, n_words long, k1 long, k2 long, anchors array<long>, again array<long>"
 
 
 def _parse_batches(window):
@@ -151,13 +152,11 @@ def _parse_batches(window):
                 second = np.zeros(len(sym), dtype=bool)
                 second[1:] = ~new[1:] & new[:-1]
                 lists = [_lists(sym[m], of[m], hi - lo) for m in (new, second)]
-                text = part.tobytes()
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), pa.array(counts),
                     pa.array([C.row_key(h1[edge[i]:edge[i + 1]], 1) for i in range(hi - lo)], pa.int64()),
                     pa.array([C.row_key(h2[edge[i]:edge[i + 1]], 2) for i in range(hi - lo)], pa.int64()),
-                    pa.array([hashlib.sha256(b" ".join(text[own[i]:own[i + 1]].split())).hexdigest() for i in range(hi - lo)], pa.string()),
-                    *lists], names=["doc_id", "tkey", "n_words", "k1", "k2", "kept_sha256", "anchors", "again"])
+                    *lists], names=["doc_id", "tkey", "n_words", "k1", "k2", "anchors", "again"])
     return run
 
 
@@ -166,14 +165,14 @@ def _lists(values: np.ndarray, of: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edge), pa.array(values, pa.int64()))
 
 
-_SUSPECT = "doc_id long, tkey long, text string, starts array<int>, w1 array<long>, w2 array<long>"
+_SUSPECT = "doc_id long, nth int, starts array<int>, w1 array<long>, w2 array<int>"
 
 
 def _suspect_batches(window):
     def run(batches):
         for batch in batches:
             raw, offsets = C.text_buffers(batch.column("text"))
-            ids, keys, shared, texts = (batch.column(c) for c in ("doc_id", "tkey", "shared", "text"))
+            ids, nth, shared = (batch.column(c) for c in ("doc_id", "nth", "shared"))
             marks = [np.asarray(x.values if x.values is not None else [], dtype=np.int64) for x in shared]
             for lo, hi in C.slices(offsets):
                 own = offsets[lo:hi + 1] - offsets[lo]
@@ -189,48 +188,54 @@ def _suspect_batches(window):
                         rows.append(lo + i)
                         starts.append(hit.astype(np.int32))
                         w1.append(C.windows(h1[a:b], window, 3)[hit].view(np.int64))
-                        w2.append(C.windows(h2[a:b], window, 4)[hit].view(np.int64))
+                        w2.append((C.windows(h2[a:b], window, 4)[hit] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 if rows:
                     take = pa.array(rows)
                     at = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in starts])]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([
-                        ids.take(take), keys.take(take), texts.take(take),
+                        ids.take(take), nth.take(take),
                         *[pa.ListArray.from_arrays(at, pa.array(np.concatenate(x), t)) for x, t in
-                          ((starts, pa.int32()), (w1, pa.int64()), (w2, pa.int64()))]],
-                        names=["doc_id", "tkey", "text", "starts", "w1", "w2"])
+                          ((starts, pa.int32()), (w1, pa.int64()), (w2, pa.int32()))]],
+                        names=["doc_id", "nth", "starts", "w1", "w2"])
     return run
 
 
-def cut(text: str, starts, window: int) -> tuple[str, int, str]:
-    """Remove the words in the windows; (text, words removed, hash of the kept words)."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    space = C._SPACES[raw]
+def cut(text: str, starts, window: int, copy: bool = False) -> tuple[str, int, int, str]:
+    """Remove the words in the windows: (text, words, words removed, hash of the kept words)."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if starts is None and not copy:
+        words = raw.split()
+        return text, len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
+    data = np.frombuffer(raw, np.uint8)
+    space = C._SPACES[data]
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    delta = np.zeros(len(begins) + 1, dtype=np.int64)
+    n = len(begins)
+    if copy:
+        return "", n, n, hashlib.sha256(b"").hexdigest()
+    delta = np.zeros(n + 1, dtype=np.int64)
     np.add.at(delta, starts, 1)
-    np.add.at(delta, np.minimum(np.asarray(starts) + window, len(begins)), -1)
+    np.add.at(delta, np.minimum(starts + window, n), -1)
     gone = np.cumsum(delta)[:-1] > 0
     # A removed word takes the white space behind it along.
-    limit = np.append(begins[1:], len(raw))
-    edge = np.zeros(len(raw) + 1, dtype=np.int64)
+    limit = np.append(begins[1:], len(data))
+    edge = np.zeros(len(data) + 1, dtype=np.int64)
     edge[begins[gone]] += 1
     edge[limit[gone]] -= 1
-    keep = np.cumsum(edge)[:-1] == 0
-    left = raw[keep].tobytes()
-    return left.decode("utf-8", "surrogatepass"), int(gone.sum()), hashlib.sha256(b" ".join(left.split())).hexdigest()
+    left = data[np.cumsum(edge)[:-1] == 0].tobytes()
+    return left.decode("utf-8", "surrogatepass"), n, int(gone.sum()), hashlib.sha256(b" ".join(left.split())).hexdigest()
 
 
-_CUT = "doc_id long, tkey long, cut_text string, n_removed long, cut_sha256 string"
-
-
-def _cut_batches(window):
+def _cut_batches(window, names, text_col):
+    """Texts without their flagged windows; columns _starts (places) and _copy (falls whole) say how."""
     def run(batches):
         for batch in batches:
-            rows = [cut(t, s, window) for t, s in zip(batch.column("text").to_pylist(), (np.asarray(x.values) for x in batch.column("starts")))]
+            rows = []
+            for text, starts, copy in zip(batch.column("_text").to_pylist(), batch.column("_starts"), batch.column("_copy").to_pylist()):
+                rows.append(cut(text, np.asarray(starts.values) if starts.is_valid else None, window, copy))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("tkey"), pa.array([r[0] for r in rows], pa.string()),
-                pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())],
-                names=["doc_id", "tkey", "cut_text", "n_removed", "cut_sha256"])
+                *[pa.array([None if o is None else r[0] for o, r in zip(batch.column(c).to_pylist(), rows)], pa.string()) if c == text_col
+                  else batch.column(c) for c in names], *[pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()))]],
+                names=[*names, "n_words", "n_removed", "kept_sha256"])
     return run
 
 
@@ -239,6 +244,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Adds n_words, n_removed and kept_sha256 (hash of the kept words joined by one space);
     columns of these names in the input are replaced.  Untouched texts stay as they are.
+    Tables written on the way are deleted as soon as their last reader is done.
     """
     C.ship(docs.sparkSession)
     own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
@@ -247,40 +253,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parsed = C.saved(plain.mapInArrow(_parse_batches(window), _PARSED), "parsed")
     key = ["doc_id", "tkey"]
 
-    # Equal word sequences: only the first document stands for them.
-    firsts = parsed.groupBy("k1", "k2").agg(F.min(F.struct(*key)).alias("first"))
-    alone = firsts.select("first.*")
-
     # Anchors met under two contents, or twice in one.
     tag = F.col("k1").bitwiseAND(F.lit(0x7FFFFFFE)).cast("int")
     met = parsed.select(F.explode(F.concat(
         F.transform("anchors", lambda a: F.struct(a.alias("a"), tag.alias("t"))),
         F.transform("again", lambda a: F.struct(a.alias("a"), (tag + 1).alias("t"))))).alias("x")).select("x.a", "x.t")
     shared = met.groupBy("a").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("a")
-    uses = parsed.select(*key, F.explode("anchors").alias("a"))
-    marks = uses.join(shared, "a").groupBy(*key).agg(F.collect_set("a").alias("shared"))
+    # Rows that share an id share their marks, which only adds windows to check.
+    uses = parsed.select("doc_id", F.explode("anchors").alias("a"))
+    marks = C.saved(uses.join(shared, "a").groupBy("doc_id").agg(F.collect_set("a").alias("shared")), "marks")
+
+    # Equal word sequences: only the first document stands for them.  ``nth`` orders rows that share an id.
+    keys = C.saved(parsed.select(*key, "n_words", "k1", "k2").distinct(), "keys")
+    C.drop(parsed)
+    firsts = keys.groupBy("k1", "k2").agg(F.min(F.struct(*key)).alias("first"))
+    fate = keys.join(firsts, ["k1", "k2"]).select(
+        *key, (F.struct(*key) != F.col("first")).alias("later"), (F.col("n_words") >= window).alias("whole"),
+        F.row_number().over(Window.partitionBy("doc_id").orderBy("tkey")).alias("nth"))
+    fate = C.saved(fate, "fate")
     # A document without shared anchors may still hold windows without any anchor, so all firsts are read again.
-    asked = alone.join(marks, key, "left").select(*key, F.coalesce("shared", F.expr("cast(array() as array<long>)")).alias("shared"))
+    asked = (fate.where("not later and whole").join(marks, "doc_id", "left")
+             .select(*key, "nth", F.coalesce("shared", F.expr("cast(array() as array<long>)")).alias("shared")))
     suspects = C.saved(plain.join(asked, key).mapInArrow(_suspect_batches(window), _SUSPECT), "suspects")
+    C.drop(marks)
 
-    wins = suspects.select(*key, F.explode(F.arrays_zip("starts", "w1", "w2")).alias("w")).select(
-        *key, F.col("w.starts").alias("start"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
-    place = F.struct("doc_id", "tkey", "start")
-    heads = wins.groupBy("w1", "w2").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").select("w1", "w2", "head")
+    wins = suspects.select("doc_id", "nth", F.explode(F.arrays_zip("starts", "w1", "w2")).alias("w")).select(
+        "doc_id", (F.col("nth").cast("long") * F.lit(1 << 32) + F.col("w.starts")).alias("at"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
+    place = F.struct("doc_id", "at")
+    heads = wins.groupBy("w1", "w2").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2", "head")
     later = wins.join(heads, ["w1", "w2"]).where(place != F.col("head"))
-    flagged = later.groupBy(*key).agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    cuts = (suspects.select(*key, "text").join(flagged, key).mapInArrow(_cut_batches(window), _CUT).dropDuplicates(key))
-
-    # What becomes of each document; copies of an earlier one fall whole.
-    copied = (F.struct(*key) != F.col("first")) & (F.col("n_words") >= window)
-    empty = hashlib.sha256(b"").hexdigest()
-    fate = (parsed.select(*key, "k1", "k2", "n_words", "kept_sha256").dropDuplicates(key)
-            .join(firsts, ["k1", "k2"]).join(cuts, key, "left")
-            .select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "n_words",
-                    F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-                    F.when(copied, F.lit(empty)).otherwise(F.coalesce("cut_sha256", "kept_sha256")).alias("kept_sha256"),
-                    F.when(copied, F.lit("")).otherwise(F.col("cut_text")).alias("_cut")))
+    flagged = C.saved(later.groupBy("doc_id", F.floor(F.col("at") / F.lit(1 << 32)).cast("int").alias("nth"))
+                      .agg(F.sort_array(F.collect_set((F.col("at") % F.lit(1 << 32)).cast("int"))).alias("_starts")), "flagged")
+    C.drop(suspects)
+
+    # Copies of an earlier document fall whole, if they hold a window.
+    orders = fate.join(flagged, ["doc_id", "nth"], "left").select(
+        F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), (F.col("later") & F.col("whole")).alias("_copy"), "_starts")
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
-    out = docs.select(*rest).withColumns({"_id": own_id, "_key": own_key}).join(fate, ["_id", "_key"])
-    return out.select(*[F.coalesce("_cut", F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in rest],
-                      "n_words", "n_removed", "kept_sha256")
+    out = docs.select(*rest).withColumns({"_id": own_id, "_key": own_key, "_text": F.coalesce(F.col(text_col), F.lit(""))}).join(orders, ["_id", "_key"])
+    schema = T.StructType([*[docs.schema[c] for c in rest], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string").fields])
+    return out.mapInArrow(_cut_batches(window, rest, text_col), schema)
