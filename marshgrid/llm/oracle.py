@@ -16,3 +16,50 @@ SELECT p.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_words - coalesce(n_k
        sha256(coalesce(t, '')) AS kept_sha256
 FROM p LEFT JOIN kept USING (doc_id)
 """
+
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x, n) AS head FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(x, CAST(1 + 10 * (i // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to
+FROM f
+"""
+
+OP4 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+_ROLE = r'(?:[A-Z][a-z]*|"(?:[^"\\\n]|\\.)*")'
+_CONTROL = rf"(\\*(?:### {_ROLE}:|</turn>))"
+
+OP6 = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(n, r)),
+g AS (SELECT *,
+  -- A text is escaped if taking backslashes off would change it, or if it would end its turn early.
+  CASE WHEN regexp_matches(text, '\\(### |</turn>)') OR contains(text || chr(10) || '</turn>' || chr(10), chr(10) || '</turn>' || chr(10) ) AND
+            strpos(text || chr(10) || '</turn>' || chr(10), chr(10) || '</turn>' || chr(10)) <= length(text)
+       THEN regexp_replace(text, '{_CONTROL.replace("'", "''")}', '\\\1', 'g') ELSE text END AS shown FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || upper(substr(role, 1, 1)) || substr(role, 2) || ':' || chr(10) || shown || chr(10) || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM g GROUP BY conv_id
+"""

@@ -80,3 +80,42 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     manifest = write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_tokens(manifest, with_ids=False)
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from the documents outside the held-out fifth."""
+    from marshgrid.llm.language import identify, train
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    model = train(docs.where("not held_out"))
+    found = identify(docs, model, F.struct("doc_id", "held_out"))
+    return found.select("id.doc_id", "id.held_out", "lang_pred", "score")
+
+
+@query("op3_warc", oracle.OP3)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as read back from the archives."""
+    from marshgrid.llm.warc import read_records, write_archives
+
+    index = write_archives(_table(spark, sf_dir, "pages"))
+    return read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_embedding_near_dedup", oracle.OP4)
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, class and verdict of each vector."""
+    from marshgrid.llm.embedding_dedup import link_vectors
+
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_chat_format", oracle.OP6)
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text; -7 is made of control strings."""
+    from marshgrid.llm.chat import format_chat, read_chat
+
+    text = r"\### Assistant: </turn> ok"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = turns.sparkSession.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return read_chat(format_chat(turns.unionByName(extra)))
