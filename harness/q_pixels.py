@@ -318,12 +318,13 @@ def d10(spark, sf):
     return subset_balance(spark, sf).withColumn("fraction", rr("fraction"))
 
 
-@query("d11_class_weights", _BAL + f""", raw AS (SELECT class_code, greatest(0.05, least(50.0, sum(px) OVER () / (px * 4.0))) AS a,
+@query("d11_class_weights", _BAL.replace("WHERE (top + lft) % 64 = 0", "") + f""", raw AS (SELECT class_code, greatest(0.05, least(50.0, sum(px) OVER () / (px * 4.0))) AS a,
    greatest(0.05, least(50.0, sqrt(sum(px) OVER () / (px * 4.0)))) AS b FROM cc)
   SELECT class_code, {r('a / avg(a) OVER ()')} AS inverse_frequency, {r('b / avg(b) OVER ()')} AS sqrt_inverse,
    CAST(1.0 AS DOUBLE) AS uniform FROM raw""")
 def d11(spark, sf):
-    bal = subset_balance(spark, sf)
+    t = tallies(spark, sf)
+    bal = T.class_balance(t, t, ["scene", "top", "left"])
     out = None
     for scheme in ("inverse_frequency", "sqrt_inverse", "uniform"):
         w = T.class_weights(bal, scheme).select("class_code", rr("weight", alias=scheme))
@@ -331,16 +332,14 @@ def d11(spark, sf):
     return out
 
 
-@query("d12_band_statistics", f"""WITH {S.TILES}, ord AS (SELECT scene, top, lft, row_number() OVER (ORDER BY scene, top, lft) - 1 AS p,
-   count(*) OVER () AS n FROM tl), pos AS (SELECT DISTINCT CAST(floor(i * ((SELECT max(n) FROM ord) - 1) / 49.0) AS BIGINT) AS p
-   FROM (SELECT unnest(range(0, 50)) AS i)), sel AS (SELECT scene, top, lft FROM ord JOIN pos USING (p)),
-  v AS (SELECT rf.* FROM sel JOIN tp USING (scene, top, lft) JOIN rf ON rf.r = tp.r AND rf.c = tp.c AND rf.scene = tp.scene WHERE tp.usable)
+@query("d12_band_statistics", f"""WITH {S.TILES},
+  v AS (SELECT rf.* FROM tl JOIN tp USING (scene, top, lft) JOIN rf ON rf.r = tp.r AND rf.c = tp.c AND rf.scene = tp.scene WHERE tp.usable)
   """ + " UNION ALL ".join(f"SELECT '{b}' AS band, {r(f'avg({b})')} AS mean, {r(f'greatest(stddev_pop({b}), 1e-4)')} AS std, count(*) AS usable_px FROM v"
                            for b in BANDS))
 def d12(spark, sf):
     px = B.labelled(spark, sf)
     tiles = T.grid_tiles(B.scene_frames(spark, sf), SIZE, STRIDE)
-    return T.band_statistics(px, tiles, BANDS, ["scene"], SIZE, STRIDE, 50).select(
+    return T.band_statistics(px, tiles, BANDS, ["scene"], SIZE, STRIDE).select(
         "band", rr("mean"), rr("std"), "usable_px")
 
 

@@ -59,12 +59,11 @@ def c13(spark, sf):
     return Sp.missing_reserved(both, footprints(spark, sf))
 
 
-@query("c4_overlapping_pairs", f"""WITH {FP}, d AS (SELECT DISTINCT top, lft, bot, rgt FROM tl), e AS (SELECT * FROM d WHERE (top + lft) % 48 = 0)
-  SELECT a.top AS a_top, a.lft AS a_left, b.top AS b_top, b.lft AS b_left FROM d a JOIN e b ON {_HIT.format(0)}""")
+@query("c4_overlapping_pairs", f"""WITH {FP}, d AS (SELECT DISTINCT top, lft, bot, rgt FROM tl)
+  SELECT a.top AS a_top, a.lft AS a_left, b.top AS b_top, b.lft AS b_left FROM d a JOIN d b ON {_HIT.format(0)}""")
 def c4(spark, sf):
     d = Sp.distinct_footprints(footprints(spark, sf))
-    e = d.where((F.col("top") + F.col("left")) % 48 == 0)
-    return Sp.overlapping_pairs(d, e, cell=64).select(
+    return Sp.overlapping_pairs(d, d, cell=64).select(
         *[F.col(c).cast("long").alias(c) for c in ("a_top", "a_left", "b_top", "b_left")])
 
 

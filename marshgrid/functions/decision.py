@@ -90,10 +90,12 @@ def time_to_blockage(coverage: Column, rate: Column, threshold: float = 0.75) ->
     bad = coverage.isNull() | ~((coverage > 0) & (coverage <= 1))
     done = ~bad & (coverage >= threshold)
     static = ~bad & ~done & (rate <= 0)
+    unknown = ~bad & ~done & rate.isNull()
     days = F.when(done, F.lit(0.0)).when(~bad & (rate > 0), F.round(F.ln(threshold / coverage) / rate, 1))
     return F.struct(days.alias("days"), F.coalesce(done, F.lit(False)).alias("already_blocked"),
                     F.when(bad, F.lit("coverage outside (0, 1]"))
-                    .when(static, F.lit("coverage is not growing")).alias("reason"))
+                    .when(static, F.lit("coverage is not growing"))
+                    .when(unknown, F.lit("the growth rate is unknown")).alias("reason"))
 
 
 # --- phenology ----------------------------------------------------------------

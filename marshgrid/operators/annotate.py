@@ -131,8 +131,11 @@ def rasterize_polygons(polygons: DataFrame, key: str = "key") -> DataFrame:
     c0 = F.greatest(F.lit(0), F.ceil(F.get("xs", F.col("k") * 2) - 0.5).cast("int"))
     c1 = F.least(F.col("width") - 1, F.ceil(F.get("xs", F.col("k") * 2 + 1) - 0.5).cast("int") - 1)
     px = runs.withColumn("col", F.explode(F.when(c1 >= c0, F.sequence(c0, c1))))
-    # position * 256 + code keeps the overwrite a plain numeric maximum.
-    top = F.max(F.col("feature_pos").cast("long") * 256 + F.col("class_code")).alias("_m")
+    # position * 256 + code keeps the overwrite a plain numeric maximum; a code that does not
+    # fit a byte would spill into the position.
+    code = F.when(F.col("class_code").between(0, 255), F.col("class_code")).when(F.col("class_code").isNotNull(), F.raise_error(
+        F.concat(F.lit("class code outside 0..255: "), F.col("class_code").cast("string"))).cast("int"))
+    top = F.max(F.col("feature_pos").cast("long") * 256 + code).alias("_m")
     return px.groupBy(key, "row", "col").agg(top).select(
         key, "row", "col", F.pmod("_m", F.lit(256)).cast("int").alias("class_code"))
 

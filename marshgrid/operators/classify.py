@@ -8,7 +8,6 @@ the same loss and the same confusion counts.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import gcd
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -36,24 +35,8 @@ class PixelModel:
     provenance: DataFrame
 
 
-def tile_cover(tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
-    """How many of the given tiles cover each cell of side ``gcd(size, stride)``."""
-    g = gcd(size, stride)
-    cell = lambda start: F.sequence(F.col(start), F.col(start) + size - g, F.lit(g))
-    return tiles.withColumn("_cr", F.explode(cell("top"))).withColumn("_cc", F.explode(cell("left"))) \
-                .groupBy(*by, "_cr", "_cc").agg(F.count(F.lit(1)).alias("cover"))
-
-
-def covered_pixels(px: DataFrame, tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
-    """Pixels inside the tiles with ``cover``, the number of tiles over each."""
-    g = gcd(size, stride)
-    keyed = px.withColumn("_cr", (F.floor(F.col("row") / float(g)) * g).cast("int")) \
-              .withColumn("_cc", (F.floor(F.col("col") / float(g)) * g).cast("int"))
-    return keyed.join(tile_cover(tiles, by, size, stride), [*by, "_cr", "_cc"]).drop("_cr", "_cc")
-
-
 def train_pixel_classifier(px: DataFrame, tiles: DataFrame, tallies: DataFrame, bands: list[str], by: list[str],
-                           size: int, stride: int, scheme: str = "inverse_frequency", sample_limit: int = 200,
+                           size: int, stride: int, scheme: str = "inverse_frequency", sample_limit: int | None = None,
                            max_iter: int = 50) -> PixelModel:
     """Fit a four-class model on the train split only.
 
@@ -68,12 +51,14 @@ def train_pixel_classifier(px: DataFrame, tiles: DataFrame, tallies: DataFrame,
     # A handful of rows each, kept with the model: computed once, not per use.
     stats = materialise(T.band_statistics(px, train, bands, by, size, stride, sample_limit))
     weights = materialise(T.class_weights(T.class_balance(tallies, train, tile_key), scheme))
-    seen = covered_pixels(px.where("trainable"), train.select(*tile_key), by, size, stride)
-    scaled = T.standardise_bands(seen, stats, bands)
+    seen = T.covered_pixels(px.where("trainable"), train.select(*tile_key), by, size, stride)
+    # A missing band counts as zero, as it does in prediction.
+    filled = seen.withColumns({b: F.coalesce(b, F.lit(0.0)) for b in bands})
+    scaled = T.standardise_bands(filled, stats, bands)
     # Four rows of weights.
     rows = scaled.join(F.broadcast(weights.withColumnRenamed("class_code", "label")), "label") \
                  .select(F.col("label").cast("double").alias("label"), (F.col("cover") * F.col("weight")).alias("w"),
-                         *bands).na.drop()
+                         *bands)
     pipe = [VectorAssembler(inputCols=bands, outputCol="features"),
             LogisticRegression(family="multinomial", weightCol="w", maxIter=max_iter, regParam=1e-4)]
     assembled = pipe[0].transform(rows).select("features", "label", "w")
@@ -105,7 +90,7 @@ def evaluate(model: PixelModel, px: DataFrame, tiles: DataFrame, split: str, by:
              stride: int) -> DataFrame:
     """Per-class scores on one split, each pixel counted once per covering tile."""
     part = tiles.where(F.col("split") == split).select(*by, "top", "left")
-    seen = covered_pixels(T.with_mask(px), part, by, size, stride).withColumn("target", F.col("mask"))
+    seen = T.covered_pixels(T.with_mask(px), part, by, size, stride).withColumn("target", F.col("mask"))
     pred = predict_pixels(model, seen, model.bands)
     return M.class_scores(M.confusion(pred, weight="cover"))
 

@@ -13,6 +13,8 @@ from marshgrid.functions import geo as G
 from marshgrid.operators.scale import rank_within
 
 MIN_OBSERVATIONS = 4
+#: Solver steps; fits settle within a few dozen.
+MAX_STEPS = 20_000
 
 
 # --- detections ---------------------------------------------------------------------
@@ -114,7 +116,7 @@ def _logistic(t, k, r, t0):
     return k / (1.0 + np.exp(-np.clip(r * (t - t0), -500, 500)))
 
 
-def _least_squares(t, n, s, ss, start, lo, hi, steps=200):
+def _least_squares(t, n, s, ss, start, lo, hi, steps):
     """Box-bounded Levenberg-Marquardt on daily sums; returns (params, sse, converged)."""
     def sse(p):
         f = _logistic(t, *p)
@@ -158,7 +160,7 @@ def _weighted_median(t, n):
     return float(low + high) / 2.0
 
 
-def _fit_days(pdf: pd.DataFrame) -> dict:
+def _fit_days(pdf: pd.DataFrame, max_steps: int = MAX_STEPS) -> dict:
     pdf = pdf.sort_values("observed_on")
     origin = pd.Timestamp(pdf["observed_on"].iloc[0])
     t = (pd.to_datetime(pdf["observed_on"]) - origin).dt.days.to_numpy(float)
@@ -175,7 +177,7 @@ def _fit_days(pdf: pd.DataFrame) -> dict:
     k0 = peak * 1.2 or 1.0
     if k0 >= 0:
         lo, hi = np.array([0.0, 1e-6, t.min() - span]), np.array([np.inf, 1.0, t.max() + span])
-        p, sse, ok = _least_squares(t, n, s, ss, (k0, 1.0 / max(span / 4.0, 1.0), middle), lo, hi)
+        p, sse, ok = _least_squares(t, n, s, ss, (k0, 1.0 / max(span / 4.0, 1.0), middle), lo, hi, max_steps)
         if ok and np.isfinite(p).all():
             spread = float(ss.sum() - s.sum() ** 2 / total)
             r2 = 1.0 - sse / spread if spread > 0 else 0.0
@@ -186,14 +188,15 @@ def _fit_days(pdf: pd.DataFrame) -> dict:
     return {**out, "k": peak, "r": float(rate), "t0": middle, "note": "no convergence; rate from first and last"}
 
 
-def fit_growth_curves(observations: DataFrame, by: list[str]) -> DataFrame:
+def fit_growth_curves(observations: DataFrame, by: list[str], max_steps: int = MAX_STEPS) -> DataFrame:
     """Logistic fit per group, over daily sums.
 
     The solver is iterative, so it runs in a grouped map; its input is bounded by the
-    calendar (see :func:`daily_sums`).
+    calendar (see :func:`daily_sums`).  A fit that has not settled after ``max_steps`` is
+    reported as not converged, with the rate between the first and the last value.
     """
     def fit(key, pdf):
-        return pd.DataFrame([{**dict(zip(by, key)), **_fit_days(pdf)}])
+        return pd.DataFrame([{**dict(zip(by, key)), **_fit_days(pdf, max_steps)}])
     kinds = {f.name: f.dataType.simpleString() for f in observations.schema.fields}
     schema = ", ".join([f"{b} {kinds[b]}" for b in by] + [
         "origin date", "n_observations long", "proxy_kind string", "k double", "r double", "t0 double",

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from marshgrid import contract as C
 
 BOX = ["top", "left", "bottom", "right"]
-MAX_CUTS = 96
 SPLITS = ["train", "val", "test"]
 
 
@@ -81,7 +80,8 @@ def exclude_reserved(tiles: DataFrame, reserved_keys: DataFrame, buffer: int = 0
                      by: list[str] | None = None, cell: int = 512) -> DataFrame:
     """Tiles left after removing reserved ground on every date.
 
-    Runs two small checks first: an unknown reserved key, or nothing left, is an error.
+    Runs two small checks first: an unknown reserved key, or nothing left of a store that
+    has tiles, is an error.  An empty store stays empty.
     """
     by = by or []
     unknown = missing_reserved(reserved_keys, tiles, key).limit(5).collect()
@@ -90,7 +90,7 @@ def exclude_reserved(tiles: DataFrame, reserved_keys: DataFrame, buffer: int = 0
     reserved = tiles.join(reserved_keys.select(key).distinct(), key, "left_semi")
     gone = excluded_tiles(tiles, reserved, buffer, by, cell).select(*by, *BOX).distinct()
     kept = tiles.join(gone, [*by, *BOX], "left_anti")
-    if kept.isEmpty():
+    if kept.isEmpty() and not tiles.isEmpty():
         raise ValueError("the reserved ground and its buffer cover every tile")
     return kept
 
@@ -130,25 +130,29 @@ def buffer_ladder(start: int) -> list[int]:
     return ladder
 
 
-def _thin(cuts: Column) -> Column:
-    """At most ``MAX_CUTS`` of the sorted cut positions, at truncated linspace positions."""
+def _thin(cuts: Column, most: int | None) -> Column:
+    """All sorted cut positions, or at most ``most`` of them at truncated linspace positions."""
+    if most is None:
+        return cuts
     n = F.size(cuts)
-    last = MAX_CUTS - 1
+    last = most - 1
     step = (n - 1) / F.lit(float(last))
     at = F.transform(F.sequence(F.lit(0), F.lit(last)),
                      lambda i: F.when(i == last, n - 1).otherwise(F.floor(i * step).cast("int")))
-    return F.when(n <= MAX_CUTS, cuts).otherwise(
+    return F.when(n <= most, cuts).otherwise(
         F.transform(F.array_distinct(at), lambda p: F.get(cuts, p)))
 
 
 def split_cuts(footprints: DataFrame, by: list[str], buffers: list[int],
-               fractions=(0.70, 0.15, 0.15), seed: int = 0) -> DataFrame:
+               fractions=(0.70, 0.15, 0.15), seed: int = 0, max_cuts: int | None = None) -> DataFrame:
     """The winning cut pair of every (group, buffer) that admits a three-way split.
 
     ``footprints`` are distinct.  Both axes and all buffers are evaluated in one job:
-    footprints collapse to counts between neighbouring cut positions (at most 97 x 97
-    cells per axis and buffer), two running sums give the size of every candidate
-    strip, and the best candidate is the minimum of the five-part rank.
+    footprints collapse to counts between neighbouring cut positions, two running sums
+    give the size of every candidate strip, and the best candidate is the minimum of the
+    five-part rank.  Every distinct tile end is a cut; their number is that of tile
+    positions along one axis of one area, and the cells of an axis are its square.
+    ``max_cuts`` thins them evenly where that is too many, which may change the split.
     """
     f = [float(x) for x in fractions]
     if len(f) != 3 or min(f) <= 0 or abs(sum(f) - 1.0) > 1e-8:
@@ -168,7 +172,7 @@ def split_cuts(footprints: DataFrame, by: list[str], buffers: list[int],
             .groupBy(*by, F.col("x.axis").alias("axis"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
             .agg(F.count(F.lit(1)).alias("n")))
     # Distinct ends are as many as tile positions along one axis of one area.
-    ends = hist.groupBy(*by, "axis").agg(_thin(F.array_sort(F.collect_set("end"))).alias("cuts"))
+    ends = hist.groupBy(*by, "axis").agg(_thin(F.array_sort(F.collect_set("end")), max_cuts).alias("cuts"))
     ends = ends.withColumn("buffer", F.explode(F.array(*[F.lit(int(b)) for b in buffers])))
 
     # s = how many cuts c satisfy start >= c + buffer (they are the first s); e = index of
@@ -228,7 +232,7 @@ def split_label(cuts: bool = True) -> Column:
 
 
 def geographic_split(tiles: DataFrame, by: list[str], buffer: int, fractions=(0.70, 0.15, 0.15), seed: int = 0,
-                     ladder: bool = True) -> DataFrame:
+                     ladder: bool = True, max_cuts: int | None = None) -> DataFrame:
     """Label every tile train, val, test or NULL (in a gap), with the buffer used.
 
     With ``ladder`` the widest feasible halving of ``buffer`` applies per group.  A
@@ -236,7 +240,7 @@ def geographic_split(tiles: DataFrame, by: list[str], buffer: int, fractions=(0.
     into an error.
     """
     buffers = buffer_ladder(buffer) if ladder else [buffer]
-    cuts = split_cuts(distinct_footprints(tiles, by), by, buffers, fractions, seed)
+    cuts = split_cuts(distinct_footprints(tiles, by), by, buffers, fractions, seed, max_cuts)
     cols = ["axis", "c1", "c2", "reverse"]
     widest = cuts.groupBy(*by).agg(F.max_by(F.struct(*cols, "buffer"), F.col("buffer")).alias("k")).select(
         *by, *[F.col("k")[c].alias(c) for c in [*cols, "buffer"]])

@@ -201,27 +201,47 @@ def evenly_spaced(items: DataFrame, order: list[Column], count: int, by: list[st
     return sized.where((n <= count) | keep).withColumn("position", pos).drop("_rn", "_n")
 
 
+def tile_cover(tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
+    """How many of the given tiles cover each cell of side ``gcd(size, stride)``."""
+    g = gcd(size, stride)
+    cell = lambda start: F.sequence(F.col(start), F.col(start) + size - g, F.lit(g))
+    return tiles.withColumn("_cr", F.explode(cell("top"))).withColumn("_cc", F.explode(cell("left"))) \
+                .groupBy(*by, "_cr", "_cc").agg(F.count(F.lit(1)).alias("cover"))
+
+
+def covered_pixels(px: DataFrame, tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
+    """Pixels inside the tiles with ``cover``, the number of tiles over each."""
+    g = gcd(size, stride)
+    keyed = px.withColumn("_cr", (F.floor(F.col("row") / float(g)) * g).cast("int")) \
+              .withColumn("_cc", (F.floor(F.col("col") / float(g)) * g).cast("int"))
+    return keyed.join(tile_cover(tiles, by, size, stride), [*by, "_cr", "_cc"]).drop("_cr", "_cc")
+
+
 def band_statistics(px: DataFrame, tiles: DataFrame, bands: list[str], by: list[str], size: int,
-                    stride: int | None = None, sample_limit: int = 200, floor: float = 1e-4) -> DataFrame:
-    """Mean and population deviation per band over usable pixels of sampled tiles.
+                    stride: int | None = None, sample_limit: int | None = None, floor: float = 1e-4) -> DataFrame:
+    """Mean and population deviation per band over usable pixels of the tiles.
 
     ``tiles`` is the supplied split (by..., top, left).  Pixels shared by overlapping
-    tiles count once per tile, as they do when tiles are read one by one.
+    tiles count once per tile, as they do when tiles are read one by one: a pixel is read
+    once and weighted by the tiles over it.  ``sample_limit`` takes that many evenly
+    spread tiles instead of all of them.
     """
-    order = [*[F.col(b) for b in by], F.col("top"), F.col("left")]
-    sampled = linspace_sample(tiles.select(*by, "top", "left").distinct(), order, sample_limit)
-    # At most sample_limit rows by construction, so the broadcast has a fixed bound.
+    chosen = tiles.select(*by, "top", "left").distinct()
+    if sample_limit is not None:
+        order = [*[F.col(b) for b in by], F.col("top"), F.col("left")]
+        chosen = linspace_sample(chosen, order, sample_limit).select(*by, "top", "left")
     ok = F.col("usable") & P.known(*[F.col(b) for b in bands])
-    src = px.select(*by, "row", "col", "height", "width", *[F.when(ok, F.col(b)).alias(b) for b in bands])
-    chosen = assign_tiles(src, size, stride).join(
-        F.broadcast(sampled.select(*by, "top", "left")), [*by, "top", "left"], "left_semi")
-    stats = chosen.agg(F.count(bands[0]).alias("usable_px"),
-                       *[F.avg(b).alias(f"m_{b}") for b in bands],
-                       *[F.stddev_pop(b).alias(f"s_{b}") for b in bands])
+    seen = covered_pixels(px.where(ok).select(*by, "row", "col", *bands), chosen, by, size, stride or size)
+    n = F.sum("cover")
+    # Deviations from a fixed middle value keep the two sums of the variance small.
+    def moment(b, k):
+        return F.sum(F.col("cover") * F.pow(F.col(b).cast("double") - 0.25, k)) / n
+    stats = seen.agg(F.coalesce(n, F.lit(0)).alias("usable_px"), *[(moment(b, 1) + 0.25).alias(f"m_{b}") for b in bands],
+                     *[F.sqrt(F.greatest(moment(b, 2) - F.pow(moment(b, 1), 2), F.lit(0.0))).alias(f"s_{b}") for b in bands])
     rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(b).alias("band"), F.col(f"m_{b}").alias("mean"),
                               F.col(f"s_{b}").alias("std")) for i, b in enumerate(bands)])
     out = stats.select("usable_px", F.inline(rows))
-    empty = F.raise_error(F.lit("sampled tiles hold no usable pixels"))
+    empty = F.raise_error(F.lit("the tiles hold no usable pixels"))
     return out.select("position", "band",
                       F.when(F.col("usable_px") > 0, F.round("mean", 6)).otherwise(empty.cast("double")).alias("mean"),
                       F.round(F.greatest(F.col("std"), F.lit(floor)), 6).alias("std"), "usable_px")

@@ -82,7 +82,7 @@ def scenes_from_stac(items: DataFrame, json: str = "value") -> DataFrame:
     code = F.regexp_extract(F.coalesce(p["proj:code"], F.lit("")), r"(?i)^EPSG:\s*(\d+)\s*$", 1).try_cast("int")
     # Generated columns again: the closing filter reads them instead of repeating them.
     out = item.select(F.inline(F.array(F.struct(
-        "id", F.to_timestamp(p["datetime"]).alias("acquired"),
+        "id", F.try_to_timestamp(p["datetime"]).alias("acquired"),
         F.coalesce(_filled(p["platform"]), _filled(p["constellation"]), F.lit("unknown")).alias("platform"),
         p["eo:cloud_cover"].alias("cloud_cover"), box.alias("bbox"), F.map_from_entries(pairs).alias("assets"),
         F.coalesce(p["proj:epsg"], code).alias("epsg"),
@@ -95,6 +95,14 @@ def scenes_from_stac(items: DataFrame, json: str = "value") -> DataFrame:
     return out.where((F.size("assets") > 0) & F.col("acquired").isNotNull() & F.col("bbox").isNotNull())
 
 
+def stac_rejects(items: DataFrame, json: str = "value") -> DataFrame:
+    """Counts of items that cannot become scenes: records, broken JSON, times that cannot be read."""
+    item = items.select(F.inline(F.array(F.struct(F.col(json).alias("raw"), F.from_json(json, STAC_ITEM).alias("item")))))
+    time = F.col("item.properties")["datetime"]
+    return item.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("item.id").isNull()).alias("broken_json"),
+                    F.count_if(time.isNotNull() & F.try_to_timestamp(time).isNull()).alias("bad_datetime"))
+
+
 def mgrs_from_name(name: Column) -> Column:
     """First five-character token of two digits and three letters."""
     return F.get(F.filter(F.split(name, "_"), lambda t: t.rlike("^[0-9]{2}[A-Za-z]{3}$")), 0)

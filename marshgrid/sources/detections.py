@@ -19,7 +19,15 @@ def replace_areas(areas: DataFrame, path: str) -> None:
 
 
 def upsert(existing: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
-    """Existing rows not updated, plus the updates."""
+    """Existing rows not updated, plus the updates, one row per key.
+
+    Of updates that repeat a key the greatest row (column by column) stays, so reruns agree.
+    """
+    rest = [c for c in updates.columns if c not in key]
+    if rest:
+        updates = updates.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_r")).select(*key, "_r.*").select(*updates.columns)
+    else:
+        updates = updates.distinct()
     kept = existing.join(updates.select(*key).distinct(), key, "left_anti")
     return kept.unionByName(updates, allowMissingColumns=True)
 
