@@ -10,9 +10,10 @@ def tile_name(row: Column, col: Column) -> Column:
     return F.concat(F.lit("r"), row.cast("string"), F.lit("_c"), col.cast("string"))
 
 
-def store_key(date: Column, row: Column, col: Column) -> Column:
-    """Tile key inside a store, prefixed by date so two dates never collide."""
-    return F.concat_ws("/", date.cast("string"), F.lit("c0"), tile_name(row, col))
+def store_key(date: Column, row: Column, col: Column, area: Column | None = None) -> Column:
+    """Tile key inside a store, prefixed by date (and area) so two of them never collide."""
+    lead = [] if area is None else [area]
+    return F.concat_ws("/", *lead, date.cast("string"), F.lit("c0"), tile_name(row, col))
 
 
 def _grid_part(crs: Column, gsd: Column) -> Column:

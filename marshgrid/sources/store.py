@@ -1,8 +1,9 @@
 """Tile stores as Parquet: unique pixels, a tile table and a manifest.
 
 Pixels are written once; overlapping tiles are expanded on read.  Everything is
-partitioned by area and date, so one date is one set of files and a rebuild of a
-date touches nothing else.
+partitioned by area and date, so one date of an area is one set of files and its rebuild
+touches nothing else.  The manifest is written last: a store without one is unfinished,
+is refused by readers and may be written again.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from marshgrid import contract as C
 from marshgrid.functions import keys as K
@@ -49,12 +51,25 @@ def write_tile_store(labelled: DataFrame, path: str, bands: list[str], tile_size
     """Write labelled composites of any number of areas and dates.
 
     ``labelled`` is (area_key, date, row, col, height, width, reflectance bands, label,
-    usable, review, trainable, scene).  An existing store is refused unless ``rebuild``.
-    Requested (area_key, date) pairs without pixels are recorded as skipped; no pixels at
-    all is an error.
+    usable, review, trainable, scene).  A finished store is refused unless ``rebuild``, which
+    replaces the given areas and dates and leaves others alone; bands and tiling must then be
+    those of the store.  Requested (area_key, date) pairs without pixels are recorded as
+    skipped; no pixels at all is an error, found before anything is written.
     """
     stride = stride or tile_size
-    mode = "overwrite" if rebuild else "errorifexists"
+    spark = labelled.sparkSession
+    if _exists(spark, f"{path}/manifest"):
+        if not rebuild:
+            raise ValueError(f"{path} already holds a store")
+        old = read_tile_store(spark, path)
+        if (old.bands, old.tile_size, old.stride) != (list(bands), tile_size, stride):
+            raise ValueError(f"{path} holds bands {old.bands} in tiles of {old.tile_size} by {old.stride}")
+    if labelled.isEmpty():
+        raise ValueError("no composite produced any pixel; the store would be empty")
+
+    def write(df, part):
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if rebuild else "static")
+         .partitionBy(*BY).parquet(f"{path}/{part}"))
     px = T.with_mask(labelled).select(
         *BY, "row", "col", "height", "width",
         *[P.encode_reflectance(F.col(b)).alias(b) for b in bands],
@@ -63,12 +78,11 @@ def write_tile_store(labelled: DataFrame, path: str, bands: list[str], tile_size
     # Spread each date over its pixel blocks: files follow ground, and one large date
     # is not one task.
     block = [F.floor(F.col("row") / 512.0), F.floor(F.col("col") / 512.0)]
-    (px.repartition(*BY, *block).sortWithinPartitions(*BY, "row", "col")
-     .write.mode(mode).partitionBy(*BY).parquet(f"{path}/pixels"))
-    spark = labelled.sparkSession
+    write(px.repartition(*BY, *block).sortWithinPartitions(*BY, "row", "col"), "pixels")
     stored = spark.read.schema(_pixel_schema(bands)).parquet(f"{path}/pixels")
-    if stored.isEmpty():
-        raise ValueError("no composite produced any pixel; the store would be empty")
+    if rebuild:
+        # One row per area and date that was just written.
+        stored = stored.join(labelled.select(*BY).distinct(), BY, "left_semi")
 
     flags = stored.withColumn("label", F.col("rule_label").cast("int")) \
                   .withColumn("trainable", F.col("mask") >= 0)
@@ -78,11 +92,11 @@ def write_tile_store(labelled: DataFrame, path: str, bands: list[str], tile_size
     tiles = T.all_tiles(frames, tallies, BY, tile_size, stride)
     if drop_empty:
         tiles = T.drop_empty_tiles(tiles)
-    tiles = tiles.withColumn("key", K.store_key(F.col("date"), F.col("top"), F.col("left"))) \
+    tiles = tiles.withColumn("key", K.store_key(F.col("date"), F.col("top"), F.col("left"), F.col("area_key"))) \
                  .withColumn("bottom", F.col("top") + tile_size).withColumn("right", F.col("left") + tile_size)
-    tiles.write.mode(mode).partitionBy("area_key").parquet(f"{path}/tiles")
+    write(tiles, "tiles")
 
-    per = spark.read.parquet(f"{path}/tiles").groupBy(*BY).agg(
+    per = _read_parts(spark, f"{path}/tiles").groupBy(*BY).agg(
         F.count(F.lit(1)).alias("tiles"), F.sum("trainable_px").alias("trainable_px"),
         *[F.sum(f"mask_{c}_px").alias(f"class_{c}") for c in range(len(C.CLASS_NAMES))])
     shard = frames.join(per, BY, "left").withColumn(
@@ -92,7 +106,20 @@ def write_tile_store(labelled: DataFrame, path: str, bands: list[str], tile_size
     shard = shard.withColumn("skipped", F.col("usable_px").isNull())
     meta = {"format_version": F.lit(FORMAT_VERSION), "tile_size": F.lit(tile_size), "stride": F.lit(stride),
             "bands": F.array(*[F.lit(b) for b in bands])}
-    shard.withColumns(meta).coalesce(1).write.mode(mode).parquet(f"{path}/manifest")
+    write(shard.withColumns(meta).repartition(*BY), "manifest")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet under area and date folders; an area key such as 001 stays text."""
+    found = spark.read.option("mergeSchema", "true").parquet(path).schema
+    kinds = {"area_key": T_.StringType(), "date": T_.DateType()}
+    schema = T_.StructType([T_.StructField(f.name, kinds.get(f.name, f.dataType), f.nullable) for f in found])
+    return spark.read.schema(schema).parquet(path)
 
 
 def _pixel_schema(bands: list[str]) -> str:
@@ -106,24 +133,21 @@ def read_tile_store(spark: SparkSession, path: str) -> TileStore:
     Reads one manifest row.  Stores without ``rule_label`` fall back to the mask.
     """
     try:
-        manifest = spark.read.parquet(f"{path}/manifest")
+        manifest = _read_parts(spark, f"{path}/manifest")
         head = manifest.select("format_version", "tile_size", "stride", "bands").first()
     except Exception as exc:
         raise ValueError(f"{path} has no readable manifest") from exc
     if head is None or head["format_version"] != FORMAT_VERSION:
         raise ValueError(f"{path} has format version {head and head['format_version']}, expected {FORMAT_VERSION}")
     bands = list(head["bands"])
-    pixels = spark.read.option("mergeSchema", "true").parquet(f"{path}/pixels")
+    pixels = _read_parts(spark, f"{path}/pixels")
     mask = F.when(F.col("mask") < 0, F.lit(C.IGNORE)).otherwise(F.col("mask").cast("int"))
     rule = F.coalesce(F.col("rule_label").cast("int"), mask) if "rule_label" in pixels.columns else mask
     extra = {"mask": mask, "rule_label": rule}
     for optional in ("usable", "review"):
         if optional not in pixels.columns:
             extra[optional] = F.lit(None).cast("boolean")
-    pixels = pixels.withColumns(extra).withColumn("area_key", F.col("area_key").cast("string")) \
-                   .withColumn("date", F.col("date").cast("date"))
-    tiles = spark.read.parquet(f"{path}/tiles").withColumn("area_key", F.col("area_key").cast("string"))
-    return TileStore(pixels, tiles, manifest, bands, head["tile_size"], head["stride"])
+    return TileStore(pixels.withColumns(extra), _read_parts(spark, f"{path}/tiles"), manifest, bands, head["tile_size"], head["stride"])
 
 
 def union_shards(*shards: DataFrame) -> DataFrame:

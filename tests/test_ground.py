@@ -211,3 +211,48 @@ def test_cover_counts_tiles(spark):
     tiles = T.grid_tiles(spark.createDataFrame([(48, 48)], "height int, width int"), 32, 16)
     cover = {(r["_cr"], r["_cc"]): r["cover"] for r in K.tile_cover(tiles, [], 32, 16).collect()}
     assert cover[(0, 0)] == 1 and cover[(16, 16)] == 4 and cover[(16, 0)] == 2
+
+
+def test_store_faults(spark, tmp_path):
+    path, bands = str(tmp_path / "store"), ["B04", "B08"]
+    both = synthetic(spark).withColumn("area_key", F.lit("001")).unionByName(synthetic(spark).withColumn("area_key", F.lit("002")))
+    with pytest.raises(ValueError, match="empty"):
+        store.write_tile_store(both.limit(0), path, bands, 32)
+    assert not (tmp_path / "store").exists()
+    store.write_tile_store(both, path, bands, 32)
+    s = store.read_tile_store(spark, path)
+    for df in (s.pixels, s.tiles, s.manifest):
+        assert {r[0] for r in df.select("area_key").distinct().collect()} == {"001", "002"}
+    assert s.tiles.count() == s.tiles.select("key").distinct().count() == 2 * 2 * 4
+    # A rebuild of one area and date leaves the rest as it was.
+    again = both.where("area_key = '002' and date = '2024-08-21'").withColumn("B04", F.lit(0.9))
+    store.write_tile_store(again, path, bands, 32, rebuild=True)
+    after = store.read_tile_store(spark, path)
+    assert after.pixels.count() == 4 * 64 * 64 and after.tiles.count() == 16 and after.manifest.count() == 4
+    changed = after.pixels.where("B04 = 9000").select("area_key", "date").distinct().collect()
+    assert [(r[0], str(r[1])) for r in changed] == [("002", "2024-08-21")]
+    with pytest.raises(ValueError, match="holds bands"):
+        store.write_tile_store(again, path, ["B08"], 32, rebuild=True)
+
+
+def test_all_cuts_count(spark):
+    """More than 96 distinct ends: the best pair over all of them is found."""
+    rows = [(f"t{k}", k * 8, 0, k * 8 + 8, 8) for k in range(300)]
+    tiles = spark.createDataFrame(rows, "key string, top int, left int, bottom int, right int")
+    best = Sp.split_cuts(tiles, [], [0]).first()
+    assert (best.train, best.val, best.test) == (210, 45, 45)
+
+
+def test_rejects_and_codes(spark):
+    from marshgrid.sources import catalog, detections
+    good = '{"id": "a", "bbox": [1, 2, 3, 4], "properties": {"datetime": "%s"}, "assets": {"red": {"href": "x"}}}'
+    items = spark.createDataFrame([(good % "2024-01-01T00:00:00Z",), (good % "not a time",), ("{broken",)], "value string")
+    assert catalog.scenes_from_stac(items).count() <= 1
+    assert tuple(catalog.stac_rejects(items).first()) == (3, 1, 1)
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "id long, v string")
+    assert sorted(map(tuple, detections.upsert(old, new, ["id"]).collect())) == [(1, "a"), (2, "d"), (3, "e")]
+    ring = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]]
+    bad = spark.createDataFrame([("k", 0, 300, ring, 4, 4)], "key string, feature_pos int, class_code int, rings array<array<struct<x:double,y:double>>>, height int, width int")
+    with pytest.raises(Exception, match="outside 0..255"):
+        A.rasterize_polygons(bad).collect()
