@@ -325,11 +325,7 @@ def d10(spark, sf):
 def d11(spark, sf):
     t = tallies(spark, sf)
     bal = T.class_balance(t, t, ["scene", "top", "left"])
-    out = None
-    for scheme in ("inverse_frequency", "sqrt_inverse", "uniform"):
-        w = T.class_weights(bal, scheme).select("class_code", rr("weight", alias=scheme))
-        out = w if out is None else out.join(w, "class_code")
-    return out
+    return T.class_weight_table(bal).select("class_code", *[rr(w) for w in T.WEIGHT_SCHEMES])
 
 
 @query("d12_band_statistics", f"""WITH {S.TILES},

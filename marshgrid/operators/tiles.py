@@ -141,17 +141,34 @@ def class_balance(tallies: DataFrame, subset: DataFrame | None = None, on: list[
                        share.alias("fraction"), "total_px")
 
 
+WEIGHT_SCHEMES = ("inverse_frequency", "sqrt_inverse", "uniform")
+
+
+def class_weight_table(balance: DataFrame, schemes=WEIGHT_SCHEMES) -> DataFrame:
+    """Loss weights of every scheme as a column: clipped to [.05, 50], mean one.
+
+    The class counts are a handful of rows: one aggregate turns them into an array, and
+    all schemes are computed on it.
+    """
+    unknown = [x for x in schemes if x not in WEIGHT_SCHEMES]
+    if unknown:
+        raise ValueError(f"unknown class weighting scheme {unknown[0]!r}")
+    n = F.when(F.col("px") == 0, 1.0).otherwise(F.col("px").cast("double"))
+    one = balance.agg(F.sort_array(F.collect_list(F.struct("class_code", n.alias("n")))).alias("c"))
+    add = lambda column: F.aggregate(column, F.lit(0.0), lambda s, x: s + x)
+    one = one.select("c", add(F.col("c.n")).alias("s"), F.size("c").alias("k"))
+    def raw(scheme, x):
+        base = F.col("s") / (x["n"] * F.col("k"))
+        return P.clip({"inverse_frequency": base, "sqrt_inverse": F.sqrt(base), "uniform": F.lit(1.0)}[scheme], 0.05, 50.0)
+    one = one.select("k", F.transform("c", lambda x: F.struct(x["class_code"].alias("class_code"), *[raw(w, x).alias(w) for w in schemes])).alias("w"))
+    means = [(add(F.col(f"w.{w}")) / F.col("k")).alias(f"m_{w}") for w in schemes]
+    return one.select("w", *means).select(F.inline(F.transform("w", lambda x: F.struct(
+        x["class_code"].alias("class_code"), *[(x[w] / F.col(f"m_{w}")).alias(w) for w in schemes]))))
+
+
 def class_weights(balance: DataFrame, scheme: str = "inverse_frequency") -> DataFrame:
-    """Loss weights from the four class counts, clipped to [.05, 50], mean one."""
-    if scheme not in ("inverse_frequency", "sqrt_inverse", "uniform"):
-        raise ValueError(f"unknown class weighting scheme {scheme!r}")
-    filled = balance.select("class_code", F.when(F.col("px") == 0, 1.0).otherwise(F.col("px").cast("double")).alias("n"))
-    filled = with_scalar(filled, filled.agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("k")))
-    base = F.col("s") / (F.col("n") * F.col("k"))
-    raw = {"inverse_frequency": base, "sqrt_inverse": F.sqrt(base), "uniform": F.lit(1.0)}[scheme]
-    clipped = filled.select("class_code", P.clip(raw, 0.05, 50.0).alias("w"))
-    return with_scalar(clipped, clipped.agg(F.avg("w").alias("m"))).select(
-        "class_code", (F.col("w") / F.col("m")).alias("weight"))
+    """Loss weights from the class counts under one scheme."""
+    return class_weight_table(balance, [scheme]).withColumnRenamed(scheme, "weight")
 
 
 def linspace_positions(total: int, limit: int) -> list[int]:
