@@ -88,8 +88,10 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: list[floa
         F.count_if(F.col("_v") < 0).alias("negatives"), F.percentile_approx("_v", lows + highs, accuracy).alias("_q"))
     k = len(probs)
     # A requested end (p near 0 or 1) uses the true extreme as its bracket edge.
-    lo = [F.col("vmin") if lows[i] == 0.0 else F.col("_q")[i] for i in range(k)]
-    hi = [F.col("vmax") if highs[i] == 1.0 else F.col("_q")[k + i] for i in range(k)]
+    # In a small group the slack is less than the two ranks that are interpolated: its whole range is the bracket.
+    few = F.col("n") <= 4 * accuracy
+    lo = [F.col("vmin") if lows[i] == 0.0 else F.when(few, F.col("vmin")).otherwise(F.col("_q")[i]) for i in range(k)]
+    hi = [F.col("vmax") if highs[i] == 1.0 else F.when(few, F.col("vmax")).otherwise(F.col("_q")[k + i]) for i in range(k)]
     bounds = sketch.select(*by, "n", "vmin", "vmax", "negatives", F.array(*[
         F.struct(F.lit(i).alias("i"), lo[i].alias("lo"), hi[i].alias("hi")) for i in range(k)]).alias("_b"))
 
@@ -121,7 +123,8 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: list[floa
         F.min(F.when(F.col("_x").isNotNull() & (F.col("_cum") > low_k), F.col("_x"))).alias("_a"),
         F.min(F.when(F.col("_x").isNotNull() & (F.col("_cum") > high_k), F.col("_x"))).alias("_z"),
         F.first(at - low_k).alias("_f"))
-    value_at = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
+    outside = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
+    value_at = F.when(F.col("_a").isNull() | F.col("_z").isNull(), outside).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f"))
     wide = picked.groupBy(*by).agg(*[
         F.max(F.when(F.col("_i") == i, value_at)).alias(names[i]) for i in range(k)])
     head = bounds.select(*by, "n", "vmin", "vmax", "negatives")

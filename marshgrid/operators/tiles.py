@@ -257,7 +257,9 @@ def band_statistics(px: DataFrame, tiles: DataFrame, bands: list[str], by: list[
                      *[F.sqrt(F.greatest(moment(b, 2) - F.pow(moment(b, 1), 2), F.lit(0.0))).alias(f"s_{b}") for b in bands])
     rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(b).alias("band"), F.col(f"m_{b}").alias("mean"),
                               F.col(f"s_{b}").alias("std")) for i, b in enumerate(bands)])
-    out = stats.select("usable_px", F.inline(rows))
+    # A store without tiles has no statistics; tiles without usable pixels are an error.
+    out = with_scalar(stats, chosen.agg(F.count(F.lit(1)).alias("_tiles"))).where((F.col("usable_px") > 0) | (F.col("_tiles") > 0))
+    out = out.select("usable_px", F.inline(rows))
     empty = F.raise_error(F.lit("the tiles hold no usable pixels"))
     return out.select("position", "band",
                       F.when(F.col("usable_px") > 0, F.round("mean", 6)).otherwise(empty.cast("double")).alias("mean"),
