@@ -5,7 +5,9 @@ second-moment matrix is one small distributed sum).  Equal vectors are folded.
 by splitting at the median along the leading axes in turn, so a tile is a small box there.
 
 A pair of tiles is compared unless its boxes lie too far apart: cos >= t for unit vectors
-means a distance of at most sqrt(2 - 2t) along any set of axes.  Within a tile pair products
+means a distance of at most sqrt(2 - 2t) along any set of axes.  Sibling tiles are shipped
+together as blocks, so a vector travels once per block near its own; inside a task the tiles
+of two blocks are told apart by their boxes again.  Within a tile pair products
 are accumulated over the leading dimensions first; the rest of a product is at most the
 product of the two suffix norms, so a pair is dropped as soon as the sum so far plus that
 bound stays below the threshold.  What is left is decided by the cosine of the original
@@ -32,8 +34,8 @@ from marshgrid.llm import common as C
 from marshgrid.llm.components import components
 
 THRESHOLD = 0.95
-#: Vectors in a tile, about.
-TILE = 512
+#: Vectors in a tile, about, and tiles in a block, which is what tasks are given.
+TILE, TILES = 512, 16
 #: Leading axes by which tiles are cut and compared.
 AXES = 6
 #: Dimensions accumulated at a time.
@@ -143,27 +145,37 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def _compare_tiles(axes: np.ndarray, threshold: float):
+def _compare_blocks(axes: np.ndarray, threshold: float, lead: int):
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = [rows[rows.side == s].sort_values("vec_id") for s in (0, 1)]
-        one = sides[0]
-        two = sides[1] if len(sides[1]) else one
-        links, degree_a, degree_b = [], np.zeros(len(one), np.int64), np.zeros(len(two), np.int64)
-        copies_a, copies_b, ids_a, ids_b = one.copies.to_numpy(), two.copies.to_numpy(), one.vec_id.to_numpy(), two.vec_id.to_numpy()
-        y = np.stack(two.v.to_numpy()).astype(np.float64)
-        # A tile may be larger than planned where many projections are equal: it is worked off in strips.
-        for lo in range(0, len(one), TILE):
-            x = np.stack(one.v.iloc[lo:lo + TILE].to_numpy()).astype(np.float64)
-            for at in range(0, len(y), 4 * TILE):
-                i, j = compare(x, y[at:at + 4 * TILE], axes, threshold)
+        rows = rows.sort_values(["side", "tile", "vec_id"])
+        sides = []
+        for k in (0, 1):
+            part = rows[rows.side == k]
+            if len(part):
+                x = np.stack(part.v.to_numpy()).astype(np.float64)
+                place = unit_rows(x) @ axes[:, :lead]
+                # Strips end where tiles do, and a tile of many equal projections is cut.
+                edge = np.unique([0, *(np.flatnonzero(np.diff(part.tile.to_numpy())) + 1), *range(0, len(part), TILE), len(part)])
+                strips = [(lo, hi, place[lo:hi].min(0), place[lo:hi].max(0)) for lo, hi in zip(edge, edge[1:])]
+                sides.append((part.vec_id.to_numpy(), part.copies.to_numpy(), x, strips, np.zeros(len(part), np.int64)))
+        one, two = sides[0], sides[-1]
+        links = []
+        for lo, hi, low, high in one[3]:
+            for at, to, low2, high2 in two[3]:
+                gap = np.maximum(0, np.maximum(low - high2, low2 - high))
+                if (two is one and at < lo) or gap @ gap > reach * reach:
+                    continue
+                i, j = compare(one[2][lo:hi], two[2][at:to], axes, threshold)
                 i, j = i + lo, j + at
-                if two is one:
+                if two is one and at == lo:
                     i, j = i[i < j], j[i < j]
-                np.add.at(degree_a, i, copies_b[j])
-                np.add.at(degree_b, j, copies_a[i])
-                links += _forest(ids_a[i], ids_b[j])
+                np.add.at(one[4], i, two[1][j])
+                np.add.at(two[4], j, one[1][i])
+                links += _forest(one[0][i], two[0][j])
         links = _forest(*np.array(links).reshape(-1, 2).T) if links else []
-        out = [(int(v), None, int(d)) for v, d in [*zip(ids_a, degree_a), *zip(ids_b, degree_b)] if d]
+        out = [(int(v), None, int(d)) for ids, _, _, _, degree in ([one] if two is one else [one, two]) for v, d in zip(ids, degree) if d]
         return pd.DataFrame(out + [(a, b, None) for a, b in links], columns=["a", "b", "n"]).astype("Int64")
     return run
 
@@ -190,14 +202,15 @@ def link_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rotated = folded.mapInArrow(_rotate_batches(axes, lead), fields)
     tiled = C.saved(_tiles(rotated, folded.count(), lead), "tiled")
 
-    # Boxes of the tiles: a few numbers for each TILE vectors, joined on overlap of the leading axes.
-    box = tiled.groupBy("tile").agg(*[f(f"p{k}").alias(f"{n}{k}") for k in range(lead) for n, f in (("lo", F.min), ("hi", F.max))])
+    # Boxes of the blocks: a few numbers for thousands of vectors, joined on overlap of the leading axes.
+    tiled = tiled.withColumn("block", F.floor(F.col("tile") / TILES).cast("long"))
+    box = tiled.groupBy("block").agg(*[f(f"p{k}").alias(f"{n}{k}") for k in range(lead) for n, f in (("lo", F.min), ("hi", F.max))])
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     pairs = _near_boxes(box, lead, reach)
-    sides = pairs.select(F.explode(F.when(F.col("t") == F.col("u"), F.array(F.struct(F.col("t").alias("tile"), F.lit(0).alias("side")))).otherwise(
-        F.array(F.struct(F.col("t").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("u").alias("tile"), F.lit(1).alias("side"))))).alias("s"), "t", "u")
-    work = sides.select("t", "u", "s.tile", "s.side").join(tiled.select("tile", "vec_id", "copies", "v"), "tile")
-    found = C.saved(work.groupBy("t", "u").applyInPandas(_compare_tiles(axes, threshold), "a long, b long, n long"), "found")
+    sides = pairs.select(F.explode(F.when(F.col("t") == F.col("u"), F.array(F.struct(F.col("t").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("t").alias("block"), F.lit(0).alias("side")), F.struct(F.col("u").alias("block"), F.lit(1).alias("side"))))).alias("s"), "t", "u")
+    work = sides.select("t", "u", "s.block", "s.side").join(tiled.select("block", "tile", "vec_id", "copies", "v"), "block").drop("block")
+    found = C.saved(work.groupBy("t", "u").applyInPandas(_compare_blocks(axes, threshold, lead), "a long, b long, n long"), "found")
 
     degree = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("vec_id"), "n")
     same = owner.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
@@ -211,10 +224,10 @@ def link_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def _near_boxes(box: DataFrame, lead: int, reach: float) -> DataFrame:
-    """Pairs (t <= u) of tiles whose boxes come within ``reach``: meeting cells of the first axis, then distance."""
+    """Pairs (t <= u) of blocks whose boxes come within ``reach``: meeting cells of the first axis, then distance."""
     cell = lambda x: F.floor(x / reach).cast("long")
     x = box.select(*[F.col(c).alias(f"a_{c}") for c in box.columns], F.explode(F.sequence(cell(F.col("lo0")), cell(F.col("hi0") + reach))).alias("cell"))
     y = box.select(*[F.col(c).alias(f"b_{c}") for c in box.columns], F.explode(F.sequence(cell(F.col("lo0")), cell(F.col("hi0") + reach))).alias("cell"))
     gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"a_lo{k}") - F.col(f"b_hi{k}"), F.col(f"b_lo{k}") - F.col(f"a_hi{k}")), 2) for k in range(lead)), F.lit(0.0))
-    met = x.join(y, "cell").where((F.col("a_tile") <= F.col("b_tile")) & (gap <= reach * reach))
-    return met.select(F.col("a_tile").alias("t"), F.col("b_tile").alias("u")).distinct()
+    met = x.join(y, "cell").where((F.col("a_block") <= F.col("b_block")) & (gap <= reach * reach))
+    return met.select(F.col("a_block").alias("t"), F.col("b_block").alias("u")).distinct()

@@ -29,6 +29,7 @@ def run(spark, rows):
 
 def test_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(E, "TILE", 24)
+    monkeypatch.setattr(E, "TILES", 2)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 8))
     v = np.concatenate([centres[rng.integers(0, 12, 260)] + rng.normal(scale=0.22, size=(260, 8)), np.repeat(centres[:1], 70, 0), rng.normal(size=(60, 8))])
