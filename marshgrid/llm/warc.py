@@ -121,13 +121,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     fs, name = _fs(folder)
     fs.create_dir(name, recursive=True)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html"))
-    rows = rows.withColumns({"sha1": F.sha1("html"), "size": F.octet_length("html")})
-    # Combined on the map side, then only digests that occur again are joined.
-    firsts = (rows.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("sha1", "size", "head"))
-    named = rows.join(firsts, ["sha1", "size"], "left").withColumn("head", F.when(F.col("head") != F.col("page_id"), F.col("head")))
-    # Rows are dealt out by id: a digest that many pages share does not gather in one archive.
-    dealt = named.select("page_id", "url", "html", "sha1", "head").repartition("page_id")
+    rows = rows.withColumns({"sha1": F.sha1("html"), "size": F.octet_length("html"), "pid": F.coalesce("page_id", F.lit((1 << 63) - 1))})
+    # Digests alone decide who revisits whom; they are combined on the map side.
+    digests = rows.where(F.col("size") >= min_bytes).select("pid", "page_id", "sha1", "size")
+    firsts = digests.groupBy("sha1", "size").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "size", "head")
+    again = digests.join(firsts, ["sha1", "size"]).where("head <> pid").select("pid", "sha1", "size", "head").distinct()
+    # Payloads move once, dealt out by id: a digest that many pages share does not gather in one archive.
+    dealt = rows.join(again, ["pid", "sha1", "size"], "left").select("page_id", "url", "html", "sha1", "head")
     return C.saved(dealt.mapInArrow(_write_batches(folder), _INDEX), "warc-index")
 
 
@@ -171,5 +171,7 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     (null for revisits, or if not asked for).
     """
     C.ship(index.sparkSession)
-    ranges = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # As many tasks as archives: index rows are small, what they stand for is not.
+    n = max(1, index.select("file").distinct().count())
+    ranges = index.select("file", "offset", "length").repartition(n, "file").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_read_batches(with_payload), _RECORD)
