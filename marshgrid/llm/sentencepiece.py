@@ -41,8 +41,10 @@ CHUNK = 8192
 #: Chunks whose matrices are combined in one group of the scan.
 RUN = 256
 SPACE = "▁"
+#: Stretches share their beginnings: paths of so many characters are remembered as well.
+BEGINNING = 6
 #: Stretches remembered by a worker, in each of two generations.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class Model:
@@ -60,17 +62,21 @@ class Model:
         self.score = {p: m.get_score(i) for p, i in self.ids.items()}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.unknown = m.unk_id()
+        # What each id adds to a decoded text.
+        self.spelling = [bytes([self.of_byte[i]]) if i in self.of_byte else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids))
         self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         # Pieces that encode to themselves; only those can stand in an encoding.
         self.solid = {p for p in self.ids if self.merge(p) == [p]}
-        # Longest of them that ends in a given pair of characters.
-        self.reach: dict[str, int] = {}
+        # Their lengths by the last three characters; ``lengths`` adds what shorter ones there are.
+        self.by_end: dict[str, list[int]] = {}
         for p in self.solid:
-            if len(p) > 1:
-                self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
+            if len(p) > 2:
+                self.by_end.setdefault(p[-3:], []).append(len(p))
+        self.known_lengths: dict[str, tuple[int, ...]] = {}
         self.remembered: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
+        self.beginnings: dict[str, tuple[list, list]] = {}
         self.neighbours: dict[str, dict[str, bool]] = {}
         self.known_pairs = 0
         # Where the space mark only begins pieces, each word is a stretch of its own.
@@ -92,6 +98,15 @@ class Model:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def lengths(self, end: str) -> tuple[int, ...]:
+        """Lengths, longest first, of the pieces that may end in these (up to three) characters."""
+        found = sorted(set(self.by_end.get(end, ())), reverse=True)
+        found += [2] if end[-2:] in self.solid and len(end) > 1 else []
+        if len(self.known_lengths) > REMEMBERED:
+            self.known_lengths.clear()
+        known = self.known_lengths[end] = (*found, 1)
+        return known
+
     def allowed(self, left: str, right: str) -> bool:
         """Weight 0 (True) or minus infinity between two neighbours; remembered by left piece."""
         if self.known_pairs > 2 * REMEMBERED:
@@ -109,27 +124,54 @@ class Model:
         The path to a position is unique, so one piece a position is all there is to keep.
         Pieces start before ``end`` and may lie across it.  Entry 0 belongs to ``begin``.
         """
-        reach, solid, neighbours = self.reach, self.solid, self.neighbours
         path: list[str | None] = [last]
-        after: list[dict | None] = [neighbours.setdefault(last, {})]
-        for at in range(begin + 1, stop + 1):
-            found = None
-            start = max(begin, at - reach.get(text[at - 2:at] if at > 1 else "", 1))
-            for start in range(start, min(at, end)):
+        after: list[dict | None] = [self.neighbours.setdefault(last, {})]
+        self._extend(text, begin, end, stop, path, after)
+        return path
+
+    def whole(self, text: str) -> list[str]:
+        """The path through a text that stands alone."""
+        n = len(text)
+        if n <= BEGINNING:
+            return self.forward(text, 0, "", n, n)
+        head = self.beginnings.get(text[:BEGINNING])
+        if head is None:
+            if len(self.beginnings) > REMEMBERED // 2:
+                self.beginnings.clear()
+            head = ([""], [self.neighbours.setdefault("", {})])
+            self._extend(text, 0, n, BEGINNING, *head)
+            self.beginnings[text[:BEGINNING]] = head
+        path, after = head[0][:], head[1][:]
+        self._extend(text, 0, n, n, path, after)
+        return path
+
+    def _extend(self, text: str, begin: int, end: int, stop: int, path: list, after: list) -> None:
+        """Go on from what ``path`` and ``after`` (the neighbours of its pieces) hold."""
+        solid, neighbours, lengths = self.solid, self.neighbours, self.known_lengths
+        for at in range(begin + len(path), stop + 1):
+            near = text[at - 3 if at > 3 else 0:at]
+            for n in lengths.get(near) or self.lengths(near):
+                start = at - n
+                if start < begin or start >= end:
+                    continue
                 known = after[start - begin]
                 if known is None:
                     continue
                 piece = text[start:at]
-                if piece in solid or at - start == 1:
+                if n == 1 or piece in solid:
                     fit = known.get(piece)
                     if fit is None:
                         fit = self.allowed(path[start - begin], piece)
                     if fit:
-                        found = piece
+                        path.append(piece)
+                        known = neighbours.get(piece)
+                        if known is None:
+                            known = neighbours[piece] = {}
+                        after.append(known)
                         break
-            path.append(found)
-            after.append(None if found is None else neighbours.setdefault(found, {}))
-        return path
+            else:
+                path.append(None)
+                after.append(None)
 
     def trace(self, path: list[str | None], at: int, begin: int) -> list[int]:
         """Ids of the pieces from ``begin`` to ``at``."""
@@ -162,7 +204,7 @@ class Model:
                 part = text[a:b]
                 own = self.remembered.get(part)
                 if own is None:
-                    own = array("i", self.trace(self.forward(part, 0, "", b - a, b - a), b - a, 0)).tobytes()
+                    own = array("i", self.trace(self.whole(part), b - a, 0)).tobytes()
                     if len(part) < len(text):
                         self.remembered[part] = own
                 known += own
@@ -255,19 +297,8 @@ class Model:
         return self.prefix + text.replace(" ", SPACE) if text else ""
 
     def decode(self, ids) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.of_byte.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(self.pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        """The text of a list of ids; bytes that are no UTF-8 become replacement characters."""
+        text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "replace")
         return text[len(self.prefix):] if self.prefix and text.startswith(" ") else text
 
 
@@ -344,22 +375,46 @@ def _settle(matrices: list[list], entry, leave) -> list[tuple]:
     return states[::-1]
 
 
-def _run_products(rows):
-    rows = rows.sort_values("idx")
-    product = functools.reduce(_product, map(pickle.loads, rows.matrix))
-    return rows.iloc[:1][["id", "tkey", "run"]].assign(matrix=[pickle.dumps(product)])
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], names=list(names))
+
+
+_PRODUCT = "id long, tkey long, run int, matrix binary"
+_RUN_ENDS = "id long, tkey long, run int, entry binary, leave binary"
+_CHUNK_ENDS = "id long, tkey long, idx int, entry binary, leave binary"
+
+
+def _product_batches(batches):
+    """One matrix for each run of chunks."""
+    for batch in batches:
+        rows = [(i, k, r, pickle.dumps(functools.reduce(_product, [pickle.loads(c["matrix"]) for c in cells])))
+                for i, k, r, cells in zip(*(batch.column(c).to_pylist() for c in ("id", "tkey", "run", "cells")))]
+        if rows:
+            yield _rows(rows, _PRODUCT)
 
 
-def _run_states(rows):
-    rows = rows.sort_values("run")
-    states = _settle([pickle.loads(x) for x in rows.matrix], (0, ""), None)
-    return rows[["id", "tkey", "run"]].assign(entry=[pickle.dumps(s) for s in states[:-1]], leave=[pickle.dumps(s) for s in states[1:]])
+def _run_end_batches(batches):
+    """States at the ends of a document's runs."""
+    for batch in batches:
+        rows = []
+        for i, k, runs in zip(*(batch.column(c).to_pylist() for c in ("id", "tkey", "runs"))):
+            states = list(map(pickle.dumps, _settle([pickle.loads(r["matrix"]) for r in runs], (0, ""), None)))
+            rows += [(i, k, r["run"], a, b) for r, a, b in zip(runs, states, states[1:])]
+        if rows:
+            yield _rows(rows, _RUN_ENDS)
 
 
-def _chunk_states(rows):
-    rows = rows.sort_values("idx")
-    states = _settle([pickle.loads(x) for x in rows.matrix], pickle.loads(rows.entry.iloc[0]), pickle.loads(rows.leave.iloc[0]))
-    return rows[["id", "tkey", "idx"]].assign(entry=[pickle.dumps(s) for s in states[:-1]], leave=[pickle.dumps(s) for s in states[1:]])
+def _chunk_end_batches(batches):
+    """States at the ends of a run's chunks."""
+    for batch in batches:
+        rows = []
+        for i, k, cells, entry, leave in zip(*(batch.column(c).to_pylist() for c in ("id", "tkey", "cells", "entry", "leave"))):
+            states = list(map(pickle.dumps, _settle([pickle.loads(c["matrix"]) for c in cells], pickle.loads(entry), pickle.loads(leave))))
+            rows += [(i, k, c["idx"], a, b) for c, a, b in zip(cells, states, states[1:])]
+        if rows:
+            yield _rows(rows, _CHUNK_ENDS)
 
 
 def _walk_batches(path):
@@ -395,11 +450,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     # Rows that repeat id and text are encoded once.
     chunks = C.saved(giants.select("id", "tkey", F.col("_text").alias("text")).dropDuplicates(["id", "tkey"])
                      .mapInArrow(_chunk_batches(model_path, chunk), _CHUNK), "chunks")
-    cells = chunks.select("id", "tkey", "idx", F.floor(F.col("idx") / RUN).cast("int").alias("run"), "matrix")
-    products = cells.groupBy("id", "tkey", "run").applyInPandas(_run_products, "id long, tkey long, run int, matrix binary")
-    ends = products.groupBy("id", "tkey").applyInPandas(_run_states, "id long, tkey long, run int, entry binary, leave binary")
-    states = (cells.join(ends, ["id", "tkey", "run"]).groupBy("id", "tkey", "run")
-              .applyInPandas(_chunk_states, "id long, tkey long, idx int, entry binary, leave binary"))
+    # At most RUN matrices a row, and at most 2^31 / (chunk * RUN) runs a document.
+    runs = (chunks.groupBy("id", "tkey", F.floor(F.col("idx") / RUN).cast("int").alias("run"))
+            .agg(F.sort_array(F.collect_list(F.struct("idx", "matrix"))).alias("cells")))
+    products = runs.mapInArrow(_product_batches, _PRODUCT)
+    ends = (products.groupBy("id", "tkey").agg(F.sort_array(F.collect_list(F.struct("run", "matrix"))).alias("runs"))
+            .mapInArrow(_run_end_batches, _RUN_ENDS))
+    states = runs.join(ends, ["id", "tkey", "run"]).mapInArrow(_chunk_end_batches, _CHUNK_ENDS)
     walked = (chunks.drop("matrix").withColumn("at", F.col("idx") * F.lit(chunk)).join(states, ["id", "tkey", "idx"])
               .mapInArrow(_walk_batches(model_path), "id long, tkey long, idx int, part array<int>"))
     whole = walked.groupBy("id", "tkey").agg(F.sort_array(F.collect_list(F.struct("idx", "part"))).alias("parts"))
@@ -412,7 +469,7 @@ def _decode_batches(path, names):
     def run(batches):
         m = model(path)
         for batch in batches:
-            texts = [None if x is None else m.decode(x) for x in batch.column("ids").to_pylist()]
+            texts = [m.decode(np.asarray(x.values).tolist()) if x.is_valid else None for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], names=[*names, "decoded"])
     return run
 
