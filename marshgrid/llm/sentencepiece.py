@@ -329,30 +329,33 @@ def _short_batches(path, schema_names):
     return run
 
 
-_CHUNK = "id long, tkey long, idx int, n int, text string, begin int, finish int, matrix binary"
+_CHUNK = "id long, tkey long, idx int, matrix binary"
+
+
+def pieces_of(m: Model, text: str, chunk: int):
+    """(text with its surroundings, their position, begin, end, is last) of each chunk of a normal text."""
+    for lo in range(0, len(text), chunk):
+        hi = min(len(text), lo + chunk)
+        base = max(0, lo - m.longest)
+        yield text[base:min(len(text), hi + m.longest)], base, lo - base, hi - base, hi == len(text)
 
 
 def _chunk_batches(path, chunk):
+    """The matrix of every chunk."""
     def run(batches):
         m = model(path)
         for batch in batches:
+            rows = []
             for id_, key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tkey", "text"))):
-                text = m.normal(text)
-                n = -(-len(text) // chunk)
-                rows = []
-                for c in range(n):
-                    lo, hi = c * chunk, min(len(text), (c + 1) * chunk)
-                    base = max(0, lo - m.longest)
-                    part = text[base:min(len(text), hi + m.longest)]
-                    cells = m.transfer(part, lo - base, hi - base, c == 0, c == n - 1)
+                for c, (part, base, lo, hi, final) in enumerate(pieces_of(m, m.normal(text), chunk)):
                     # Positions are kept relative to the document.
-                    cells = [((a + base, p), (b + base, q)) for (a, p), (b, q) in cells]
-                    rows.append((id_, key, c, n, part, lo - base, hi - base, pickle.dumps(cells)))
-                    if len(rows) == 256 or c == n - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (
-                            pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary()))],
-                            names=[x.split()[0] for x in _CHUNK.split(", ")])
+                    cells = [((a + base, p), (b + base, q)) for (a, p), (b, q) in m.transfer(part, lo, hi, c == 0, final)]
+                    rows.append((id_, key, c, pickle.dumps(cells)))
+                    if len(rows) == 4096:
+                        yield _rows(rows, _CHUNK)
                         rows = []
+            if rows:
+                yield _rows(rows, _CHUNK)
     return run
 
 
@@ -417,26 +420,30 @@ def _chunk_end_batches(batches):
             yield _rows(rows, _CHUNK_ENDS)
 
 
-def _walk_batches(path):
+def _walk_batches(path, chunk, names):
+    """Each chunk's way back from the states at its ends, whatever the other chunks do."""
     def run(batches):
         m = model(path)
         for batch in batches:
-            ids = []
-            for text, begin, finish, idx, n, at, entry, leave in zip(*(batch.column(c).to_pylist() for c in (
-                    "text", "begin", "finish", "idx", "n", "at", "entry", "leave"))):
-                base = at - begin
-                (a, p), (b, q) = pickle.loads(entry), pickle.loads(leave)
-                ids.append(m.walk(text, (a - base, p), (b - base, q), begin, finish, idx == n - 1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tkey"), batch.column("idx"), id_lists(ids)],
-                                             names=["id", "tkey", "idx", "part"])
+            for at in range(0, batch.num_rows, 200):
+                part_of = batch.slice(at, 200)
+                ids = []
+                for text, states in zip(part_of.column("_text").to_pylist(), part_of.column("states").to_pylist()):
+                    out = []
+                    for (part, base, lo, hi, final), state in zip(pieces_of(m, m.normal(text), chunk), states):
+                        (a, p), (b, q) = pickle.loads(state["entry"]), pickle.loads(state["leave"])
+                        out.append(m.walk(part, (a - base, p), (b - base, q), lo, hi, final))
+                    ids.append(b"".join(out))
+                yield pa.RecordBatch.from_arrays([*[part_of.column(c) for c in names], id_lists(ids)], names=[*names, "ids"])
     return run
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``docs`` with ``ids`` (array<int>), the pieces of the whole text; a column of that name is replaced.
 
-    Texts of one chunk are encoded where they are.  Chunks of longer ones are spread over the
-    cluster; a document's matrices, never its text, meet in groups of ``RUN``.
+    Texts of one chunk are encoded where they are.  Of longer ones only the matrices of chunks
+    travel and meet, in groups of ``RUN``; the states at the ends of the chunks come back to the
+    document's row, where each chunk is walked on its own.
     """
     C.ship(docs.sparkSession)
     names = [c for c in docs.columns if c != "ids"]
@@ -447,9 +454,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     key = {"id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "tkey": F.xxhash64("_text")}
     giants = kept.where(is_long).withColumns(key)
-    # Rows that repeat id and text are encoded once.
-    chunks = C.saved(giants.select("id", "tkey", F.col("_text").alias("text")).dropDuplicates(["id", "tkey"])
-                     .mapInArrow(_chunk_batches(model_path, chunk), _CHUNK), "chunks")
+    # Rows that repeat id and text have the same matrices.
+    chunks = C.saved(giants.select("id", "tkey", F.col("_text").alias("text")).mapInArrow(_chunk_batches(model_path, chunk), _CHUNK)
+                     .dropDuplicates(["id", "tkey", "idx"]), "chunks")
     # At most RUN matrices a row, and at most 2^31 / (chunk * RUN) runs a document.
     runs = (chunks.groupBy("id", "tkey", F.floor(F.col("idx") / RUN).cast("int").alias("run"))
             .agg(F.sort_array(F.collect_list(F.struct("idx", "matrix"))).alias("cells")))
@@ -457,11 +464,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     ends = (products.groupBy("id", "tkey").agg(F.sort_array(F.collect_list(F.struct("run", "matrix"))).alias("runs"))
             .mapInArrow(_run_end_batches, _RUN_ENDS))
     states = runs.join(ends, ["id", "tkey", "run"]).mapInArrow(_chunk_end_batches, _CHUNK_ENDS)
-    walked = (chunks.drop("matrix").withColumn("at", F.col("idx") * F.lit(chunk)).join(states, ["id", "tkey", "idx"])
-              .mapInArrow(_walk_batches(model_path), "id long, tkey long, idx int, part array<int>"))
-    whole = walked.groupBy("id", "tkey").agg(F.sort_array(F.collect_list(F.struct("idx", "part"))).alias("parts"))
-    ids = whole.select("id", "tkey", F.flatten(F.col("parts.part")).alias("ids"))
-    long = giants.join(ids, ["id", "tkey"]).select(*names, "ids")
+    known = states.groupBy("id", "tkey").agg(F.sort_array(F.collect_list(F.struct("idx", "entry", "leave"))).alias("states"))
+    long = giants.join(known, ["id", "tkey"]).mapInArrow(_walk_batches(model_path, chunk, names), schema)
     return short.unionByName(long)
 
 
