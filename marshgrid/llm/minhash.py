@@ -16,11 +16,12 @@ candidates; every link that counts is verified on the texts themselves:
 
 1. each text is checked against the first text of its most promising bucket,
 2. then against the first texts of its other buckets that are not in its class yet,
-3. in buckets that still hold several classes, all pairs of different classes whose
-   sketches agree far enough, in blocks of bounded size, until none is left unchecked.
+3. in buckets that still hold several classes, all pairs of different classes: small buckets
+   list the pairs whose sketches agree far enough, large ones are cut into blocks of bounded
+   size and each two blocks verify their pairs where they meet, sending a spanning forest.
 
 A bucket with a third of all texts costs one comparison a text in steps 1 and 2, and step 3
-only has what they leave apart.  No cap drops a candidate.
+only has buckets that they leave apart.  No cap drops a candidate.
 
 Defined results: a null or blank text has no shingles and is a class of its own; one of one
 to four words has one shingle, all its words; rows that repeat an id form one class member;
@@ -42,8 +43,8 @@ BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
 #: A pair's sketch agreement has a deviation of at most .05 at similarity .8; five of them.
 SKETCH_FLOOR = 0.55
-#: Texts in a block of step 3.
-BLOCK = 512
+#: Texts in a block of step 3, about, and in a bucket whose pairs are listed.
+BLOCK, SMALL = 256, 16
 
 
 def shingles(hashes: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -156,23 +157,73 @@ def _agree_batches(batches):
             pa.array(agree >= SKETCH_FLOOR))
 
 
-def _block_pairs(rows):
-    """Pairs of different classes in one pair of blocks whose sketches agree far enough."""
-    import pandas as pd
-
-    first = rows[rows.side == 0]
-    second = rows[rows.side == 1]
-    if not len(second):
-        second = first
-    x, y = (np.frombuffer(b"".join(t.sketch), np.uint8).reshape(-1, REGISTERS) for t in (first, second))
-    ids, other = first.doc_id.to_numpy(), second.doc_id.to_numpy()
-    root, other_root = first.root.to_numpy(), second.root.to_numpy()
-    out = []
-    for i in range(len(ids)):
-        ok = (ids[i] < other if second is first else np.ones(len(other), bool)) & (root[i] != other_root)
-        ok[ok] = (x[i] == y[ok]).mean(1) >= SKETCH_FLOOR
-        out += [(min(ids[i], o), max(ids[i], o)) for o in other[ok]]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+def overlaps(one: list, two: list) -> tuple[np.ndarray, np.ndarray]:
+    """(upper bound of the similarity, shared items) of every pair of two lists of weighted sets.
+
+    A shared item adds at most its share of either set's weight.
+    """
+    both = one + two
+    items, at = np.unique(np.concatenate([s[0] for s in both]), return_inverse=True)
+    who = np.repeat(np.arange(len(both)), [len(s[0]) for s in both])
+    weight = np.concatenate([s[1] for s in both]) / np.repeat([max(1, s[1].sum()) for s in both], [len(s[0]) for s in both])
+    # Items of one set only are in no intersection.
+    place = np.cumsum(np.bincount(at, minlength=len(items)) > 1) - 1
+    shared = (np.bincount(at, minlength=len(items)) > 1)[at]
+    col, who, weight = place[at][shared], who[shared], weight[shared]
+    order = np.argsort(col, kind="stable")
+    col, who, weight = col[order], who[order], weight[order]
+    n = len(one)
+    of_one, of_two, count = (np.zeros((n, len(two))) for _ in range(3))
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        part = slice(*np.searchsorted(col, [lo, lo + 4096]))
+        w, has = np.zeros((len(both), 4096), np.float32), np.zeros((len(both), 4096), np.float32)
+        w[who[part], col[part] - lo], has[who[part], col[part] - lo] = weight[part], 1
+        of_one += w[:n] @ has[n:].T
+        of_two += has[:n] @ w[n:].T
+        count += has[:n] @ has[n:].T
+    return np.minimum(of_one, of_two), np.rint(count)
+
+
+def _block_links(threshold: float):
+    """Verified links between different classes in one pair of blocks: a spanning forest of them."""
+    def run(rows):
+        import pandas as pd
+
+        rows = rows.drop_duplicates(["doc_id", "text", "side"])
+        sides = [rows[rows.side == k] for k in (0, 1)]
+        if not len(sides[1]):
+            sides[1] = sides[0]
+        sets = []
+        for side in sides:
+            raw, offsets = C.text_buffers(pa.array(side.text.tolist(), pa.string()))
+            (h,), counts = C.hash_words(raw, offsets)
+            edge = np.concatenate([[0], np.cumsum(counts)])
+            sets.append([shingles(h[edge[i]:edge[i + 1]]) for i in range(len(side))])
+        bound, shared = overlaps(*sets)
+        ids, others = (side.doc_id.to_numpy() for side in sides)
+        cls, other_cls = (side.root.to_numpy() for side in sides)
+        i, j = np.nonzero((bound >= threshold - 1e-5) & (cls[:, None] != other_cls[None]))
+        # Where every weight is one the similarity follows from the number of shared shingles.
+        size, other_size = (np.array([len(s[0]) for s in own]) for own in sets)
+        plain, other_plain = (np.array([len(s[0]) == s[1].sum() for s in own]) for own in sets)
+        easy = plain[i] & other_plain[j]
+        jaccard = shared[i, j] / (size[i] + other_size[j] - shared[i, j])
+        keep = ~easy | (jaccard >= threshold)
+        root: dict = {}
+
+        def find(v):
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+        out = []
+        for a, b, known in zip(i[keep], j[keep], easy[keep]):
+            r, s = find(cls[a]), find(other_cls[b])
+            if r != s and (known or similarity(*sets[0][a], *sets[1][b]) >= threshold):
+                root[r] = s
+                out.append((ids[a], others[b]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -216,9 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = C.saved(components(found), "roots")
     # 3. what is still apart in a bucket
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = _rest(met, root, sketches).join(tried, ["a", "b"], "left_anti")
-    links = _verified(rest, texts, threshold)
-    root = components(found.unionByName(links.select("a", "b")))
+    apart = _apart_rows(met, root)
+    links = _verified(_small_pairs(apart, sketches).join(tried, ["a", "b"], "left_anti"), texts, threshold)
+    inside = C.saved(_large_links(apart, texts, threshold), "inside")
+    root = components(found.unionByName(links.select("a", "b")).unionByName(inside))
     ids = plain.select("doc_id").distinct()
     out = ids.join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"),
@@ -239,24 +291,28 @@ def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _rest(met: DataFrame, root: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) of different classes in buckets of three or more texts."""
+def _apart_rows(met: DataFrame, root: DataFrame) -> DataFrame:
+    """Members of buckets of three or more texts that hold several classes."""
     rows = (met.where("n > 2").select("band", "key", "n", F.col("rep").alias("doc_id"))
             .join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left")
             .select("band", "key", "n", "doc_id", F.coalesce("root", "doc_id").alias("root")))
     split = rows.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-    rows = C.saved(rows.join(split, ["band", "key"]), "apart")
-    # Small buckets: a join inside the bucket, at most 63 partners a row.
-    small = rows.where("n <= 64")
+    return C.saved(rows.join(split, ["band", "key"]), "apart")
+
+
+def _small_pairs(apart: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of different classes in small buckets (a < b): a row has fewer than SMALL partners in each."""
+    small = apart.where(F.col("n") <= SMALL)
     x = small.select("band", "key", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
     y = small.select("band", "key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-    pairs = _agreeing(x.join(y, ["band", "key"]).where("a < b and ra <> rb").select("a", "b").distinct(), sketches).select("a", "b")
-    # Large ones: each pair of blocks is a group of bounded size.
-    large = rows.where("n > 64").join(sketches.withColumnRenamed("rep", "doc_id"), "doc_id")
+    return _agreeing(x.join(y, ["band", "key"]).where("a < b and ra <> rb").select("a", "b").distinct(), sketches).select("a", "b")
+
+
+def _large_links(apart: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links in large buckets, verified where two blocks of texts meet; pairs are never written out."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = large.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
-    large = large.select("band", "key", "doc_id", "root", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    large = large.select("band", "key", "doc_id", "root", "sketch", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+    large = apart.where(F.col("n") > SMALL).withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
+    large = large.select("band", "key", "doc_id", "root", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    large = large.select("band", "key", "doc_id", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
                          (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    met_in_blocks = large.groupBy("band", "key", "i", "j").applyInPandas(_block_pairs, "a long, b long")
-    return pairs.unionByName(met_in_blocks).distinct()
+    return large.join(texts, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(_block_links(threshold), "a long, b long")
