@@ -40,19 +40,26 @@ ESCAPE = 15
 #: Blocks worked off together.
 TOGETHER = 1024
 #: Remembered words per worker, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 # ---- Simple-8b -------------------------------------------------------------------------
 
 
+#: Selector class by bit length, and by value for 16-bit ids.
+_BY_BITS = np.searchsorted(WIDTHS, np.arange(65)).astype(np.uint8)
+_BY_VALUE = _BY_BITS[np.array([v.bit_length() for v in range(1 << 16)])]
+
+
 def _classes(ids: np.ndarray) -> np.ndarray:
     """Smallest selector whose width holds each id."""
-    bits = np.zeros(ids.shape, dtype=np.uint8)
     top = int(ids.max()) if ids.size else 0
+    if top < 1 << 16:
+        return _BY_VALUE[ids.astype(np.uint16)]
+    bits = np.zeros(ids.shape, dtype=np.uint8)
     for b in range(top.bit_length()):
-        bits += (ids >> np.uint64(b) > 0).astype(np.uint8) if top.bit_length() > 20 else (ids >= np.uint64(1 << b)).astype(np.uint8)
-    return np.searchsorted(WIDTHS, np.arange(65)).astype(np.uint8)[bits]
+        bits += ids >= np.uint64(1 << b)
+    return _BY_BITS[bits]
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +115,9 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c, w = int(COUNTS[s]), int(WIDTHS[s])
         value = np.full(len(k), int(s) << 60, dtype=np.uint64)
         if w:
+            cell, at = grid.reshape(-1), row[k] * grid.shape[1] + col[k]
             for j in range(c):
-                value |= grid[row[k], col[k] + j] << np.uint64(w * j)
+                value |= cell[at + j] << np.uint64(w * j)
         words[place[k]] = value
     first = place[np.searchsorted(row, np.arange(blocks))]
     return words, first
@@ -137,9 +145,9 @@ def unpack(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
             continue
         c, w = int(COUNTS[s]), int(WIDTHS[s])
         if w:
-            mask = np.uint64((1 << w) - 1)
+            mask, cell, at, value = np.uint64((1 << w) - 1), out.reshape(-1), block[k] * out.shape[1] + col[k], words[k]
             for j in range(c):
-                out[block[k], col[k] + j] = (words[k] >> np.uint64(w * j)) & mask
+                cell[at + j] = (value >> np.uint64(w * j)) & mask
     return np.ascontiguousarray(out[:, :BLOCK]).reshape(-1)[:n]
 
 
