@@ -89,7 +89,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(per_document, draws): what the mix takes of each row, and every draw with shard and place.
 
     per_document: doc_id, tkey, source, size, source_size, target, times, taken.  draws: doc_id,
-    tkey, epoch, shard, place (order inside the shard).  ``tkey`` tells rows of equal id apart.
+    tkey, source, epoch, shard, place (order inside the shard), one row per draw also where a
+    document's row is repeated.  ``tkey`` tells rows of equal id apart.  ``taken`` counts the draws
+    that the tree dealt to a shard; ``times`` comes from the block sums and has to agree with it.
     """
     C.ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -119,13 +121,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # A document is taken if it lies at least half below the target, which leaves the nearest total.
     crossing = (crossing.withColumn("upto", F.sum("size").over(upto))
                 .where(F.col("upto") - F.col("size") / 2 <= F.col("room")).select("doc_id", "tkey", "sid").distinct().withColumn("cut", F.lit(True)))
-    whole = (F.col("room") >= F.col("words")) & (F.col("rest") > 0)
+    # A block without words behind the target is not drawn: no run of draws reaches it.
+    whole = (F.col("room") >= F.col("words")) & (F.col("room") > 0)
     some = placed.where("room > 0 and room < words").join(crossing, ["doc_id", "tkey", "sid"], "left").withColumn("part", F.coalesce("cut", F.lit(False))).drop("cut")
     rest = placed.where("not (room > 0 and room < words)").withColumn("part", whole)
     chosen = rest.unionByName(some)
     times = F.col("full") + F.col("part").cast("int")
-    per_document = chosen.select("doc_id", "tkey", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"),
-                                 "sid", "width", "full", "block", "part")
+    chosen = C.saved(chosen.select("doc_id", "tkey", "source", "size", "source_size", "target", times.alias("times"), "sid", "width", "block"), "chosen")
 
     # Draw number = epoch * blocks + place in the epoch's order; shards own runs of draws.
     quotas = blocks.where("room > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("cut_blocks"), F.max("turn").alias("top"))
@@ -133,18 +135,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                                                              + F.coalesce(F.col("top") + 1, F.lit(0))).alias("draws")).where("draws > 0")
     leaves = split_quotas(quotas, levels, seed)
     runs = leaves.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("first", "n", "shard"))).alias("runs"))
-    each = per_document.where("times > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))
+    each = chosen.where("times > 0").dropDuplicates(["doc_id", "tkey", "sid"]).select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))
     turn = F.col("width") * F.col("epoch") + _permuted(F.col("block"), F.col("source"), F.col("epoch"), F.col("width"), seed)
     each = each.withColumn("draw", turn).join(runs, "sid")
     shard = F.get(F.filter("runs", lambda r: (r["first"] <= F.col("draw")) & (F.col("draw") < r["first"] + r["n"])), F.lit(0))["shard"]
-    draws = each.select("doc_id", "tkey", "epoch", shard.alias("shard"), F.xxhash64("doc_id", "tkey", "epoch", F.lit(seed + 3)).alias("place"))
-    return per_document.drop("sid", "width", "full", "block", "part"), draws
+    draws = each.select("doc_id", "tkey", "source", "epoch", shard.alias("shard"), F.xxhash64("doc_id", "tkey", "epoch", F.lit(seed + 3)).alias("place"))
+    dealt = draws.where("shard is not null").groupBy("doc_id", "tkey", "source").agg(F.count(F.lit(1)).alias("dealt"))
+    per_document = chosen.alias("c").join(dealt.alias("d"), _same_row("c", "d"), "left").select(
+        *[f"c.{c}" for c in ("doc_id", "tkey", "source", "size", "source_size", "target", "times")],
+        (F.coalesce("d.dealt", F.lit(0)) * F.col("c.size")).alias("taken"))
+    return per_document, draws
+
+
+def _same_row(a: str, b: str) -> Column:
+    """Rows of the two tables that are the same document of the same source; null ids and sources count as values."""
+    same = [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("doc_id", "source")]
+    return (F.col(f"{a}.tkey") == F.col(f"{b}.tkey")) & same[0] & same[1]
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The mix itself: ``docs`` rows repeated as drawn, dealt to shards and shuffled inside each."""
     _, draws = mix(docs, id_col, text_col, **how)
     rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    rows = rows.join(draws.distinct().withColumnsRenamed({"doc_id": "_id", "tkey": "_key"}), ["_id", "_key"])
+    rows = rows.join(draws.drop("source").distinct().withColumnsRenamed({"doc_id": "_id", "tkey": "_key"}), ["_id", "_key"])
     # A shard may hold a large part of a hot source: it is ranged on shard and place, not put into one task.
     return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select(*docs.columns, "epoch", "shard", "place")

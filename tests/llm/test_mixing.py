@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+from marshgrid.llm import mixing as M
 from marshgrid.llm.mixing import mix, mixed_rows
 
 
@@ -65,3 +66,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert mixed_rows(odd_docs).columns == [*odd_docs.columns, "epoch", "shard", "place"]
     assert mixed_rows(odd_docs).count() > 0
     assert mix(no_docs)[0].count() == 0 and mixed_rows(no_docs).count() == 0
+
+
+def test_taken_shows_draws_that_the_tree_loses(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert all(r.taken == r.times * r["size"] for r in mix(docs)[0].collect())
+    split = M.split_quotas
+    monkeypatch.setattr(M, "split_quotas", lambda *how: split(*how).where("shard <> 3"))
+    rows = mix(docs)[0].collect()
+    assert len(rows) == docs.count() and sum(r.taken for r in rows) < sum(r.times * r["size"] for r in rows)
