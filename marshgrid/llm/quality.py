@@ -6,8 +6,9 @@ distribution over character classes and over the language's most common words.
 Jensen-Shannon distance to the nearest language decides.
 
 Defined results: a null or blank text has no words, fails the base rules and is not kept;
-a null language only keeps a document out of the references; repeated rows are judged one
-by one; without any labelled text there is no reference and the base rules decide alone.
+a null language only keeps a document out of the references; a document of a language that
+has too few labelled words for a reference is judged by the base rules alone; repeated rows
+are judged one by one; without any labelled text there is no reference and the base rules decide alone.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ CLASSES = ("letter", "capital", "digit", "space", "punct", "other")
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Common words of each language reference.
 COMMON_WORDS = 24
-#: A language needs this share of the labelled documents to get a reference: at most 100 have one.
-MIN_SHARE = 0.01
+#: A language gets a reference from so many labelled words on, in a small table from this share of the labelled documents on.
+MIN_LABELLED_WORDS, MIN_SHARE = 1000, 0.01
+#: More references than this are kept in a one-row table, not in the expression.
+CONSTANT_REFERENCES = 100
 #: Largest Jensen-Shannon distance (base 2, 0..1) of a kept document.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.45
 #: A histogram of fewer characters or words says too little; the distance is not used.
@@ -87,15 +90,15 @@ def _held_common(words: Column, listed: list[str]) -> Column:
 
 
 def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = COMMON_WORDS,
-                 min_share: float = MIN_SHARE) -> list[tuple[str, str, int]]:
+                 min_share: float = MIN_SHARE, min_words: int = MIN_LABELLED_WORDS) -> list[tuple[str, str, int]]:
     """(lang, word, n) of the most common words of each language, counted over all rows.
 
-    At most ``1 / min_share`` languages of ``per_lang`` words come to the driver.
+    ``per_lang`` words of each language with enough labelled text come to the driver.
     """
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = saved(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(words_of(F.col("text")))).alias("words")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    langs = [r[0] for r in sizes.where(F.col("n") >= min_share * total).collect()]
+    langs = [r[0] for r in sizes.where((F.col("n") >= min_share * total) | (F.col("words") >= min_words)).collect()]
     tally = (labelled.where(F.col("lang").isin(langs)).select("lang", F.explode(words_of(F.col("text"))).alias("word"))
              .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     top = tally.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
@@ -116,8 +119,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     Two passes over the texts: one counts each language's words (with map-side combine),
     one measures every document and lists its common words.  What is left is a narrow
-    table.  The references, at most 100 languages of 6 + 24 shares, enter the last step as
-    a constant.
+    table.  The references, 6 + 24 shares a language, enter the last step as a constant, or
+    as a broadcast row where they are many.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     top = common_words(docs)
@@ -133,13 +136,18 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     for r in sorted(sums):
         chars = sum(r[c] for c in CLASSES)
         own = [(w, n / r["words"]) for lang, w, n in top if lang == r["lang"]]
-        refs.append(F.struct(F.lit(r["lang"]).alias("lang"), F.array(*[F.lit(r[c] / chars) for c in CLASSES]).alias("classes"),
-                             F.array(*[F.lit(w) for w, _ in own]).alias("words"),
-                             F.array(*[F.lit(s) for _, s in own], F.lit(max(0.0, 1 - sum(s for _, s in own)))).alias("shares")))
+        refs.append((r["lang"], [r[c] / chars for c in CLASSES], [w for w, _ in own], [*(s for _, s in own), max(0.0, 1 - sum(s for _, s in own))]))
 
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = table.withColumn("base_failed", failed)
     if refs:
+        if len(refs) <= CONSTANT_REFERENCES:
+            known = F.array(*[F.struct(F.lit(lang).alias("lang"), *[F.array(*[F.lit(x) for x in part]).alias(name)
+                                                                    for name, part in (("classes", cls), ("words", own), ("shares", shares))])
+                              for lang, cls, own, shares in refs])
+        else:
+            one = docs.sparkSession.createDataFrame([(refs,)], "_refs array<struct<lang:string,classes:array<double>,words:array<string>,shares:array<double>>>")
+            out, known = out.crossJoin(F.broadcast(one)), F.col("_refs")
         chars = F.aggregate("class_counts", F.lit(0).cast("long"), lambda s, x: s + x)
         classes = F.transform("class_counts", lambda x: x / chars)
         words, counts = F.col("common.word"), F.col("common.n")
@@ -151,7 +159,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         def against(r):
             return F.struct(divergence(classes, r["classes"]).alias("class_distance"),
                             divergence(share(r), r["shares"]).alias("word_distance"), r["lang"].alias("lang"))
-        near = F.array_min(F.transform(F.transform(F.array(*refs), against), lambda x: F.struct(
+        near = F.array_min(F.transform(F.transform(known, against), lambda x: F.struct(
             (x["class_distance"] + x["word_distance"]).alias("both"), x["class_distance"], x["word_distance"], x["lang"].alias("nearest"))))
         out = fixed(out, _near=F.when(F.col("n_words") > 0, near), _chars=chars)
         out = out.select("*", F.col("_near.nearest"), F.col("_near.class_distance"), F.col("_near.word_distance"))
@@ -160,5 +168,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                          F.lit(None).cast("double").alias("class_distance"), F.lit(None).cast("double").alias("word_distance"))
     far = ((F.col("_chars") >= MIN_CHARS) & (F.col("class_distance") > max_class)) | \
           ((F.col("n_words") >= MIN_WORDS_FOR_COMMON) & (F.col("word_distance") > max_word))
+    # What another language's reference says about a language without one is nothing.
+    far = far & (F.col("lang").isNull() | F.col("lang").isin([r[0] for r in refs]))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "nearest", "class_distance", "word_distance")

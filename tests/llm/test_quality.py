@@ -107,3 +107,19 @@ def test_junk_goes_and_prose_stays(spark):
 def test_without_labels_the_base_decides(spark):
     docs = spark.createDataFrame([(1, prose(50), None), (2, "a b", None)], "doc_id long, text string, lang string")
     assert {r.doc_id: r.kept for r in Q.quality(docs).collect()} == {1: True, 2: False}
+
+
+def thai(n, seed):
+    import random
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("กขคงจชซญดตถทนบปผพมยรลวสหอ") + r.choice("ิีึืุู่้็์") for _ in range(r.randint(2, 5))) for _ in range(n))
+
+
+@pytest.mark.parametrize("constant", [100, 1])
+def test_rare_languages_are_not_held_against_others(spark, monkeypatch, constant):
+    monkeypatch.setattr(Q, "CONSTANT_REFERENCES", constant)
+    rows = [(k, prose(40, k), "en") for k in range(300)] + [(1000 + k, thai(600, k), "th") for k in range(2)]
+    rows += [(2000 + k, prose(200, 50 + k).upper(), lang) for k, lang in enumerate(("lo", "en", "th", None))]
+    got = {r.doc_id: r for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1000].kept and got[1001].kept and {got[1000].nearest, got[1001].nearest} == {"th"}
+    assert got[2000].kept and not any(got[k].kept or got[k].base_failed for k in (2001, 2002, 2003))
