@@ -6,7 +6,9 @@ one-versus-one linear support vector machines, and so are the languages inside t
 that wins; votes count, margins break ties.
 
 The machines are fitted on a bounded sample: at most ``PER_LANGUAGE`` labelled texts a language
-in hash order, for languages with at least ``MIN_SHARE`` of the labelled rows (so at most 100).
+in hash order, for every language with ``MIN_ROWS`` labelled rows (in a table of few rows, with
+``MIN_SHARE`` of them).  The driver fits the machines of few languages; those of more than
+``DRIVER_LANGUAGES`` are fitted by tasks, one pair each, and only weights reach the driver.
 Prediction uses the text alone and runs where the text is.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is any text
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from marshgrid.llm import common as C
 
 DIMENSIONS = 4096
-PER_LANGUAGE, MIN_SHARE = 400, 0.01
+PER_LANGUAGE, MIN_ROWS, MIN_SHARE = 400, 20, 0.01
+#: The driver holds the sampled texts' features of at most so many languages.
+DRIVER_LANGUAGES = 30
 #: Related languages; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"), "romance": ("fr", "es", "it", "pt", "ro", "ca"),
@@ -94,15 +98,18 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30, seed
 class Identifier:
     """Family machines and, per family, language machines."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], families: dict):
+    def __init__(self, x: np.ndarray | None, langs: list[str], families: dict, machines: dict | None = None):
+        """Fit on features and their languages, or take fitted ``machines`` of the languages."""
         of = {lang: name for name, members in families.items() for lang in members}
         own = np.array([of.get(lang, lang) for lang in langs])
         langs = np.array(langs)
         self.families = sorted(set(own))
+        self.members = {family: sorted(set(langs[own == family])) for family in self.families}
+        if machines is not None:
+            self.machines = machines
+            return
         self.machines = {"": self._pairs(x, own, self.families)}
-        self.members = {}
         for family in self.families:
-            self.members[family] = sorted(set(langs[own == family]))
             self.machines[family] = self._pairs(x[own == family], langs[own == family], self.members[family])
 
     @staticmethod
@@ -150,12 +157,15 @@ def _feature_batches(batches):
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: dict = FAMILIES,
-          per_language: int = PER_LANGUAGE) -> Identifier | None:
-    """Fit on at most ``per_language`` rows of each language, those with the smallest hash; None without any."""
+          per_language: int = PER_LANGUAGE, min_rows: int = MIN_ROWS) -> Identifier | None:
+    """Fit on at most ``per_language`` rows of each language, those with the smallest hash; None without any.
+
+    A language is learned from ``min_rows`` labelled rows on, or fewer if they are ``MIN_SHARE`` of all.
+    """
     C.ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().where(F.col("count") >= MIN_SHARE * F.lit(rows.count())).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().where(F.col("count") >= min(min_rows, MIN_SHARE * rows.count())).collect()}
     if not sizes:
         return None
     # A hash threshold thins each language to about twice the bound before rows are ranked.
@@ -163,13 +173,44 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     limit = F.create_map(*[v for lang, n in sizes.items() for v in (F.lit(lang), F.lit(min(1 << 20, int(2 * per_language / n * (1 << 20)) + 64)))])
     thin = rows.where(F.col("lang").isin(list(sizes)) & (h < limit[F.col("lang")]))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "id", "text"))
-    got = thin.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text").mapInArrow(_feature_batches, "lang string, x binary").collect()
+    got = thin.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text").mapInArrow(_feature_batches, "lang string, x binary")
+    if len(sizes) > DRIVER_LANGUAGES:
+        return _train_in_tasks(C.saved(got, "features"), families)
+    got = got.collect()
     if not got:
         return None
     got = sorted(got)
     return Identifier(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got], families)
 
 
+def _fit_pair(rows):
+    """One machine: rows of both sides in the order in which the driver would have them."""
+    import pandas as pd
+    rows = rows.sort_values(["lang", "x"])
+    w = svm(np.stack([np.frombuffer(x, np.float32) for x in rows.x]), rows.y.to_numpy())
+    return pd.DataFrame({"node": [rows.node.iloc[0]], "i": [rows.i.iloc[0]], "j": [rows.j.iloc[0]], "w": [w.tobytes()]})
+
+
+def _train_in_tasks(samples: DataFrame, families: dict) -> Identifier | None:
+    """The same machines as the driver fits, each by one task from the samples (lang, x) of its two sides."""
+    langs = sorted(r[0] for r in samples.select("lang").distinct().collect())
+    if not langs:
+        return None
+    frame = Identifier(None, langs, families, {"": {}})
+    sides = []
+    for node, names in [("", frame.families), *frame.members.items()]:
+        frame.machines[node] = {}
+        for j in range(len(names)):
+            for i in range(j):
+                sides += [(lang, node, i, j, y) for k, y in ((i, 1.0), (j, -1.0)) for lang in (frame.members[names[k]] if node == "" else [names[k]])]
+    if sides:
+        table = samples.sparkSession.createDataFrame(sides, "lang string, node string, i int, j int, y double")
+        fitted = samples.join(table, "lang").groupBy("node", "i", "j").applyInPandas(_fit_pair, "node string, i int, j int, w binary")
+        for r in fitted.collect():
+            frame.machines[r.node][r.i, r.j] = np.frombuffer(r.w, np.float64)
+    return frame
+
+
 def _predict_batches(model):
     def run(batches):
         for batch in batches:

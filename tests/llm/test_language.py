@@ -39,3 +39,26 @@ def test_one_language_and_pieces_of_long_texts(spark, monkeypatch):
     assert np.allclose(whole, pieces)
     only = Identifier(whole, ["fr"], {})
     assert only.predict(whole)[0] == ["fr"] and 0 <= only.predict(whole)[1][0] <= 1
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from marshgrid.llm import language as L
+    r = random.Random(1)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(12))
+    rows = [(k, text("etaoinsh"), "en") for k in range(1500)] + [(5000 + k, text("lrdcumwf"), "de") for k in range(900)]
+    rows += [(9000 + k, text("zqxjkvbp"), "zz") for k in range(20)] + [(9500 + k, text("gy"), "yy") for k in range(19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, per_language=60)
+    assert model.families == ["germanic", "zz"]
+    got = {x.id: x.lang_pred for x in identify(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if lang != "yy")
+    monkeypatch.setattr(L, "DRIVER_LANGUAGES", 2)
+    other = train(docs, per_language=60)
+    assert (other.families, other.members) == (model.families, model.members) and other.machines.keys() == model.machines.keys()
+    for node, machines in model.machines.items():
+        assert machines.keys() == other.machines[node].keys()
+        assert all(np.allclose(w, other.machines[node][pair]) for pair, w in machines.items())
