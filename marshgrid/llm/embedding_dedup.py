@@ -16,14 +16,17 @@ vectors in double precision.
 Tile pairs never emit their links: they send how many links each vector has and a spanning
 forest, at most one link per vector, which is all that counts and classes need.
 
-Defined results: null, zero-length, zero and non-finite vectors, and vectors of another width
-than the most common one, link with nothing; equal vectors link with one another; ids that
+Vectors of different widths never link; all this is done once for each width that occurs.
+
+Defined results: null, zero-length, zero and non-finite vectors link with nothing; equal vectors link with one another; ids that
 repeat count as vectors of their own in the links of others; a null id is not returned; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -180,22 +183,8 @@ def _compare_blocks(axes: np.ndarray, threshold: float, lead: int):
     return run
 
 
-def link_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
-    C.ship(table.sparkSession)
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    usual = rows.where(usable).groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
-    ids = rows.select("vec_id")
-    if usual is None:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = usual.w
-    good = rows.where(usable & (F.size("v") == width))
-    # Equal vectors are one; +0.0 folds the two zeros.
-    folded = C.saved(good.withColumn("v", F.transform("v", lambda x: x + 0.0)).groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "vectors")
-    owner = good.select("vec_id", F.transform("v", lambda x: x + 0.0).alias("v")).join(
-        folded.where("copies > 1").select(F.col("vec_id").alias("rep"), "v", "copies"), "v").select("vec_id", "rep", "copies")
+def _links_of_width(folded: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(a, b, n) of the distinct vectors of one width: links of a spanning forest (a, b) and numbers of links (a, n)."""
     lead = min(AXES, width)
     axes = axes_of(folded, width)
     fields = "vec_id long, copies long, v array<double>, " + ", ".join(f"p{k} double" for k in range(lead))
@@ -210,7 +199,26 @@ def link_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     sides = pairs.select(F.explode(F.when(F.col("t") == F.col("u"), F.array(F.struct(F.col("t").alias("block"), F.lit(0).alias("side")))).otherwise(
         F.array(F.struct(F.col("t").alias("block"), F.lit(0).alias("side")), F.struct(F.col("u").alias("block"), F.lit(1).alias("side"))))).alias("s"), "t", "u")
     work = sides.select("t", "u", "s.block", "s.side").join(tiled.select("block", "tile", "vec_id", "copies", "v"), "block").drop("block")
-    found = C.saved(work.groupBy("t", "u").applyInPandas(_compare_blocks(axes, threshold, lead), "a long, b long, n long"), "found")
+    return C.saved(work.groupBy("t", "u").applyInPandas(_compare_blocks(axes, threshold, lead), "a long, b long, n long"), "found")
+
+
+def link_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row."""
+    C.ship(table.sparkSession)
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
+    ids = rows.select("vec_id")
+    good = rows.where(usable)
+    widths = sorted(r[0] for r in good.select(F.size("v")).distinct().collect())
+    if not widths:
+        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # Equal vectors are one; +0.0 folds the two zeros.
+    folded = C.saved(good.withColumn("v", F.transform("v", lambda x: x + 0.0)).groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "vectors")
+    owner = good.select("vec_id", F.transform("v", lambda x: x + 0.0).alias("v")).join(
+        folded.where("copies > 1").select(F.col("vec_id").alias("rep"), "v", "copies"), "v").select("vec_id", "rep", "copies")
+    # Vectors of different widths have no cosine: each width has axes, tiles and comparisons of its own.
+    found = reduce(DataFrame.unionByName, [_links_of_width(folded.where(F.size("v") == w), w, threshold) for w in widths])
 
     degree = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("vec_id"), "n")
     same = owner.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")).where("a <> b")

@@ -53,3 +53,12 @@ def test_bounds_never_drop_a_pair():
     i, j = E.compare(x, x, axes, 0.9)
     cosine = E.unit_rows(x) @ E.unit_rows(x).T
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*map(list, np.nonzero(cosine >= 0.9))))
+
+
+def test_every_width_is_compared(spark):
+    rows = [(k, [1.0, float(k), 0.0, 0.0]) for k in range(5)] + [(10, [1.0, 2.0]), (11, [1.0, 2.0]), (12, [2.0, 4.1]), (13, [2.0, -1.0]), (14, [3.0]), (15, [5.0]), (16, [-5.0])]
+    got = {i: (n, c) for i, n, c in run(spark, rows)}
+    assert got[10] == got[11] == got[12] == (2, 10) and got[13] == (0, 13)
+    assert got[14] == got[15] == (1, 14) and got[16] == (0, 16)
+    alone = {i: (n, c) for i, n, c in run(spark, rows[:5])}
+    assert all(got[k] == alone[k] for k in alone)
