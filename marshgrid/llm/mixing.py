@@ -14,7 +14,7 @@ shuffled inside their shard.  Everything follows from hashes and seeds: reruns a
 
 Defined results: a null text has size 0 and is drawn with its block; a null source is a
 source of its own and sorts last; a source without words is never drawn; repeated rows
-(same id) are drawn together; an empty table gives an empty result.
+(same id, text and source) are drawn together, and a null id is an id like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -118,12 +118,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Only the crossing block is ordered by document; others are all in or all out.
     crossing = placed.where("room > 0 and room < words")
     upto = Window.partitionBy("sid").orderBy(F.xxhash64("doc_id", "tkey", F.lit(seed + 2)), "doc_id", "tkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # A document is taken if it lies at least half below the target, which leaves the nearest total.
-    crossing = (crossing.withColumn("upto", F.sum("size").over(upto))
-                .where(F.col("upto") - F.col("size") / 2 <= F.col("room")).select("doc_id", "tkey", "sid").distinct().withColumn("cut", F.lit(True)))
+    # A document is taken if it lies at least half below the target, which leaves the nearest total; its repeated rows go with it.
+    some = crossing.withColumn("upto", F.sum("size").over(upto)).withColumn("part", F.max(F.col("upto") - F.col("size") / 2 <= F.col("room")).over(
+        Window.partitionBy("sid", "doc_id", "tkey"))).drop("upto")
     # A block without words behind the target is not drawn: no run of draws reaches it.
     whole = (F.col("room") >= F.col("words")) & (F.col("room") > 0)
-    some = placed.where("room > 0 and room < words").join(crossing, ["doc_id", "tkey", "sid"], "left").withColumn("part", F.coalesce("cut", F.lit(False))).drop("cut")
     rest = placed.where("not (room > 0 and room < words)").withColumn("part", whole)
     chosen = rest.unionByName(some)
     times = F.col("full") + F.col("part").cast("int")
@@ -153,10 +152,11 @@ def _same_row(a: str, b: str) -> Column:
     return (F.col(f"{a}.tkey") == F.col(f"{b}.tkey")) & same[0] & same[1]
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: ``docs`` rows repeated as drawn, dealt to shards and shuffled inside each."""
-    _, draws = mix(docs, id_col, text_col, **how)
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    rows = rows.join(draws.drop("source").distinct().withColumnsRenamed({"doc_id": "_id", "tkey": "_key"}), ["_id", "_key"])
+    _, draws = mix(docs, id_col, text_col, source_col, **how)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"),
+                       F.col(source_col).alias("source"), F.struct(*docs.columns).alias("row"))
+    rows = rows.alias("r").join(draws.alias("d"), _same_row("r", "d")).select("r.row.*", "d.epoch", "d.shard", "d.place")
     # A shard may hold a large part of a hot source: it is ranged on shard and place, not put into one task.
     return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select(*docs.columns, "epoch", "shard", "place")

@@ -75,3 +75,20 @@ def test_taken_shows_draws_that_the_tree_loses(spark, sf, monkeypatch):
     monkeypatch.setattr(M, "split_quotas", lambda *how: split(*how).where("shard <> 3"))
     rows = mix(docs)[0].collect()
     assert len(rows) == docs.count() and sum(r.taken for r in rows) < sum(r.times * r["size"] for r in rows)
+
+
+def test_null_ids_are_drawn_like_others(spark):
+    rows = [(None if k % 3 == 0 else k, f"{'a b c ' * (1 + k % 5)}t{k}", "ab"[k % 2]) for k in range(60)]
+    rows += [(7, "same id and text", "a"), (7, "same id and text", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mix(docs)[0].collect():
+        assert r.taken == r.times * r["size"]
+        want[r.doc_id, r.source] += r.taken
+    out = mixed_rows(docs).collect()
+    for r in out:
+        got[r.doc_id, r.source] += len(r.text.split())
+    assert any(r.doc_id is None for r in out) and got == {k: n for k, n in want.items() if n}
+    goal = goals({s: sum(len(t.split()) for _, t, o in rows if o == s) for s in "ab"})
+    for s in "ab":
+        assert abs(sum(n for (_, o), n in got.items() if o == s) - goal[s]) <= 8
