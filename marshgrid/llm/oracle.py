@@ -63,3 +63,47 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('### ' || upper(substr(role, 1, 1)) || substr(role, 2) || ':' || chr(10) || shown || chr(10) || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM g GROUP BY conv_id
 """
+
+#: CRC-32 of an ASCII string: eight shifts for every byte.
+_BIT = "list_reduce([xor({c}, {b}), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+
+
+def _crc32(text: str) -> str:
+    each = _BIT.format(c="c", b="b")
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ord({text}[i]) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {each}), 4294967295)"
+
+
+def _encoded(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('n_chars')} AS leaf,
+         CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} ELSE {_leaf('n_chars')} END AS now
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d),
+low AS (SELECT tree, 0 AS level, idx, n, leaf AS x FROM p
+  UNION ALL SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(x, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY tree, level, idx // 2, n),
+sub AS (SELECT tree, level, x, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+top AS (SELECT 0 AS level, idx, n, x FROM sub
+  UNION ALL SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(x, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 2, n),
+path AS (
+  SELECT p.doc_id, p.leaf, l.level, (p.idx >> l.level) & 1 AS bit, s.x FROM p JOIN (SELECT DISTINCT tree, level FROM low WHERE n > 1) l USING (tree)
+  LEFT JOIN low s ON s.tree = p.tree AND s.level = l.level AND s.idx = xor(p.idx >> l.level, 1)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, 1000 + t.level, (sub.idx >> t.level) & 1, s.x FROM p JOIN sub USING (tree) CROSS JOIN (SELECT DISTINCT level FROM top WHERE n > 1) t
+  LEFT JOIN top s ON s.level = t.level AND s.idx = xor(sub.idx >> t.level, 1)),
+steps AS (SELECT doc_id, leaf, list({{'bit': bit, 'x': coalesce(x, '')}} ORDER BY level) AS steps FROM path GROUP BY doc_id, leaf),
+walk AS (SELECT doc_id, leaf, now AS x, coalesce(steps, []) AS rest FROM p LEFT JOIN steps USING (doc_id, leaf)
+  UNION ALL SELECT doc_id, leaf, sha256(CASE WHEN rest[1].bit = 0 THEN x || rest[1].x ELSE rest[1].x || x END), rest[2:] FROM walk WHERE len(rest) > 0)
+SELECT p.doc_id, p.leaf, sub.x AS subroot, root.x AS root,
+       sha256(coalesce(array_to_string(list_transform(steps, lambda s: s.x), ''), '')) AS proof_sha256, w.x AS folded_root, w.x = root.x AS verified
+FROM p JOIN sub USING (tree) CROSS JOIN (SELECT x FROM top WHERE n = 1) root
+JOIN (SELECT doc_id, leaf, x FROM walk WHERE len(rest) = 0) w USING (doc_id, leaf) LEFT JOIN steps USING (doc_id, leaf)
+"""

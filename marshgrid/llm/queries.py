@@ -119,3 +119,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = turns.sparkSession.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     return read_chat(format_chat(turns.unionByName(extra)))
+
+
+@query("op11_merkle_manifest", oracle.OP11)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of each document; where 7 divides the id's checksum, one was added to n_chars."""
+    from marshgrid.llm.merkle import manifest, verified
+
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    now = {"n_chars": F.when(changed, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return verified(manifest(_table(spark, sf_dir, "documents"), tampered=now)).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
