@@ -107,3 +107,48 @@ SELECT p.doc_id, p.leaf, sub.x AS subroot, root.x AS root,
 FROM p JOIN sub USING (tree) CROSS JOIN (SELECT x FROM top WHERE n = 1) root
 JOIN (SELECT doc_id, leaf, x FROM walk WHERE len(rest) = 0) w USING (doc_id, leaf) LEFT JOIN steps USING (doc_id, leaf)
 """
+
+OP12 = rf"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role0, coalesce(text, ' ') AS text0,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT k, {_crc32('k')} % 20 AS kind FROM (SELECT DISTINCT k FROM o)),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role0 END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text0, '[.!?]', '', 'g') ELSE text0 END AS text, role0, sha256(text0) AS x0, c
+      FROM o JOIN kinds USING (k) CROSS JOIN (VALUES (0), (1)) AS copies(c) WHERE kind <> 0 AND (c = 0 OR kind = 3)),
+p AS (SELECT coalesce('=' || conv_id, '') AS key, conv_id, turn, role, text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role0, x0, c) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+          WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 'd'
+          WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '-' END AS fault,
+        substr(role, 1, 1) AS c, lag(substr(role, 1, 1)) OVER (PARTITION BY key ORDER BY i) AS before FROM p),
+stats AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+        count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY key),
+-- States: 0 nothing, 1 system, 2 user, 3 assistant.  Up to two inserts before a row or at the end; more come to a state that fewer reach.
+ins(s, t, k, roles) AS (VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''),
+  (0, 2, 'I', 'u'), (1, 2, 'I', 'u'), (3, 2, 'I', 'u'), (2, 3, 'I', 'a'), (0, 3, 'II', 'ua'), (1, 3, 'II', 'ua')),
+-- Edits of one row: from state, to state, initial, own role kept as '='.
+ed(s, t, k, c, role, cost) AS (
+  SELECT s, s, 'D', CAST(NULL AS VARCHAR), '', 3 FROM (VALUES (0), (1), (2), (3)) AS a(s)
+  UNION ALL VALUES (0, 2, 'R', NULL, 'user', 2), (1, 2, 'R', NULL, 'user', 2), (3, 2, 'R', NULL, 'user', 2), (2, 3, 'R', NULL, 'assistant', 2),
+    (0, 1, 'K', 's', '=', 0), (0, 2, 'K', 'u', '=', 0), (1, 2, 'K', 'u', '=', 0), (3, 2, 'K', 'u', '=', 0), (2, 3, 'K', 'a', '=', 0)),
+step AS (SELECT ins.s, ed.t, ins.k || ed.k AS k, 2 * length(ins.k) + ed.cost AS cost, ed.c, ed.k AS edit, ins.roles, ed.role FROM ins JOIN ed ON ed.s = ins.t),
+walk AS (
+  SELECT key, n, CAST(0 AS BIGINT) AS i, 0 AS s, {{'cost': CAST(0 AS BIGINT), 'k': ''}} AS best, CAST([] AS VARCHAR[]) AS body
+  FROM (SELECT DISTINCT key, n FROM f)
+  UNION ALL
+  SELECT key, n, i, s, best, body FROM (
+    SELECT w.key, w.n, f.i, step.t AS s, {{'cost': w.best.cost + step.cost + CASE WHEN f.fault = 't' AND edit <> 'D' THEN 1 ELSE 0 END, 'k': w.best.k || step.k}} AS best,
+      w.body || CASE roles WHEN 'u' THEN ['user:'] WHEN 'a' THEN ['assistant:'] WHEN 'ua' THEN ['user:', 'assistant:'] ELSE [] END
+        || CASE WHEN edit = 'D' THEN [] WHEN step.role = '=' THEN [f.role || ':' || f.text] ELSE [step.role || ':' || f.text] END AS body
+    FROM walk w JOIN f ON f.key = w.key AND f.i = w.i + 1 JOIN step ON step.s = w.s AND (step.c IS NULL OR step.c = f.c) AND (f.fault NOT IN ('b', 'd') OR edit = 'D'))
+  QUALIFY row_number() OVER (PARTITION BY key, s ORDER BY best) = 1),
+fin AS (SELECT key, best.cost + 2 * length(ins.k) AS cost, best.k || ins.k AS audit,
+        body || CASE ins.roles WHEN 'u' THEN ['user:'] WHEN 'a' THEN ['assistant:'] WHEN 'ua' THEN ['user:', 'assistant:'] ELSE [] END AS body
+      FROM walk JOIN ins ON ins.s = walk.s AND ins.t IN (0, 3) WHERE i = n
+      QUALIFY row_number() OVER (PARTITION BY key ORDER BY best.cost + 2 * length(ins.k), best.k || ins.k) = 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(body, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS key FROM conversations) LEFT JOIN stats USING (key) LEFT JOIN fin USING (key)
+"""

@@ -130,3 +130,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = {"n_chars": F.when(changed, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
     return verified(manifest(_table(spark, sf_dir, "documents"), tampered=now)).select(
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_conversation_repair", oracle.OP12)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of each damaged conversation, its cheapest edits and the digest of what they give."""
+    from marshgrid.llm.repair import damaged, repair
+
+    turns = _table(spark, sf_dir, "conversations")
+    return repair(damaged(turns), turns)
