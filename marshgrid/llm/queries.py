@@ -139,3 +139,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = _table(spark, sf_dir, "conversations")
     return repair(damaged(turns), turns)
+
+
+@query("op13_privacy_spans")
+def op13_privacy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document and the terms that disclose it."""
+    from marshgrid.llm.privacy import sanitised_spans
+
+    return sanitised_spans(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
