@@ -28,7 +28,10 @@ from marshgrid.llm.positions import placed
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels of at most so many nodes are joined by broadcast, in one task; a proof holds at most some kilobytes.
 SMALL_LEVEL = 8192
-_NONE = F.lit(bytearray()).cast("binary")
+
+
+def _none() -> Column:
+    return F.lit(bytearray())
 
 
 def encoded(value: Column) -> Column:
@@ -75,8 +78,8 @@ def _with_siblings(nodes: DataFrame, arity: int, small: bool) -> DataFrame:
         out = out.join(other, ["tree", "idx"], "left")
     before = [F.when(slot >= arity - k, F.col(d)) for k, d, _ in digests]
     after = [F.when(slot < arity - k, F.col(d)) for k, d, _ in digests]
-    return out.select(*nodes.columns, F.concat(_NONE, *[F.coalesce(x, _NONE) for x in before]).alias("before"),
-                      F.concat(_NONE, *[F.coalesce(x, _NONE) for x in after]).alias("after"))
+    return out.select(*nodes.columns, F.concat(_none(), *[F.coalesce(x, _none()) for x in before]).alias("before"),
+                      F.concat(_none(), *[F.coalesce(x, _none()) for x in after]).alias("after"))
 
 
 def grow(leaves: DataFrame, arity: int = 2) -> Forest:
@@ -172,6 +175,6 @@ def manifest(docs: DataFrame, fields=FIELDS, id_col: str = "doc_id", tree_col: s
 
 def verified(proven: DataFrame) -> DataFrame:
     """Fold every recomputed leaf with its siblings and compare with the root."""
-    siblings = F.aggregate("path", _NONE, lambda s, x: F.concat(s, x["before"], x["after"]))
+    siblings = F.aggregate("path", _none(), lambda s, x: F.concat(s, x["before"], x["after"]))
     out = fixed(proven, proof_sha256=F.sha2(hex_of(siblings), 256), folded_root=hex_of(fold(F.col("leaf_now"), F.col("path"))))
     return out.withColumn("verified", F.col("folded_root").eqNullSafe(F.col("root")))

@@ -152,3 +152,42 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
        coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(body, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS key FROM conversations) LEFT JOIN stats USING (key) LEFT JOIN fin USING (key)
 """
+
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_KINDS = (("email", _EMAIL), ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"), ("card", r"[0-9](?:[\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+_STARTS = "CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT)"
+_NEAR = r"regexp_extract_all(lower(regexp_replace({}, '[^\x20\x09-\x0D@]*@[^\x20\x09-\x0D]*', ' ', 'g')), '[\p{{L}}\p{{M}}]{{3,}}')"
+_LEFT = _NEAR.format(r"CASE WHEN length(gaps[i]) > 160 THEN regexp_replace(right(gaps[i], 160), '^[\p{L}\p{M}]+', '') ELSE gaps[i] END")
+_RIGHT = _NEAR.format(r"CASE WHEN length(gaps[i + 1]) > 160 THEN regexp_replace(left(gaps[i + 1], 160), '[\p{L}\p{M}]+$', '') ELSE gaps[i + 1] END")
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+x AS ({' UNION ALL '.join(f"SELECT r, text, {no} AS no, '{kind}' AS kind, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM d" for no, (kind, p) in enumerate(_KINDS))}),
+y AS (SELECT r, text, no, kind, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM x),
+z AS (SELECT *, hits[i] AS hit, regexp_replace(hits[i], '[^0-9]', '', 'g') AS digits FROM y),
+m AS (SELECT r, text, no, kind, {_STARTS} AS a, length(hit) AS n, kind || ':' || CASE kind WHEN 'email' THEN lower(hit) WHEN 'ip' THEN hit ELSE digits END AS entity,
+        list_slice(list_reverse({_LEFT}), 1, 8) || list_slice({_RIGHT}, 1, 8) AS terms
+      FROM z WHERE CASE kind WHEN 'ip' THEN list_bool_and(list_transform(string_split(hit, '.'), lambda p: coalesce(TRY_CAST(p AS INT) <= 255, false)))
+        WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+        WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j:
+          CASE WHEN j % 2 = 1 THEN CAST(reverse(digits)[j] AS INT) ELSE (2 * CAST(reverse(digits)[j] AS INT)) // 10 + (2 * CAST(reverse(digits)[j] AS INT)) % 10 END)) % 10 = 0
+        ELSE true END),
+pairs AS (SELECT DISTINCT r, text, entity, term FROM (SELECT r, text, entity, unnest(terms) AS term FROM m)),
+co AS (SELECT entity, term, count(*) AS n_both FROM pairs GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+ents AS (SELECT entity, count(DISTINCT r) AS n_entity FROM m GROUP BY ALL),
+terms AS (SELECT term, count(*) AS n_term FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}]{{3,}}')) AS term FROM d) GROUP BY ALL),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
+flagged AS (SELECT entity, term FROM co JOIN ents USING (entity) JOIN terms USING (term) CROSS JOIN total
+  WHERE n_entity < n AND log2(n * n_both / (CAST(n_entity AS DOUBLE) * n_term)) / log2(n / n_entity) >= 0.9),
+listed AS (SELECT DISTINCT r, text, term FROM pairs JOIN flagged USING (entity, term)),
+tx AS (SELECT r, regexp_extract_all(text, '{_EMAIL}|[\p{{L}}\p{{M}}]+') AS hits, string_split_regex(text, '{_EMAIL}|[\p{{L}}\p{{M}}]+') AS gaps FROM (SELECT DISTINCT r, text FROM listed)),
+ty AS (SELECT r, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM tx),
+tm AS (SELECT r, {_STARTS} AS a, length(hits[i]) AS n FROM ty JOIN listed USING (r) WHERE lower(hits[i]) = listed.term),
+base AS (SELECT r, count(*) FILTER (no = 0) AS n_email, count(*) FILTER (no = 1) AS n_ip, count(*) FILTER (no = 2) AS n_card, count(*) FILTER (no = 3) AS n_phone,
+           string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, no) AS s FROM m GROUP BY r),
+alls AS (SELECT r, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, no) AS s
+         FROM (SELECT r, no, kind, a, n FROM m UNION ALL SELECT r, 4, 'term', a, n FROM tm) GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base.s, '')) AS base_sha256, coalesce(alls.s, '') AS spans
+FROM d LEFT JOIN base USING (r) LEFT JOIN alls USING (r)
+"""

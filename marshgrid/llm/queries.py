@@ -141,7 +141,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(turns), turns)
 
 
-@query("op13_privacy_spans")
+@query("op13_privacy_spans", oracle.OP13)
 def op13_privacy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of each document and the terms that disclose it."""
     from marshgrid.llm.privacy import sanitised_spans
