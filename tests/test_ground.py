@@ -209,7 +209,7 @@ def test_augment_is_a_permutation_and_repeats(spark):
 
 def test_cover_counts_tiles(spark):
     tiles = T.grid_tiles(spark.createDataFrame([(48, 48)], "height int, width int"), 32, 16)
-    cover = {(r["_cr"], r["_cc"]): r["cover"] for r in K.tile_cover(tiles, [], 32, 16).collect()}
+    cover = {(r["_cr"], r["_cc"]): r["cover"] for r in T.tile_cover(tiles, [], 32, 16).collect()}
     assert cover[(0, 0)] == 1 and cover[(16, 16)] == 4 and cover[(16, 0)] == 2
 
 
