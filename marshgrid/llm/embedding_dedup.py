@@ -203,8 +203,15 @@ def _links_of_width(folded: DataFrame, width: int, threshold: float) -> DataFram
 
 
 def link_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+    """(vec_id, n_links, component_id, kept) of every row; one without an id stands alone, without a component."""
     C.ship(table.sparkSession)
+    nameless = table.where(F.col(id_col).isNull()).select(
+        F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return _link_named(table, id_col, vector_col, threshold).unionByName(nameless)
+
+
+def _link_named(table: DataFrame, id_col: str, vector_col: str, threshold: float) -> DataFrame:
+    """``link_vectors`` of the rows that have an id."""
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))

@@ -153,10 +153,14 @@ def _same_row(a: str, b: str) -> Column:
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: ``docs`` rows repeated as drawn, dealt to shards and shuffled inside each."""
+    """The mix itself: ``docs`` rows repeated as drawn, dealt to shards and shuffled inside each.
+
+    Adds epoch, shard and place; columns of these names in the input are replaced.
+    """
+    given = [c for c in docs.columns if c not in ("epoch", "shard", "place")]
     _, draws = mix(docs, id_col, text_col, source_col, **how)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"),
-                       F.col(source_col).alias("source"), F.struct(*docs.columns).alias("row"))
+                       F.col(source_col).alias("source"), F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"))
     rows = rows.alias("r").join(draws.alias("d"), _same_row("r", "d")).select("r.row.*", "d.epoch", "d.shard", "d.place")
     # A shard may hold a large part of a hot source: it is ranged on shard and place, not put into one task.
-    return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select(*docs.columns, "epoch", "shard", "place")
+    return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select(*given, "epoch", "shard", "place")

@@ -43,8 +43,8 @@ RUN = 256
 SPACE = "▁"
 #: Stretches share their beginnings: paths of so many characters are remembered as well.
 BEGINNING = 6
-#: Stretches remembered by a worker, in each of two generations.
-REMEMBERED = 250_000
+#: Stretches remembered by a worker, in each of two generations; between tasks it keeps one.
+REMEMBERED = 100_000
 
 
 class Model:
@@ -226,6 +226,14 @@ class Model:
             found = [self.stretch(w) if f is None else f for w, f in zip(words, found)]
         return b"".join(found)
 
+    def rest(self) -> None:
+        """Give back what a task has gathered beyond one generation; workers outlive tasks and stages."""
+        self.earlier = {}
+        self.beginnings.clear()
+        for known in self.neighbours.values():
+            known.clear()
+        self.known_pairs = 0
+
     # ---- chunks ----
 
     def entries(self, text: str, at: int) -> list[tuple[int, str]]:
@@ -326,6 +334,7 @@ def _short_batches(path, schema_names):
                 part = batch.slice(lo, 1000)
                 ids = [None if t is None else m.ids_between(n := m.normal(t), 0, len(n)) for t in texts[lo:lo + 1000]]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in schema_names], id_lists(ids)], names=[*schema_names, "ids"])
+        m.rest()
     return run
 
 
@@ -356,6 +365,7 @@ def _chunk_batches(path, chunk):
                         rows = []
             if rows:
                 yield _rows(rows, _CHUNK)
+        m.rest()
     return run
 
 
@@ -435,6 +445,7 @@ def _walk_batches(path, chunk, names):
                         out.append(m.walk(part, (a - base, p), (b - base, q), lo, hi, final))
                     ids.append(b"".join(out))
                 yield pa.RecordBatch.from_arrays([*[part_of.column(c) for c in names], id_lists(ids)], names=[*names, "ids"])
+        m.rest()
     return run
 
 
@@ -446,13 +457,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     document's row, where each chunk is walked on its own.
     """
     C.ship(docs.sparkSession)
-    names = [c for c in docs.columns if c != "ids"]
-    kept = docs.select(*names).withColumn("_text", F.col(text_col))
-    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    given = [c for c in docs.columns if c != "ids"]
+    # Columns go by number, so none clashes with those added here.
+    names = [f"c{i}" for i in range(len(given))]
+    kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(given, names)], F.col(text_col).alias("_text"),
+                       F.col(id_col).cast("long").alias("_id"))
+    schema = T.StructType([*[kept.schema[c] for c in names], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     is_long = F.coalesce(F.length("_text") > chunk, F.lit(False))
     short = kept.where(~is_long).mapInArrow(_short_batches(model_path, names), schema)
 
-    key = {"id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "tkey": F.xxhash64("_text")}
+    key = {"id": F.coalesce(F.col("_id"), F.lit((1 << 63) - 1)), "tkey": F.xxhash64("_text")}
     giants = kept.where(is_long).withColumns(key)
     # Rows that repeat id and text have the same matrices.
     chunks = C.saved(giants.select("id", "tkey", F.col("_text").alias("text")).mapInArrow(_chunk_batches(model_path, chunk), _CHUNK)
@@ -466,7 +480,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     states = runs.join(ends, ["id", "tkey", "run"]).mapInArrow(_chunk_end_batches, _CHUNK_ENDS)
     known = states.groupBy("id", "tkey").agg(F.sort_array(F.collect_list(F.struct("idx", "entry", "leave"))).alias("states"))
     long = giants.join(known, ["id", "tkey"]).mapInArrow(_walk_batches(model_path, chunk, names), schema)
-    return short.unionByName(long)
+    return short.unionByName(long).toDF(*given, "ids")
 
 
 def _decode_batches(path, names):

@@ -290,6 +290,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     orders = fate.join(flagged, ["doc_id", "nth"], "left").select(
         F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), (F.col("later") & F.col("whole")).alias("_copy"), "_starts")
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
-    out = docs.select(*rest).withColumns({"_id": own_id, "_key": own_key, "_text": F.coalesce(F.col(text_col), F.lit(""))}).join(orders, ["_id", "_key"])
-    schema = T.StructType([*[docs.schema[c] for c in rest], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string").fields])
-    return out.mapInArrow(_cut_batches(window, rest, text_col), schema)
+    # Columns go by number, so none clashes with those added here.
+    names = [f"c{i}" for i in range(len(rest))]
+    numbered = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)], own_id.alias("_id"), own_key.alias("_key"),
+                           F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    out = numbered.join(orders, ["_id", "_key"])
+    schema = T.StructType([*[numbered.schema[c] for c in names], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string").fields])
+    return out.mapInArrow(_cut_batches(window, names, names[rest.index(text_col)]), schema).toDF(*rest, "n_words", "n_removed", "kept_sha256")

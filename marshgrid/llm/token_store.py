@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -162,8 +163,11 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        import os
         import re
 
+        # A task has one core; the library's own threads only add to its time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -172,7 +176,7 @@ class Encoder:
         self.earlier: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """32-bit ids of each text."""

@@ -62,3 +62,9 @@ def test_every_width_is_compared(spark):
     assert got[14] == got[15] == (1, 14) and got[16] == (0, 16)
     alone = {i: (n, c) for i, n, c in run(spark, rows[:5])}
     assert all(got[k] == alone[k] for k in alone)
+
+
+def test_vectors_without_an_id_stand_alone(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01])]
+    got = sorted(map(tuple, E.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)], key=str)

@@ -92,3 +92,9 @@ def test_null_ids_are_drawn_like_others(spark):
     goal = goals({s: sum(len(t.split()) for _, t, o in rows if o == s) for s in "ab"})
     for s in "ab":
         assert abs(sum(n for (_, o), n in got.items() if o == s) - goal[s]) <= 8
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", "x", "y", "z") for i in range(30)], "doc_id long, text string, source string, shard string, place string, row string")
+    got = M.mixed_rows(docs)
+    assert got.columns.count("shard") == 1 and got.count() > 0 and {r["row"] for r in got.collect()} == {"z"}

@@ -58,3 +58,9 @@ def test_odd_rows(odd_docs, no_docs):
         assert r.decoded == r.text
         assert r.ids is None if r.text is None else list(r.ids) == LIBRARY.encode(r.text)
     assert S.decode(S.encode(no_docs, PATH), PATH).count() == 0
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two " * 3000, "a", "b", "c"), (2, "short", "d", "e", "f")], "doc_id long, text string, id string, states string, tkey string")
+    got = {r["doc_id"]: r for r in S.encode(docs, PATH).collect()}
+    assert [got[1][c] for c in ("id", "states", "tkey")] == ["a", "b", "c"] and len(got[1]["ids"]) > 3000 and got[2]["id"] == "d"

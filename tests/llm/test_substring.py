@@ -62,3 +62,9 @@ def test_equal_windows_take_equal_anchors(letters, at):
     taken = S._anchors(S.parse(words, np.zeros(len(words), np.int64)), np.full(len(words), len(words)), 20, S.REACH)
     used = set(taken[0][taken[1]].tolist()) - {0}
     assert used == set(S.parse(words, np.zeros(len(words), np.int64))[taken[2]].tolist())
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 20, "x", "y", "z"), (2, "d", "p", "q", "r")], "doc_id long, text string, _key string, _starts string, c0 string")
+    got = {r["doc_id"]: tuple(r)[2:5] for r in S.remove_repeats(docs).select(*docs.columns).collect()}
+    assert got == {1: ("x", "y", "z"), 2: ("p", "q", "r")}
