@@ -344,9 +344,15 @@ def c12_bilinear(spark, sf):
     return Z.upsample(half_grid(spark, sf), ["b08"], 2, "bilinear", ["scene"]).withColumn("b08", rr("b08", 9))
 
 
-@query("c12_resample_cubic")
+@query("c12_resample_cubic", f"""WITH {S.REFL}, {S.FRAME}, k AS (SELECT d, CASE WHEN x <= 1 THEN (1.5 * x - 2.5) * x * x + 1 ELSE ((-0.5 * x + 2.5) * x - 4) * x + 2 END AS w
+    FROM (SELECT d, CAST(abs((d - 0.5) / 2) AS DOUBLE) AS x FROM (SELECT unnest(range(-3, 5)) AS d))),
+  s AS (SELECT r * 2 + a.d AS tr, c * 2 + b.d AS tc, scene, b08, a.w * b.w AS w FROM rf, k a, k b),
+  g AS (SELECT tr, tc, scene, sum(w * b08) AS s, sum(CASE WHEN b08 IS NOT NULL THEN w END) AS n FROM s, fr
+        WHERE tr >= 0 AND tr < hh * 2 AND tc >= 0 AND tc < ww * 2 GROUP BY tr, tc, scene)
+  SELECT CAST(tr AS INT) AS "row", CAST(tc AS INT) AS col, scene, {r('CASE WHEN abs(n) > 1e-12 THEN s / n END + 1e-11', 9)} AS b08 FROM g""")
 def c12_cubic(spark, sf):
-    return Z.upsample(half_grid(spark, sf), ["b08"], 2, "cubic", ["scene"]).withColumn("b08", rr("b08"))
+    # Weights are fractions of two, so values often lie half way between two roundings and are moved off it.
+    return Z.upsample(half_grid(spark, sf), ["b08"], 2, "cubic", ["scene"]).withColumn("b08", F.round(F.col("b08") + 1e-11, 9))
 
 
 @query("c12_resample_average", f"""WITH {S.REFL} SELECT CAST(floor(r / 2.0) AS INT) AS "row", CAST(floor(c / 2.0) AS INT) AS col, scene, {r('avg(b08)')} AS b08
@@ -363,16 +369,19 @@ def c12_mode(spark, sf):
 
 # --- padding, augmentation, chips ---------------------------------------------------
 
-@query("b18_pad_and_crop", f"""WITH {S.REFL} SELECT scene, CAST(count(*) FILTER (WHERE b08 IS NOT NULL) AS BIGINT) AS values, {r('sum(b08)', 4)} AS total,
-  CAST(64 * 64 AS BIGINT) AS padded, CAST(50 * 40 AS BIGINT) AS cropped FROM rf WHERE r < 50 AND c < 40 GROUP BY scene""")
+@query("b18_pad_and_crop", f"""WITH {S.REFL}, {S.FRAME} SELECT scene, CAST(count(*) FILTER (WHERE b08 IS NOT NULL) AS BIGINT) AS values, {r('sum(b08)', 4)} AS total,
+  CAST(max(ceil(hh / 64.0) * ceil(ww / 64.0)) * 64 * 64 AS BIGINT) AS padded, CAST(max(hh * ww) AS BIGINT) AS cropped FROM rf, fr GROUP BY scene""")
 def b18_pad(spark, sf):
-    px = R.reflectance(B.px_masked(spark, sf), BANDS).where((F.col("row") < 50) & (F.col("col") < 40))
-    tiles = px.select("scene").distinct().withColumns({"height": F.lit(50), "width": F.lit(40)})
-    padded = T.pad_to_tile(tiles, px, ["scene"], 64, ["b08"], 0.0)
-    inside = F.count_if((F.col("row") < F.col("height")) & (F.col("col") < F.col("width")))
+    # Every scene's whole frame in tiles of 64; those at the bottom and the right are ragged.
+    at = {"tr": F.expr("row div 64"), "tc": F.expr("col div 64"), "row": F.expr("row % 64"), "col": F.expr("col % 64")}
+    px = R.reflectance(B.px_masked(spark, sf), BANDS).select("scene", "b08", *[c.cast("int").alias(n) for n, c in at.items()])
+    steps = [F.explode(F.sequence(F.lit(0), F.expr(f"({n} - 1) div 64").cast("int"))) for n in ("height", "width")]
+    tiles = B.scene_frames(spark, sf).withColumn("tr", steps[0]).withColumn("tc", steps[1])
+    tiles = tiles.select("scene", "tr", "tc", F.expr("least(64, height - tr * 64)").alias("height"), F.expr("least(64, width - tc * 64)").alias("width"))
+    padded = T.pad_to_tile(tiles, px, ["scene", "tr", "tc"], 64, ["b08"], 0.0)
     cropped = T.crop_from_padding(padded)
-    a = padded.groupBy("scene").agg(F.count(F.lit(1)).alias("padded"), inside.alias("cropped"))
-    b = cropped.groupBy("scene").agg(F.count("b08").alias("values"), F.sum("b08").alias("total"))
+    a = padded.groupBy("scene").agg(F.count(F.lit(1)).alias("padded"))
+    b = cropped.groupBy("scene").agg(F.count(F.lit(1)).alias("cropped"), F.count("b08").alias("values"), F.sum("b08").alias("total"))
     return a.join(b, "scene").withColumn("total", rr("total", 4))
 
 

@@ -1,9 +1,8 @@
 """Bringing samples of another resolution onto the target grid.
 
-The ratio between the two grids is an integer factor.  Upsampling is written from
-the source side: a sample sends its weighted value to the few target pixels inside
-its kernel, and one aggregate adds them up.  No join, and partial sums combine
-before the exchange.
+The ratio between the two grids is an integer factor; ``warp`` takes any two grids.
+Interpolation runs in blocks with a halo, rows first and columns then, so a sample moves
+once and no pixel is multiplied by the kernel's size.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marshgrid import contract as C
+from marshgrid.operators import warp as W
 
 
 def _check(method: str, categorical: bool) -> None:
@@ -23,18 +23,6 @@ def _check(method: str, categorical: bool) -> None:
         raise ValueError("class codes cannot be interpolated; use nearest")
 
 
-def _linear(d: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1 - F.abs(d))
-
-
-def _cubic(d: Column) -> Column:
-    """Cubic convolution with a = -0.5."""
-    x = F.abs(d)
-    near = (1.5 * x - 2.5) * x * x + 1
-    far = ((-0.5 * x + 2.5) * x - 4) * x + 2
-    return F.when(x <= 1, near).when(x < 2, far).otherwise(0.0)
-
-
 def upsample(px: DataFrame, values: list[str], factor: int, method: str, by: list[str],
              height: str = "height", width: str = "width", categorical: bool = False) -> DataFrame:
     """Finer grid by ``factor``; ``height`` and ``width`` are the source extent columns.
@@ -50,25 +38,12 @@ def upsample(px: DataFrame, values: list[str], factor: int, method: str, by: lis
                           (F.col("col") * k + F.col("_j")).alias("col"), *values)
     if method not in ("bilinear", "cubic"):
         raise ValueError(f"{method} does not apply to upsampling")
-    reach, kernel = (1, _linear) if method == "bilinear" else (2, _cubic)
-
-    def targets(pos: str, extent: str) -> Column:
-        # Target t sits at (t + .5)/k - .5 on the source axis.
-        first = F.ceil((F.col(pos) - reach + 0.5) * k - 0.5)
-        last = F.floor((F.col(pos) + reach + 0.5) * k - 0.5)
-        return F.sequence(F.greatest(F.lit(0), first).cast("int"),
-                          F.least(F.col(extent) * k - 1, last).cast("int"))
-
-    def weight(t: str, pos: str) -> Column:
-        return kernel((F.col(t) + 0.5) / float(k) - 0.5 - F.col(pos))
-
-    spread = px.withColumn("_r", F.explode(targets("row", height))).withColumn("_c", F.explode(targets("col", width)))
-    w = spread.withColumn("_w", weight("_r", "row") * weight("_c", "col")).where(F.col("_w") != 0)
-    sums = w.groupBy(*by, F.col("_r").alias("row"), F.col("_c").alias("col")).agg(
-        *[F.sum(F.col("_w") * F.col(v)).alias(f"_s_{v}") for v in values],
-        *[F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))).alias(f"_w_{v}") for v in values])
-    return sums.select(*by, "row", "col", *[
-        F.when(F.abs(F.col(f"_w_{v}")) > 1e-12, F.col(f"_s_{v}") / F.col(f"_w_{v}")).alias(v) for v in values])
+    # The finer grid shares the origin; only the frame's extent is read from the samples' columns.
+    extents = px.groupBy(*by).agg(F.max(height).alias("_h"), F.max(width).alias("_w"))
+    zone = 32601  # both grids share it, so it is never used
+    frames = extents.select(*by, W.grid(1.0, 0.0, 0.0, F.col("_h"), F.col("_w"), zone).alias("src"),
+                            W.grid(1.0 / k, 0.0, 0.0, F.col("_h") * k, F.col("_w") * k, zone).alias("dst"))
+    return W.warp(px, frames, values, by, method)
 
 
 def downsample(px: DataFrame, values: list[str], factor: int, method: str, by: list[str],
