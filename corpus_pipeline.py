@@ -16,7 +16,7 @@ from marshgrid.llm.common import shared_folder
 from marshgrid.llm.minhash import near_duplicates
 from marshgrid.llm.mixing import mixed_rows
 from marshgrid.llm.quality import quality
-from marshgrid.llm.sentencepiece import decode, encode
+from marshgrid.llm.sentencepiece import encode
 from marshgrid.llm.substring import remove_repeats
 
 
@@ -50,8 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every drawn document, their number, and whether they decode to the text."""
-    encoded = encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    read = decode(encoded, public_tokenizers.path("piece_bpe_32k.model"))
+    read = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
     return read.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
                        F.sha2(F.col("text"), 256).alias("text_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 

@@ -108,6 +108,7 @@ def _sketch_batches(batches):
                 pa.array([C.row_key(h2[edge[i]:edge[i + 1]], 2) for i in range(n)], pa.int64()), pa.array(counts),
                 pa.ListArray.from_arrays(at, flat), pa.array([short[i].tobytes() for i in range(n)], pa.binary())],
                 names=["doc_id", "k1", "k2", "n_words", "bands", "sketch"])
+    C.tidy()
 
 
 def similarity(xs: np.ndarray, xw: np.ndarray, ys: np.ndarray, yw: np.ndarray) -> float:

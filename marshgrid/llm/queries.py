@@ -63,10 +63,9 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of each whole text, and whether they decode to it."""
     import public_tokenizers
 
-    from marshgrid.llm.sentencepiece import decode, encode
+    from marshgrid.llm.sentencepiece import encode
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    read = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    read = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 

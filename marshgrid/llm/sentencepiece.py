@@ -43,8 +43,8 @@ RUN = 256
 SPACE = "▁"
 #: Stretches share their beginnings: paths of so many characters are remembered as well.
 BEGINNING = 6
-#: Stretches remembered by a worker, in each of two generations; between tasks it keeps one.
-REMEMBERED = 100_000
+#: Stretches remembered by a worker, in each of two generations.
+REMEMBERED = 200_000
 
 
 class Model:
@@ -226,14 +226,6 @@ class Model:
             found = [self.stretch(w) if f is None else f for w, f in zip(words, found)]
         return b"".join(found)
 
-    def rest(self) -> None:
-        """Give back what a task has gathered beyond one generation; workers outlive tasks and stages."""
-        self.earlier = {}
-        self.beginnings.clear()
-        for known in self.neighbours.values():
-            known.clear()
-        self.known_pairs = 0
-
     # ---- chunks ----
 
     def entries(self, text: str, at: int) -> list[tuple[int, str]]:
@@ -318,6 +310,15 @@ def model(path: str) -> Model:
 # ---- Spark side ------------------------------------------------------------------------
 
 
+def _out(m: Model, columns: list, names: list[str], parts: list[bytes | None], decoded: bool) -> pa.RecordBatch:
+    """The rows with their ids and, if asked for, the texts that these ids spell."""
+    more, more_names = [id_lists(parts)], ["ids"]
+    if decoded:
+        more.append(pa.array([None if p is None else m.decode(np.frombuffer(p, np.int32).tolist()) for p in parts], pa.string()))
+        more_names.append("decoded")
+    return pa.RecordBatch.from_arrays([*columns, *more], names=[*names, *more_names])
+
+
 def id_lists(parts: list[bytes | None]) -> pa.ListArray:
     """An Arrow list column from 32-bit ids in bytes."""
     edge = np.concatenate([[0], np.cumsum([len(p or b"") // 4 for p in parts])]).astype(np.int32)
@@ -325,7 +326,7 @@ def id_lists(parts: list[bytes | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.frombuffer(b"".join(p or b"" for p in parts), np.int32)), mask=mask)
 
 
-def _short_batches(path, schema_names):
+def _short_batches(path, schema_names, decoded):
     def run(batches):
         m = model(path)
         for batch in batches:
@@ -333,8 +334,8 @@ def _short_batches(path, schema_names):
             for lo in range(0, len(texts), 1000):
                 part = batch.slice(lo, 1000)
                 ids = [None if t is None else m.ids_between(n := m.normal(t), 0, len(n)) for t in texts[lo:lo + 1000]]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in schema_names], id_lists(ids)], names=[*schema_names, "ids"])
-        m.rest()
+                yield _out(m, [part.column(c) for c in schema_names], schema_names, ids, decoded)
+        C.tidy()
     return run
 
 
@@ -365,7 +366,7 @@ def _chunk_batches(path, chunk):
                         rows = []
             if rows:
                 yield _rows(rows, _CHUNK)
-        m.rest()
+        C.tidy()
     return run
 
 
@@ -430,7 +431,7 @@ def _chunk_end_batches(batches):
             yield _rows(rows, _CHUNK_ENDS)
 
 
-def _walk_batches(path, chunk, names):
+def _walk_batches(path, chunk, names, decoded):
     """Each chunk's way back from the states at its ends, whatever the other chunks do."""
     def run(batches):
         m = model(path)
@@ -444,27 +445,33 @@ def _walk_batches(path, chunk, names):
                         (a, p), (b, q) = pickle.loads(state["entry"]), pickle.loads(state["leave"])
                         out.append(m.walk(part, (a - base, p), (b - base, q), lo, hi, final))
                     ids.append(b"".join(out))
-                yield pa.RecordBatch.from_arrays([*[part_of.column(c) for c in names], id_lists(ids)], names=[*names, "ids"])
-        m.rest()
+                yield _out(m, [part_of.column(c) for c in names], names, ids, decoded)
+        C.tidy()
     return run
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK,
+           decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array<int>), the pieces of the whole text; a column of that name is replaced.
 
+    With ``decoded`` the same tasks also decode the ids again (see ``decode``), so that a
+    round trip needs one set of Python workers.
+
     Texts of one chunk are encoded where they are.  Of longer ones only the matrices of chunks
     travel and meet, in groups of ``RUN``; the states at the ends of the chunks come back to the
     document's row, where each chunk is walked on its own.
     """
     C.ship(docs.sparkSession)
-    given = [c for c in docs.columns if c != "ids"]
+    added = ["ids", "decoded"] if decoded else ["ids"]
+    given = [c for c in docs.columns if c not in added]
     # Columns go by number, so none clashes with those added here.
     names = [f"c{i}" for i in range(len(given))]
     kept = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(given, names)], F.col(text_col).alias("_text"),
                        F.col(id_col).cast("long").alias("_id"))
-    schema = T.StructType([*[kept.schema[c] for c in names], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*[kept.schema[c] for c in names], T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           *([T.StructField("decoded", T.StringType())] if decoded else [])])
     is_long = F.coalesce(F.length("_text") > chunk, F.lit(False))
-    short = kept.where(~is_long).mapInArrow(_short_batches(model_path, names), schema)
+    short = kept.where(~is_long).mapInArrow(_short_batches(model_path, names, decoded), schema)
 
     key = {"id": F.coalesce(F.col("_id"), F.lit((1 << 63) - 1)), "tkey": F.xxhash64("_text")}
     giants = kept.where(is_long).withColumns(key)
@@ -479,8 +486,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             .mapInArrow(_run_end_batches, _RUN_ENDS))
     states = runs.join(ends, ["id", "tkey", "run"]).mapInArrow(_chunk_end_batches, _CHUNK_ENDS)
     known = states.groupBy("id", "tkey").agg(F.sort_array(F.collect_list(F.struct("idx", "entry", "leave"))).alias("states"))
-    long = giants.join(known, ["id", "tkey"]).mapInArrow(_walk_batches(model_path, chunk, names), schema)
-    return short.unionByName(long).toDF(*given, "ids")
+    long = giants.join(known, ["id", "tkey"]).mapInArrow(_walk_batches(model_path, chunk, names, decoded), schema)
+    return short.unionByName(long).toDF(*given, *added)
 
 
 def _decode_batches(path, names):

@@ -157,6 +157,7 @@ def _parse_batches(window):
                     pa.array([C.row_key(h1[edge[i]:edge[i + 1]], 1) for i in range(hi - lo)], pa.int64()),
                     pa.array([C.row_key(h2[edge[i]:edge[i + 1]], 2) for i in range(hi - lo)], pa.int64()),
                     *lists], names=["doc_id", "tkey", "n_words", "k1", "k2", "anchors", "again"])
+        C.tidy()
     return run
 
 
@@ -197,6 +198,7 @@ def _suspect_batches(window):
                         *[pa.ListArray.from_arrays(at, pa.array(np.concatenate(x), t)) for x, t in
                           ((starts, pa.int32()), (w1, pa.int64()), (w2, pa.int32()))]],
                         names=["doc_id", "nth", "starts", "w1", "w2"])
+        C.tidy()
     return run
 
 
@@ -236,6 +238,7 @@ def _cut_batches(window, names, text_col):
                 *[pa.array([None if o is None else r[0] for o, r in zip(batch.column(c).to_pylist(), rows)], pa.string()) if c == text_col
                   else batch.column(c) for c in names], *[pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()))]],
                 names=[*names, "n_words", "n_removed", "kept_sha256"])
+        C.tidy()
     return run
 
 

@@ -64,3 +64,10 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "one two " * 3000, "a", "b", "c"), (2, "short", "d", "e", "f")], "doc_id long, text string, id string, states string, tkey string")
     got = {r["doc_id"]: r for r in S.encode(docs, PATH).collect()}
     assert [got[1][c] for c in ("id", "states", "tkey")] == ["a", "b", "c"] and len(got[1]["ids"]) > 3000 and got[2]["id"] == "d"
+
+
+def test_decoded_beside_the_ids_equals_decoding_them(spark, odd_docs):
+    docs = odd_docs.selectExpr("doc_id", "text", "source AS decoded")
+    both = S.encode(docs, PATH, decoded=True)
+    assert both.columns == ["doc_id", "text", "ids", "decoded"]
+    assert sorted(map(str, both.collect())) == sorted(map(str, S.decode(S.encode(docs.drop("decoded"), PATH), PATH).collect()))
