@@ -8,8 +8,11 @@ the corner of its intersection, so no de-duplication pass follows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from marshgrid import contract as C
 
@@ -130,17 +133,55 @@ def buffer_ladder(start: int) -> list[int]:
     return ladder
 
 
-def _thin(cuts: Column, most: int | None) -> Column:
+#: First cuts that one task tries against all second ones.
+SLICE = 512
+
+
+def thinned(cuts: np.ndarray, most: int | None) -> np.ndarray:
     """All sorted cut positions, or at most ``most`` of them at truncated linspace positions."""
-    if most is None:
+    if most is None or len(cuts) <= most:
         return cuts
-    n = F.size(cuts)
-    last = most - 1
-    step = (n - 1) / F.lit(float(last))
-    at = F.transform(F.sequence(F.lit(0), F.lit(last)),
-                     lambda i: F.when(i == last, n - 1).otherwise(F.floor(i * step).cast("int")))
-    return F.when(n <= most, cuts).otherwise(
-        F.transform(F.array_distinct(at), lambda p: F.get(cuts, p)))
+    at = np.floor(np.arange(most) * ((len(cuts) - 1) / float(most - 1))).astype(int)
+    at[-1] = len(cuts) - 1
+    return cuts[np.unique(at)]
+
+
+def best_pair(start: np.ndarray, end: np.ndarray, n: np.ndarray, cuts: np.ndarray, buffer: int,
+              fractions, tried: range) -> tuple | None:
+    """Best (error, waste, c1, c2, train, val, test) with ``cuts[i]``, i in ``tried``, as first cut.
+
+    Footprints are given as counts ``n`` by start and end.  The sweep takes first cuts from the
+    last to the first: footprints that start behind the cut come in, counted by the first cut
+    at or behind their end, and one running sum then holds the middle strip for every second
+    cut.  Memory is that of the counts.
+    """
+    m = len(cuts)
+    by_end = np.searchsorted(cuts, end, "left")
+    train = np.cumsum(np.bincount(by_end, n, m + 1).astype(np.int64))[:m]
+    order = np.argsort(-start, kind="stable")
+    start, by_end, n = start[order], by_end[order], n[order]
+    # Footprints that start at c + buffer or later are the first ``behind`` ones.
+    behind = np.searchsorted(-start, -(cuts + buffer), "right")
+    test = np.concatenate([[0], np.cumsum(n)])[behind]
+    total, inside, seen, best = int(n.sum()), np.zeros(m + 1, dtype=np.int64), 0, None
+    for i in reversed(tried):
+        np.add.at(inside, by_end[seen:behind[i]], n[seen:behind[i]])
+        seen = max(seen, behind[i])
+        second = np.searchsorted(cuts, cuts[i] + buffer, "right")
+        if train[i] == 0 or second == m:
+            continue
+        val, rest = np.cumsum(inside)[second:m], test[second:]
+        kept = train[i] + val + rest
+        error = (np.abs(train[i] / kept - fractions[0]) + np.abs(val / kept - fractions[1])) + np.abs(rest / kept - fractions[2])
+        error[(val == 0) | (rest == 0)] = np.inf
+        least = error.min()
+        if np.isinf(least) or (best is not None and least > best[0]):
+            continue
+        ties = np.flatnonzero(error == least)
+        j = ties[np.argmax(kept[ties])]  # least waste, then the first cut
+        found = (float(least), int(total - kept[j]), int(cuts[i]), int(cuts[second + j]), int(train[i]), int(val[j]), int(rest[j]))
+        best = found if best is None or found < best else best
+    return best
 
 
 def split_cuts(footprints: DataFrame, by: list[str], buffers: list[int],
@@ -148,17 +189,19 @@ def split_cuts(footprints: DataFrame, by: list[str], buffers: list[int],
     """The winning cut pair of every (group, buffer) that admits a three-way split.
 
     ``footprints`` are distinct.  Both axes and all buffers are evaluated in one job:
-    footprints collapse to counts between neighbouring cut positions, two running sums
-    give the size of every candidate strip, and the best candidate is the minimum of the
-    five-part rank.  Every distinct tile end is a cut; their number is that of tile
-    positions along one axis of one area, and the cells of an axis are its square.
-    ``max_cuts`` thins them evenly where that is too many, which may change the split.
+    footprints collapse to counts by start and end, as many as tile positions along one axis
+    of one area, and a sweep over them sizes the strips of every pair of cuts.  A task takes
+    ``SLICE`` first cuts of one (group, axis, buffer); the best candidate is the minimum of
+    the five-part rank.  Every distinct tile end is a cut.  ``max_cuts`` thins them evenly
+    where that is too many, which may change the split.
     """
     f = [float(x) for x in fractions]
     if len(f) != 3 or min(f) <= 0 or abs(sum(f) - 1.0) > 1e-8:
         raise ValueError("fractions must be three positive values summing to 1")
     if seed < 0 or min(buffers) < 0:
         raise ValueError("seed and buffers must be non-negative")
+    if max_cuts is not None and max_cuts < 2:
+        raise ValueError("a split needs two cuts")
     reverse = bool(np.random.default_rng(seed).integers(0, 2))
     spans = footprints.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_all"), (F.max("bottom") - F.min("top")).alias("_h"),
@@ -171,44 +214,32 @@ def split_cuts(footprints: DataFrame, by: list[str], buffers: list[int],
     hist = (footprints.select(*by, F.explode(F.array(axis(0, "top", "bottom"), axis(1, "left", "right"))).alias("x"))
             .groupBy(*by, F.col("x.axis").alias("axis"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
             .agg(F.count(F.lit(1)).alias("n")))
-    # Distinct ends are as many as tile positions along one axis of one area.
-    ends = hist.groupBy(*by, "axis").agg(_thin(F.array_sort(F.collect_set("end")), max_cuts).alias("cuts"))
-    ends = ends.withColumn("buffer", F.explode(F.array(*[F.lit(int(b)) for b in buffers])))
-
-    # s = how many cuts c satisfy start >= c + buffer (they are the first s); e = index of
-    # the first cut with end <= c, which is size(cuts) when there is none.
-    placed = hist.join(ends, [*by, "axis"]).select(
-        *by, "axis", "buffer", "cuts", "n",
-        F.size(F.filter("cuts", lambda c: c + F.col("buffer") <= F.col("start"))).alias("s"),
-        F.size(F.filter("cuts", lambda c: c < F.col("end"))).alias("e"))
-    g = [*by, "axis", "buffer"]
-    cells = placed.groupBy(*g, "s", "e").agg(F.sum("n").alias("n"))
-    dense = (ends.select(*g, "cuts", F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("s"))
-             .select("*", F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("e"))
-             .join(cells, [*g, "s", "e"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
-    # upto(i, j) = footprints starting after cut i and ending by cut j: s >= i + 1, e <= j.
-    along = dense.withColumn("n", F.sum("n").over(
-        Window.partitionBy(*g, "s").orderBy("e").rowsBetween(Window.unboundedPreceding, 0)))
-    strip = along.withColumn("n", F.sum("n").over(
-        Window.partitionBy(*g, "e").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.size("cuts")
-    second = strip.where((F.col("s") >= 1) & (F.col("e") < size)).select(
-        *g, "cuts", (F.col("s") - 1).alias("i"), F.col("e").alias("j"), F.col("n").alias("val"))
-    first = strip.where((F.col("s") == 0) & (F.col("e") < size)).select(*g, F.col("e").alias("i"), F.col("n").alias("train"))
-    third = strip.where((F.col("e") == size) & (F.col("s") >= 1)).select(*g, (F.col("s") - 1).alias("j"), F.col("n").alias("test"))
-    cand = second.join(first, [*g, "i"]).join(third, [*g, "j"])
-    cand = cand.select(*g, F.get("cuts", F.col("i")).alias("c1"), F.get("cuts", F.col("j")).alias("c2"),
-                       "train", "val", "test") \
-               .where((F.col("c2") > F.col("c1") + F.col("buffer"))
-                      & (F.col("train") > 0) & (F.col("val") > 0) & (F.col("test") > 0))
+    count = F.least(F.count_distinct("end"), F.lit(max_cuts or (1 << 62)))
+    tasks = (hist.groupBy(*by, "axis").agg(F.ceil(count / F.lit(float(SLICE))).cast("int").alias("_slices"))
+             .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+             .withColumn("buffer", F.explode(F.array(*[F.lit(int(b)) for b in buffers]))).drop("_slices"))
+    keys = [*by, "axis", "buffer", "_slice"]
+    names = ["error", "waste", "c1", "c2", "train", "val", "test"]
+    schema = T.StructType([*[footprints.schema[b] for b in by], T.StructField("axis", T.IntegerType()),
+                           T.StructField("buffer", T.IntegerType()), T.StructField("error", T.DoubleType()),
+                           *[T.StructField(c, T.LongType()) for c in names[1:]]])
+    arrow = to_arrow_schema(schema)
+
+    def sweep(key: tuple[pa.Scalar, ...], counts: pa.Table) -> pa.Table:
+        start, end, n = (counts.column(c).to_numpy() for c in ("start", "end", "n"))
+        cuts, buffer, at = thinned(np.unique(end), max_cuts), key[-2].as_py(), key[-1].as_py() * SLICE
+        best = best_pair(start, end, n, cuts, buffer, f, range(at, min(at + SLICE, len(cuts))))
+        if best is None:
+            return arrow.empty_table()
+        row = [*(k.as_py() for k in key[:-1]), *best]
+        return pa.table([pa.array([x], t.type) for x, t in zip(row, arrow)], schema=arrow)
+
+    cand = hist.join(tasks, [*by, "axis"]).groupBy(*keys).applyInArrow(sweep, schema)
     cand = cand.join(spans, by) if by else _attach(cand, spans)
-    kept = F.col("train") + F.col("val") + F.col("test")
-    waste = F.col("n_all") - kept
-    error = (F.abs(F.col("train") / kept - f[0]) + F.abs(F.col("val") / kept - f[1])) + F.abs(F.col("test") / kept - f[2])
     # The longer axis is tried first; rows win ties.
     turn = F.when((F.col("axis") == 0) == (F.col("_h") >= F.col("_w")), 0).otherwise(1)
-    rank = F.struct(turn.alias("turn"), error.alias("error"), (waste / F.col("n_all")).alias("waste_share"),
-                    waste.alias("waste"), "c1", "c2", "axis", "train", "val", "test")
+    rank = F.struct(turn.alias("turn"), "error", (F.col("waste") / F.col("n_all")).alias("waste_share"),
+                    "waste", "c1", "c2", "axis", "train", "val", "test")
     best = cand.where(F.col("n_all") >= 3).groupBy(*by, "buffer").agg(F.min(rank).alias("b"))
     return best.select(*by, "buffer", F.col("b.axis").alias("axis"), F.col("b.c1").alias("c1"), F.col("b.c2").alias("c2"),
                        F.lit(reverse).alias("reverse"), F.col("b.error").alias("error"), F.col("b.waste").alias("waste"),
