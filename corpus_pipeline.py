@@ -20,20 +20,30 @@ from marshgrid.llm.sentencepiece import encode
 from marshgrid.llm.substring import remove_repeats
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    """The whole input row as ``_row``, so that none of its names clashes, beside ``_id`` and ``_key`` (its text)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(row, F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows that repeat id and text are judged alike."""
-    own = {"_id": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_key": F.xxhash64(F.coalesce("text", F.lit("")))}
-    keyed = docs.withColumns(own)
-    judged = quality(keyed.select(F.struct("_id", "_key").alias("row"), "text", "lang"), id_col="row")
+    """Documents that the quality rules keep; rows that repeat id and text are judged alike.
+
+    Null, empty and blank texts go; an empty table stays empty; extra columns stay as they are.
+    """
+    keyed = _own(docs).withColumn("_id", F.coalesce("_id", F.lit(-(1 << 63))))
+    judged = quality(keyed.select(F.struct("_id", "_key").alias("row"), "_row.text", "_row.lang"), id_col="row")
     kept = judged.where("kept").select("doc_id._id", "doc_id._key").distinct()
-    return keyed.join(kept, ["_id", "_key"], "left_semi").select(*docs.columns)
+    return keyed.join(kept, ["_id", "_key"], "left_semi").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class; a row with a null id stands alone."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = (docs.join(kept, "doc_id", "left_semi").withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-           .dropDuplicates(["doc_id", "_key"]).select(*docs.columns))
+    """The document with the smallest id of each class; a row with a null id stands alone.
+
+    Of rows that repeat id and text one stays; an empty table stays empty; extra columns stay as they are.
+    """
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    one = _own(docs).join(kept, "_id", "left_semi").dropDuplicates(["_id", "_key"]).select("_row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 
@@ -44,8 +54,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, dealt to shards and shuffled there."""
-    return mixed_rows(docs).select(*docs.columns)
+    """Documents as often as the mix draws them, dealt to shards and shuffled there.
+
+    Texts without a word are not drawn; null ids and sources are values like others; an empty
+    table stays empty.  Input columns named as those of a draw come back as they are.
+    """
+    inner = {c: f"_given_{c}" for c in ("epoch", "shard", "place") if c in docs.columns}
+    drawn = mixed_rows(docs.withColumnsRenamed(inner))
+    return drawn.select(*[F.col(inner.get(c, c)).alias(c) for c in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
