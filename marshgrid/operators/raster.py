@@ -191,7 +191,7 @@ def unpivot(px: DataFrame, by: list[str], columns: list[str], name: str = "name"
 
 def reflectance_check(px: DataFrame, bands: list[str], frame: DataFrame, by: list[str]) -> DataFrame:
     """Plausibility of the reflectance of every composite, with the two warnings."""
-    stats = exact_percentiles(unpivot(px, by, bands), by, "value", [0.5], ["median"], quantised=True)
+    stats = exact_percentiles(unpivot(px, by, bands), by, "value", [0.5], ["median"])
     cover = coverage(px, frame, by).select(*by, "coverage")
     base = cover.join(stats, by, "left") if by else with_scalar(cover, stats)
     share = F.coalesce(F.col("negatives") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
@@ -251,7 +251,7 @@ def index_histogram(px: DataFrame, index: str, by: list[str], bins: int = 40) ->
 def percentile_stretch(px: DataFrame, band: str, by: list[str], low: float = 2.0, high: float = 98.0,
                        out: str = "stretched") -> DataFrame:
     """Rescale a reflectance band to 0..1 between two percentiles of its composite; zero when flat."""
-    q = exact_percentiles(px, by, band, [low / 100, high / 100], ["_lo", "_hi"], quantised=True).select(*by, "_lo", "_hi")
+    q = exact_percentiles(px, by, band, [low / 100, high / 100], ["_lo", "_hi"]).select(*by, "_lo", "_hi")
     joined = px.join(q, by, "left") if by else with_scalar(px, q, ["_lo", "_hi"])
     span = F.col("_hi") - F.col("_lo")
     value = F.when(F.coalesce(span, F.lit(0.0)) <= 0, F.lit(0.0)).otherwise(

@@ -64,92 +64,93 @@ def _null_safe(left: str, right: str, keys: list[str]) -> Column:
     return cond
 
 
-def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                      names: list[str], accuracy: int = 10000, quantised: bool = False) -> DataFrame:
-    """Linear-interpolation percentiles per group, with count, minimum, maximum and negatives.
-
-    ``quantised`` says the values come from stored 16-bit integers.  A group then has at
-    most 65,536 distinct values, and one pass that counts each value is enough.
-
-    ``percentile`` keeps every distinct value of a group in one task.  Here a
-    sketch gives a bracket guaranteed to hold each requested order statistic; one
-    further pass counts what lies below the bracket and tallies the distinct
-    values inside it (about ``1/1000`` of the group), and only that tally is
-    ordered.  NULLs are skipped; a group without values yields no row.
+def with_ordinal(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Append a long that orders like the double ``value``: negatives below zero, then its exponent, then its fraction.
+
+    Equal doubles have equal longs (-0.0 is 0.0) and different ones different longs; NaN is the greatest.
+    """
+    x, power, part = F.col(value), F.col("_power"), F.col("_part")
+    size = F.abs(x)
+    # The logarithm may be off by one next to a power of two; the quotient says so.
+    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
+    small = (part < 1) & (power > -1022)
+    exponent = F.when(part >= 2, power + 1).when(small, power - 1).otherwise(power)
+    fraction = F.when(part >= 2, part / 2).when(small, part * 2).otherwise(part) - 1
+    bits = (exponent.cast("long") + 1023) * F.lit(1 << 52) + (fraction * float(1 << 52)).cast("long")
+    key = (F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2047 << 52))
+           .when(F.isnan(x), F.lit((2047 << 52) + 1)).otherwise(bits))
+    # Step by step: a step used several times is computed once.
+    return (df.withColumn("_power", guess).withColumn("_part", size * F.pow(F.lit(2.0), -power))
+            .withColumn(name, key).select(*df.columns, F.when(x < 0, -F.col(name)).otherwise(F.col(name)).alias(name)))
+
+
+#: Bits of an ordinal that every level of a selection reads: so many rows, as a power of two, are in a window at most.
+LEVELS = (22, 21, 21)
+
+
+def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: list[float], names: list[str]) -> DataFrame:
+    """Linear-interpolation percentiles per group, with count ``n``, ``vmin``, ``vmax`` and ``negatives``.
+
+    ``percentile`` keeps every distinct value of a group in one task.  Here the values are tallied once,
+    spread by group and value, and every wanted order statistic is found by its bits: a histogram over the
+    leading bits of all values says in which bin it lies and how many values are below it, the next one reads
+    that bin only, and the last one tells single values apart.  The levels read the same exchange, so the
+    input is computed once; no job runs before the result is asked for.  A window holds the bins of one level,
+    at most 2**22 rows, however large the group is.
+
+    NULLs are skipped and a group without values yields no row.  Ties, one value and values of any
+    magnitude, infinite ones and NaN (as the greatest) included, need no other path.
     """
-    data = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if quantised:
-        return _percentiles_of_counts(data, by, probs, names)
-    slack = 5.0 / accuracy
-    lows = [max(0.0, p - slack) for p in probs]
-    highs = [min(1.0, p + slack) for p in probs]
-    sketch = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("vmin"), F.max("_v").alias("vmax"),
-        F.count_if(F.col("_v") < 0).alias("negatives"), F.percentile_approx("_v", lows + highs, accuracy).alias("_q"))
-    k = len(probs)
-    # A requested end (p near 0 or 1) uses the true extreme as its bracket edge.
-    # In a small group the slack is less than the two ranks that are interpolated: its whole range is the bracket.
-    few = F.col("n") <= 4 * accuracy
-    lo = [F.col("vmin") if lows[i] == 0.0 else F.when(few, F.col("vmin")).otherwise(F.col("_q")[i]) for i in range(k)]
-    hi = [F.col("vmax") if highs[i] == 1.0 else F.when(few, F.col("vmax")).otherwise(F.col("_q")[k + i]) for i in range(k)]
-    bounds = sketch.select(*by, "n", "vmin", "vmax", "negatives", F.array(*[
-        F.struct(F.lit(i).alias("i"), lo[i].alias("lo"), hi[i].alias("hi")) for i in range(k)]).alias("_b"))
-
-    if by:
-        paired = data.alias("d").join(bounds.select(*by, "_b").alias("b"), _null_safe("d", "b", by)) \
-                     .select("d.*", "b._b")
-    else:
-        paired = with_scalar(data, bounds, ["_b"])
-    tally = (paired.select(*by, "_v", F.explode("_b").alias("b"))
-             .where(F.col("_v") <= F.col("b.hi"))
-             .groupBy(*by, F.col("b.i").alias("_i"),
-                      F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_x"))
-             .agg(F.count(F.lit(1)).alias("_c")))
-    # NULL _x is the count below the bracket; it sorts first and starts the running sum.
-    run = Window.partitionBy(*by, "_i").orderBy(F.col("_x").asc_nulls_first()) \
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = tally.withColumn("_cum", F.sum("_c").over(run))
-
-    if by:
-        pos = ranked.alias("t").join(bounds.select(*by, "n").alias("b"), _null_safe("t", "b", by)) \
-                    .select("t.*", "b.n")
-    else:
-        pos = with_scalar(ranked, bounds, ["n"])
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
-    at = prob * (F.col("n") - 1)
-    low_k, high_k = F.floor(at), F.ceil(at)
-    # The k-th order statistic (0-based) is the first value whose running count exceeds k.
-    picked = pos.groupBy(*by, "_i").agg(
-        F.min(F.when(F.col("_x").isNotNull() & (F.col("_cum") > low_k), F.col("_x"))).alias("_a"),
-        F.min(F.when(F.col("_x").isNotNull() & (F.col("_cum") > high_k), F.col("_x"))).alias("_z"),
-        F.first(at - low_k).alias("_f"))
-    outside = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
-    value_at = F.when(F.col("_a").isNull() | F.col("_z").isNull(), outside).otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f"))
-    wide = picked.groupBy(*by).agg(*[
-        F.max(F.when(F.col("_i") == i, value_at)).alias(names[i]) for i in range(k)])
-    head = bounds.select(*by, "n", "vmin", "vmax", "negatives")
-    if by:
-        return head.alias("h").join(wide.alias("w"), _null_safe("h", "w", by)) \
-                   .select("h.*", *[f"w.{n}" for n in names])
-    return with_scalar(head.where(F.col("n") > 0), wide, names)
-
-
-def _percentiles_of_counts(data: DataFrame, by: list[str], probs: list[float], names: list[str]) -> DataFrame:
-    tally = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    tally = (df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+             .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    keyed = with_ordinal(tally, "_v", "_k")
+    shift = 64 - LEVELS[0]
+    bins = (keyed.groupBy(*by, F.shiftright("_k", shift).alias("_bin"))
+            .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                 F.sum(F.when(F.col("_v") < 0, F.col("_c")).otherwise(0)).alias("_neg")))
     group = Window.partitionBy(*by)
-    run = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = tally.select(*by, "_v", "_c", F.sum("_c").over(run).alias("_cum"), F.sum("_c").over(group).alias("n"))
-
-    def stat(p, rounding):
-        # The k-th order statistic (0-based) is the first value whose running count exceeds k.
-        return F.min(F.when(F.col("_cum") > rounding(F.lit(float(p)) * (F.col("n") - 1)), F.col("_v")))
-
-    aggs = [F.max("n").alias("n"), F.min("_v").alias("vmin"), F.max("_v").alias("vmax"),
-            F.coalesce(F.sum(F.when(F.col("_v") < 0, F.col("_c"))), F.lit(0)).alias("negatives")]
-    for i, p in enumerate(probs):
-        aggs += [stat(p, F.floor).alias(f"_a{i}"), stat(p, F.ceil).alias(f"_z{i}")]
-    out = cum.groupBy(*by).agg(*aggs).where(F.col("n") > 0)
-    def value(i, p):
-        at = F.lit(float(p)) * (F.col("n") - 1)
-        return F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * (at - F.floor(at))
-    return out.select(*by, "n", "vmin", "vmax", "negatives", *[value(i, p).alias(names[i]) for i, p in enumerate(probs)])
+    run = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = bins.select(*by, "_bin", "_c", *[f(c).over(group).alias(n) for f, c, n in (
+        (F.sum, "_c", "n"), (F.min, "_lo", "vmin"), (F.max, "_hi", "vmax"), (F.sum, "_neg", "negatives"))],
+        F.sum("_c").over(run).alias("_upto"))
+    # Two neighbours a percentile; both are the same rank where no interpolation is needed.
+    at = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    wanted = F.array(*[F.struct(F.lit(2 * i + j).alias("_t"), f(at[i]).cast("long").alias("_rank"))
+                       for i in range(len(probs)) for j, f in enumerate((F.floor, F.ceil))])
+    totals = ["n", "vmin", "vmax", "negatives"]
+    hit = (ranked.select("*", F.inline(wanted))
+           .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
+           .select(*by, *totals, "_t", "_bin", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank")))
+
+    found = None
+    for bits in LEVELS[1:]:
+        # Which values are left: those of the bins found so far, once a wanted rank.  Null-safe keys bring no
+        # filter of their own, which would make another exchange of the tally.
+        source = keyed if found is None else left
+        bin_of = F.shiftright("_k", shift)
+        on = _null_safe("s", "f", [*by, "_bin"] if found is None else [*by, "_t", "_bin"])
+        held = [*by, "_v", "_c", "_k"]
+        left = (source.withColumn("_bin", bin_of).alias("s").join(hit.alias("f"), on)
+                .select(*[F.col(f"s.{c}") for c in held], "f._t", *[f"f.{c}" for c in totals], "f._rank"))
+        if found is None:
+            # One exchange, which the later levels read again.
+            left = left.repartition(*by, "_t", "_k")
+        shift -= bits
+        bins = (left.groupBy(*by, "_t", F.shiftright("_k", shift).alias("_bin"))
+                .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_v"), F.first("_rank").alias("_rank"),
+                     *[F.first(c).alias(c) for c in totals]))
+        run = Window.partitionBy(*by, "_t").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = (bins.withColumn("_upto", F.sum("_c").over(run))
+                 .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))))
+        hit = found.select(*by, *totals, "_t", "_bin", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"))
+        left = left.drop("_rank", *totals)
+
+    def stat(t):
+        return F.max(F.when(F.col("_t") == t, F.col("_v")))
+
+    wide = found.groupBy(*by, *totals).agg(*[stat(t).alias(f"_s{t}") for t in range(2 * len(probs))])
+    low, high = [F.col(f"_s{2 * i}") for i in range(len(probs))], [F.col(f"_s{2 * i + 1}") for i in range(len(probs))]
+    # Equal neighbours are returned as they are: an infinite one minus itself is no number.
+    return wide.select(*by, *totals, *[
+        F.when(low[i] == high[i], low[i]).otherwise(low[i] + (high[i] - low[i]) * (at[i] - F.floor(at[i]))).alias(names[i])
+        for i in range(len(probs))])

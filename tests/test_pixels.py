@@ -116,21 +116,65 @@ def test_mosaic_per_group_and_unreadable(spark):
         R.rank_scenes(dim.withColumn("remote_readable", F.lit(False)), ["area"]).collect()
 
 
-@pytest.mark.parametrize("quantised", [False, True])
-def test_exact_percentiles(spark, quantised):
+def test_exact_percentiles(spark):
     rng = np.random.default_rng(0)
     groups = {"u": rng.normal(size=3000), "hot": np.where(rng.random(4000) < .4, .5, rng.random(4000)), "one": np.array([2.0])}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("u", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r for r in Sc.exact_percentiles(df, ["g"], "v", [.02, .5, .9], ["a", "b", "c"], quantised=quantised).collect()}
+    got = {r["g"]: r for r in Sc.exact_percentiles(df, ["g"], "v", [.02, .5, .9], ["a", "b", "c"]).collect()}
     for g, vs in groups.items():
         want = np.percentile(vs, [2, 50, 90])
         assert [got[g][k] for k in "abc"] == pytest.approx(list(want), abs=1e-12)
         assert got[g]["n"] == len(vs) and got[g]["negatives"] == int((vs < 0).sum())
-    flat = Sc.exact_percentiles(df, [], "v", [.5], ["m"], quantised=quantised).first()
+    flat = Sc.exact_percentiles(df, [], "v", [.5], ["m"]).first()
     assert flat["m"] == pytest.approx(np.percentile(np.concatenate(list(groups.values())), 50))
 
 
+def test_ordinal_orders_like_the_doubles(spark):
+    rng = np.random.default_rng(1)
+    drawn = rng.integers(0, 2 ** 63, 4000, dtype=np.uint64).view(np.float64)
+    near = [s * np.nextafter(2.0 ** e, d) for e in (-1074, -1022, -1, 0, 1, 52, 1023) for d in (0, np.inf) for s in (1, -1)]
+    values = np.unique(np.concatenate([drawn[np.isfinite(drawn)], -drawn[np.isfinite(drawn)], near, [0.0, 5e-324, np.inf, -np.inf]]))
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
+    keys = [r["k"] for r in Sc.with_ordinal(rows, "v", "k").orderBy("i").collect()]
+    bits = values.view(np.int64)
+    assert keys == [int(b) if b >= 0 else -int(b & 0x7FFFFFFFFFFFFFFF) for b in bits]
+    odd = Sc.with_ordinal(spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),)], "v double"), "v", "k").collect()
+    assert [r["k"] for r in odd] == [0, 0, keys[-1] + 1]
+
+
+def test_percentiles_of_any_magnitude(spark):
+    rng = np.random.default_rng(2)
+    groups = {None: 1.0 + rng.integers(0, 9, 500) * 2.0 ** -52,  # apart in the last bits only
+              "wide": np.concatenate([-(10.0 ** rng.uniform(-300, 300, 300)), 10.0 ** rng.uniform(-320, 300, 301)]),
+              "ends": np.array([-np.inf, -np.inf, 0.0, np.inf, np.inf]), "pair": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    plan = Sc.exact_percentiles(df.repartition(5), ["g"], "v", [0.0, .1, .5, 1.0], list("abcd"))
+    got = {r["g"]: r for r in plan.collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        kept = np.sort(vs)
+        assert (got[g]["a"], got[g]["d"], got[g]["vmin"], got[g]["vmax"]) == (kept[0], kept[-1], kept[0], kept[-1])
+        for p, k in ((.1, "b"), (.5, "c")):
+            at = p * (len(kept) - 1)
+            low, high = kept[int(np.floor(at))], kept[int(np.ceil(at))]
+            want = low if low == high else low + (high - low) * (at - np.floor(at))
+            assert got[g][k] == want or np.isclose(got[g][k], want, rtol=1e-15)
+    none = Sc.exact_percentiles(df.where("v is null"), [], "v", [.5], ["m"])
+    assert none.collect() == []
+
+
+def test_percentile_windows_hold_bins_only(spark):
+    """No job while the plan is built, and the input is read once."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") / 7).alias("v"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    plan = Sc.exact_percentiles(df, ["g"], "v", [.25, .75], ["a", "b"])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("Range (0, 1000") == 1 and "ReusedExchange" in text
+
+
 def test_global_rank_with_hot_value(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("v"))
     got = {r["id"]: r["rn"] for r in Sc.global_rank(df, [F.col("v").desc(), F.col("id").asc()]).collect()}
