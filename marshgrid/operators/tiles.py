@@ -1,13 +1,12 @@
 """Overlapping tiles: assignment, per-tile tallies, store summaries, model inputs.
 
-Tile tallies never explode pixels.  Tile edges fall on multiples of
-``gcd(size, stride)``, so pixels are first added up in cells of that side and the
-few cells are sent to every tile that covers them.
+Tile tallies never explode pixels.  Pixels are first added up in cells cut at the
+edges of tiles only, whatever size and stride have in common, and the few cells are
+sent to every tile that covers them.
 """
 
 from __future__ import annotations
 
-from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,24 +21,24 @@ TALLIES = ["px", "usable_px", "trainable_px", "review_px",
            *[f"label_{c}_px" for c in range(N_CLASSES)], *[f"mask_{c}_px" for c in range(N_CLASSES)]]
 
 
-def _starts(pos: Column, span, extent: Column, size: int, stride: int) -> Column:
-    """Offsets of the full tiles that contain ``[pos, pos + span)`` along one axis."""
-    first = F.greatest(F.lit(0), F.ceil((pos + span - size) / F.lit(float(stride)))).cast("int")
+def _starts(pos: Column, extent: Column, size: int, stride: int) -> Column:
+    """Offsets of the full tiles that contain ``pos`` along one axis."""
+    first = F.greatest(F.lit(0), F.ceil((pos + 1 - size) / F.lit(float(stride)))).cast("int")
     last = F.least(F.floor(pos / F.lit(float(stride))),
                    F.floor((extent - size) / F.lit(float(stride)))).cast("int")
     return F.when(last >= first, F.transform(F.sequence(first, last), lambda k: k * stride))
 
 
 def assign_tiles(px: DataFrame, size: int, stride: int | None = None, height: str = "height",
-                 width: str = "width", row: str = "row", col: str = "col", span: int = 1) -> DataFrame:
-    """Send every pixel (or cell of side ``span``) to each full tile covering it.
+                 width: str = "width", row: str = "row", col: str = "col") -> DataFrame:
+    """Send every pixel (or cell, by its start) to each full tile covering it.
 
     ``height`` and ``width`` name the grid extent columns.  Adds ``top``, ``left``
     and the block position; purely row-local, no exchange.
     """
     stride = stride or size
-    tops = px.withColumn("top", F.explode(_starts(F.col(row), span, F.col(height), size, stride)))
-    both = tops.withColumn("left", F.explode(_starts(F.col(col), span, F.col(width), size, stride)))
+    tops = px.withColumn("top", F.explode(_starts(F.col(row), F.col(height), size, stride)))
+    both = tops.withColumn("left", F.explode(_starts(F.col(col), F.col(width), size, stride)))
     return both.withColumn("block_row", F.floor(F.col("top") / float(size)).cast("int")) \
                .withColumn("block_col", F.floor(F.col("left") / float(size)).cast("int"))
 
@@ -71,17 +70,15 @@ def tile_tallies(labelled: DataFrame, by: list[str], size: int, stride: int | No
     ``labelled`` carries label, usable, review, trainable, height and width.
     """
     stride = stride or size
-    g = gcd(size, stride)
-    side = float(g)
     src = with_mask(labelled)
-    cells = (src.groupBy(*by, (F.floor(F.col("row") / side) * g).cast("int").alias("row"),
-                         (F.floor(F.col("col") / side) * g).cast("int").alias("col"))
+    cells = (src.groupBy(*by, cell_start(F.col("row"), size, stride).alias("row"),
+                         cell_start(F.col("col"), size, stride).alias("col"))
              .agg(F.max("height").alias("height"), F.max("width").alias("width"),
                   F.count(F.lit(1)).alias("px"), F.count_if("usable").alias("usable_px"),
                   F.count_if("trainable").alias("trainable_px"), F.count_if("review").alias("review_px"),
                   *[F.count_if(F.col("label") == c).alias(f"label_{c}_px") for c in range(N_CLASSES)],
                   *[F.count_if(F.col("mask") == c).alias(f"mask_{c}_px") for c in range(N_CLASSES)]))
-    tiles = assign_tiles(cells, size, stride, span=g)
+    tiles = assign_tiles(cells, size, stride)
     return tiles.groupBy(*by, "top", "left").agg(*[F.sum(t).alias(t) for t in TALLIES])
 
 
@@ -218,20 +215,50 @@ def evenly_spaced(items: DataFrame, order: list[Column], count: int, by: list[st
     return sized.where((n <= count) | keep).withColumn("position", pos).drop("_rn", "_n")
 
 
+def cell_start(pos: Column, size: int, stride: int) -> Column:
+    """The last tile edge at or before ``pos`` along one axis.
+
+    Tiles begin at ``k * stride`` and end at ``k * stride + size``.  No edge lies inside a cell that is
+    cut at both, so a cell is in a tile or out of it as a whole.
+    """
+    begins = F.floor(pos / F.lit(float(stride))) * stride
+    ends = F.floor((pos - size) / F.lit(float(stride))) * stride + size
+    return F.greatest(begins, ends).cast("int")
+
+
+def with_cells(px: DataFrame, size: int, stride: int) -> DataFrame:
+    """Append ``_cr`` and ``_cc``, where the cell of ``row`` and ``col`` starts."""
+    return px.withColumn("_cr", cell_start(F.col("row"), size, stride)) \
+             .withColumn("_cc", cell_start(F.col("col"), size, stride))
+
+
+def tile_cells(tiles: DataFrame, size: int, stride: int) -> DataFrame:
+    """One row for every cell of every tile: at most ``2 * ceil(size / stride)`` an axis, whatever their sizes."""
+    offsets = sorted({*range(0, size, stride), *range(size % stride, size, stride)})
+    starts = F.array(*[F.lit(o) for o in offsets])
+    def cell(edge):
+        return F.explode(F.transform(starts, lambda o: F.col(edge) + o))
+    return tiles.withColumn("_cr", cell("top")).withColumn("_cc", cell("left"))
+
+
 def tile_cover(tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
-    """How many of the given tiles cover each cell of side ``gcd(size, stride)``."""
-    g = gcd(size, stride)
-    cell = lambda start: F.sequence(F.col(start), F.col(start) + size - g, F.lit(g))
-    return tiles.withColumn("_cr", F.explode(cell("top"))).withColumn("_cc", F.explode(cell("left"))) \
-                .groupBy(*by, "_cr", "_cc").agg(F.count(F.lit(1)).alias("cover"))
+    """How many of the given tiles cover each cell."""
+    return tile_cells(tiles, size, stride).groupBy(*by, "_cr", "_cc").agg(F.count(F.lit(1)).alias("cover"))
 
 
 def covered_pixels(px: DataFrame, tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
     """Pixels inside the tiles with ``cover``, the number of tiles over each."""
-    g = gcd(size, stride)
-    keyed = px.withColumn("_cr", (F.floor(F.col("row") / float(g)) * g).cast("int")) \
-              .withColumn("_cc", (F.floor(F.col("col") / float(g)) * g).cast("int"))
-    return keyed.join(tile_cover(tiles, by, size, stride), [*by, "_cr", "_cc"]).drop("_cr", "_cc")
+    return with_cells(px, size, stride).join(tile_cover(tiles, by, size, stride), [*by, "_cr", "_cc"]).drop("_cr", "_cc")
+
+
+def pixels_of_tiles(px: DataFrame, tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
+    """The pixels of the given tiles, one row per (tile, pixel) with the tile's columns.
+
+    Pixels meet the cells of these tiles before they are repeated, so a short list of tiles costs one
+    pass over the pixels.  A list of bounded length may be broadcast by the caller.
+    """
+    cells = tile_cells(tiles.drop("row", "col"), size, stride)
+    return with_cells(px, size, stride).join(cells, [*by, "_cr", "_cc"]).drop("_cr", "_cc")
 
 
 def band_statistics(px: DataFrame, tiles: DataFrame, bands: list[str], by: list[str], size: int,
@@ -248,11 +275,16 @@ def band_statistics(px: DataFrame, tiles: DataFrame, bands: list[str], by: list[
         order = [*[F.col(b) for b in by], F.col("top"), F.col("left")]
         chosen = linspace_sample(chosen, order, sample_limit).select(*by, "top", "left")
     ok = F.col("usable") & P.known(*[F.col(b) for b in bands])
-    seen = covered_pixels(px.where(ok).select(*by, "row", "col", *bands), chosen, by, size, stride or size)
-    n = F.sum("cover")
+    step = stride or size
+    # Pixels are added up in cells on the map side; only cells meet the tiles.
     # Deviations from a fixed middle value keep the two sums of the variance small.
+    powers = {(b, k): F.pow(F.col(b).cast("double") - 0.25, k) for b in bands for k in (1, 2)}
+    cells = (with_cells(px.where(ok).select(*by, "row", "col", *bands), size, step).groupBy(*by, "_cr", "_cc")
+             .agg(F.count(F.lit(1)).alias("_px"), *[F.sum(v).alias(f"_{k}_{b}") for (b, k), v in powers.items()]))
+    seen = cells.join(tile_cover(chosen, by, size, step), [*by, "_cr", "_cc"])
+    n = F.sum(F.col("cover") * F.col("_px"))
     def moment(b, k):
-        return F.sum(F.col("cover") * F.pow(F.col(b).cast("double") - 0.25, k)) / n
+        return F.sum(F.col("cover") * F.col(f"_{k}_{b}")) / n
     stats = seen.agg(F.coalesce(n, F.lit(0)).alias("usable_px"), *[(moment(b, 1) + 0.25).alias(f"m_{b}") for b in bands],
                      *[F.sqrt(F.greatest(moment(b, 2) - F.pow(moment(b, 1), 2), F.lit(0.0))).alias(f"s_{b}") for b in bands])
     rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(b).alias("band"), F.col(f"m_{b}").alias("mean"),

@@ -29,7 +29,7 @@ def chips(store, selected: DataFrame, bands: list[str] | None = None) -> DataFra
     """
     wanted = list(bands or store.bands)
     keys = F.broadcast(selected.select("area_key", "date", "top", "left", "key"))
-    px = store.tile_pixels(wanted).join(keys, ["area_key", "date", "top", "left"])
+    px = store.tile_pixels(wanted, keys)
     u = F.coalesce("usable", F.lit(False))
     return px.select("key", "area_key", "date", (F.col("row") - F.col("top")).alias("row"),
                      (F.col("col") - F.col("left")).alias("col"), *wanted,

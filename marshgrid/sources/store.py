@@ -34,15 +34,21 @@ class TileStore:
     tile_size: int
     stride: int
 
-    def tile_pixels(self, bands: list[str] | None = None) -> DataFrame:
-        """Decoded model inputs, one row per (tile, pixel); bands in the requested order."""
+    def decoded(self, bands: list[str] | None = None) -> DataFrame:
+        """Decoded model inputs, one row per pixel; bands in the requested order."""
         wanted = list(bands or self.bands)
         missing = [b for b in wanted if b not in self.bands]
         if missing:
             raise ValueError(f"the store holds bands {self.bands}; {missing} were asked for")
-        px = self.pixels.select(*BY, "row", "col", "height", "width", "mask", "rule_label", "usable", "review",
-                                *[P.decode_reflectance(F.col(b)).alias(b) for b in wanted])
-        return T.assign_tiles(px, self.tile_size, self.stride)
+        return self.pixels.select(*BY, "row", "col", "height", "width", "mask", "rule_label", "usable", "review",
+                                  *[P.decode_reflectance(F.col(b)).alias(b) for b in wanted])
+
+    def tile_pixels(self, bands: list[str] | None = None, tiles: DataFrame | None = None) -> DataFrame:
+        """Decoded model inputs, one row per (tile, pixel), of all tiles or of those given by place."""
+        px = self.decoded(bands)
+        if tiles is None:
+            return T.assign_tiles(px, self.tile_size, self.stride)
+        return T.pixels_of_tiles(px, tiles, BY, self.tile_size, self.stride)
 
 
 def write_tile_store(labelled: DataFrame, path: str, bands: list[str], tile_size: int = 256,

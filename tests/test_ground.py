@@ -213,6 +213,29 @@ def test_cover_counts_tiles(spark):
     assert cover[(0, 0)] == 1 and cover[(16, 16)] == 4 and cover[(16, 0)] == 2
 
 
+@pytest.mark.parametrize("size,stride", [(13, 5), (12, 6), (7, 7), (6, 9), (16, 13)])
+def test_edge_cells_of_any_size_and_stride(spark, size, stride):
+    """Tallies, cover and statistics equal those of pixels sent to every tile."""
+    px = synthetic(spark).where("row < 40 and col < 33").withColumn("height", F.lit(40)).withColumn("width", F.lit(33))
+    px = px.withColumn("usable", F.col("usable") & F.col("B04").isNotNull())
+    by, key = ["date"], ["date", "top", "left"]
+    sent = T.assign_tiles(px, size, stride)
+    want = {tuple(r) for r in sent.groupBy(*key).agg(F.count(F.lit(1)), F.count_if("usable"), F.count_if("review")).collect()}
+    got = {tuple(r) for r in T.tile_tallies(px, by, size, stride).select(*key, "px", "usable_px", "review_px").collect()}
+    assert got == want and got
+    tiles = T.grid_tiles(px.select("date", "height", "width").distinct(), size, stride)
+    place = ["date", "row", "col"]
+    cover = {tuple(r) for r in T.covered_pixels(px, tiles, by, size, stride).select(*place, "cover").collect()}
+    assert cover == {tuple(r) for r in sent.groupBy(*place).count().collect()}
+    picked = tiles.where("top > 0").select("date", "top", "left")
+    part = T.pixels_of_tiles(px, picked, by, size, stride).select(*key, "row", "col")
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, sent.where("top > 0").select(*key, "row", "col").collect()))
+    flat = sent.where("usable").agg(F.avg("B04"), F.stddev_pop("B04"), F.count(F.lit(1))).first()
+    stats = T.band_statistics(px, tiles, ["B04"], by, size, stride).first()
+    assert (stats["mean"], stats["std"]) == pytest.approx((flat[0], flat[1]), abs=2e-6) and stats["usable_px"] == flat[2]
+    assert T.tile_cells(tiles.limit(1), size, stride).count() <= (2 * -(-size // stride)) ** 2
+
+
 def test_store_faults(spark, tmp_path):
     path, bands = str(tmp_path / "store"), ["B04", "B08"]
     both = synthetic(spark).withColumn("area_key", F.lit("001")).unionByName(synthetic(spark).withColumn("area_key", F.lit("002")))
