@@ -51,13 +51,15 @@ def train_pixel_classifier(px: DataFrame, tiles: DataFrame, tallies: DataFrame,
     # A handful of rows each, kept with the model: computed once, not per use.
     stats = materialise(T.band_statistics(px, train, bands, by, size, stride, sample_limit))
     weights = materialise(T.class_weights(T.class_balance(tallies, train, tile_key), scheme))
-    seen = T.covered_pixels(px.where("trainable"), train.select(*tile_key), by, size, stride)
+    # Equal pixels have equal loss: each combination of bands and label is fitted once, with their number.  The
+    # optimiser reads its input several times, so it is kept.
+    seen = materialise(T.distinct_pixels(px, train.select(*tile_key), ["label", *bands], by, size, stride, "trainable"))
     # A missing band counts as zero, as it does in prediction.
     filled = seen.withColumns({b: F.coalesce(b, F.lit(0.0)) for b in bands})
     scaled = T.standardise_bands(filled, stats, bands)
     # Four rows of weights.
     rows = scaled.join(F.broadcast(weights.withColumnRenamed("class_code", "label")), "label") \
-                 .select(F.col("label").cast("double").alias("label"), (F.col("cover") * F.col("weight")).alias("w"),
+                 .select(F.col("label").cast("double").alias("label"), (F.col("n") * F.col("weight")).alias("w"),
                          *bands)
     pipe = [VectorAssembler(inputCols=bands, outputCol="features"),
             LogisticRegression(family="multinomial", weightCol="w", maxIter=max_iter, regParam=1e-4)]
@@ -88,11 +90,14 @@ def predict_pixels(model: PixelModel, px: DataFrame, bands: list[str]) -> DataFr
 
 def evaluate(model: PixelModel, px: DataFrame, tiles: DataFrame, split: str, by: list[str], size: int,
              stride: int) -> DataFrame:
-    """Per-class scores on one split, each pixel counted once per covering tile."""
+    """Per-class scores on one split, each pixel counted once per covering tile.
+
+    Equal pixels get equal predictions, so each combination of bands and label is predicted once.
+    """
     part = tiles.where(F.col("split") == split).select(*by, "top", "left")
-    seen = T.covered_pixels(T.with_mask(px), part, by, size, stride).withColumn("target", F.col("mask"))
-    pred = predict_pixels(model, seen, model.bands)
-    return M.class_scores(M.confusion(pred, weight="cover"))
+    seen = T.distinct_pixels(px, part, ["label", *model.bands], by, size, stride, "trainable")
+    pred = predict_pixels(model, seen.withColumnRenamed("label", "target"), model.bands)
+    return M.class_scores(M.confusion(pred, weight="n"))
 
 
 def compare_arms(multispectral: DataFrame, rgb: DataFrame) -> DataFrame:

@@ -251,6 +251,18 @@ def covered_pixels(px: DataFrame, tiles: DataFrame, by: list[str], size: int, st
     return with_cells(px, size, stride).join(tile_cover(tiles, by, size, stride), [*by, "_cr", "_cc"]).drop("_cr", "_cc")
 
 
+def distinct_pixels(px: DataFrame, tiles: DataFrame, values: list[str], by: list[str], size: int, stride: int,
+                    counted: str) -> DataFrame:
+    """The different combinations of ``values`` among the ``counted`` pixels of the tiles, with their number ``n``.
+
+    A pixel counts once for every tile over it.  Stored bands are 16-bit integers, so equal pixels are many; they
+    combine on the map side, and what is left is never more than the pixels.  The condition is summed and no
+    filter, for the reason given in :func:`band_statistics`.
+    """
+    seen = covered_pixels(px.select(*by, "row", "col", counted, *values), tiles, by, size, stride)
+    return seen.groupBy(*values).agg(F.sum(F.when(F.col(counted), F.col("cover"))).alias("n")).where(F.col("n") > 0)
+
+
 def pixels_of_tiles(px: DataFrame, tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
     """The pixels of the given tiles, one row per (tile, pixel) with the tile's columns.
 
@@ -274,15 +286,18 @@ def band_statistics(px: DataFrame, tiles: DataFrame, bands: list[str], by: list[
     if sample_limit is not None:
         order = [*[F.col(b) for b in by], F.col("top"), F.col("left")]
         chosen = linspace_sample(chosen, order, sample_limit).select(*by, "top", "left")
-    ok = F.col("usable") & P.known(*[F.col(b) for b in bands])
     step = stride or size
-    # Pixels are added up in cells on the map side; only cells meet the tiles.
+    # Pixels are added up in cells on the map side; only cells meet the tiles.  Missing bands are left out inside
+    # the sums: as a filter the test is rewritten down to the stored integers, and a function that spells every
+    # band out so often is too large to be compiled.
+    known = P.known(*[F.col(b) for b in bands])
     # Deviations from a fixed middle value keep the two sums of the variance small.
-    powers = {(b, k): F.pow(F.col(b).cast("double") - 0.25, k) for b in bands for k in (1, 2)}
-    cells = (with_cells(px.where(ok).select(*by, "row", "col", *bands), size, step).groupBy(*by, "_cr", "_cc")
-             .agg(F.count(F.lit(1)).alias("_px"), *[F.sum(v).alias(f"_{k}_{b}") for (b, k), v in powers.items()]))
+    off = {b: F.when(known, F.col(b).cast("double") - 0.25) for b in bands}
+    powers = {(b, k): off[b] if k == 1 else off[b] * off[b] for b in bands for k in (1, 2)}
+    cells = (with_cells(px.where("usable").select(*by, "row", "col", *bands), size, step).groupBy(*by, "_cr", "_cc")
+             .agg(F.count_if(known).alias("_px"), *[F.sum(v).alias(f"_{k}_{b}") for (b, k), v in powers.items()]))
     seen = cells.join(tile_cover(chosen, by, size, step), [*by, "_cr", "_cc"])
-    n = F.sum(F.col("cover") * F.col("_px"))
+    n = F.nullif(F.sum(F.col("cover") * F.col("_px")), F.lit(0))
     def moment(b, k):
         return F.sum(F.col("cover") * F.col(f"_{k}_{b}")) / n
     stats = seen.agg(F.coalesce(n, F.lit(0)).alias("usable_px"), *[(moment(b, 1) + 0.25).alias(f"m_{b}") for b in bands],
