@@ -422,33 +422,32 @@ def training_data(spark, sf):
     px = B.labelled(spark, sf)
     fp = footprints(spark, sf)
     tiles = materialise(Sp.geographic_split(fp, [], 16, seed=1))
-    return px, tiles, tallies(spark, sf)
+    return px, tiles, materialise(T.split_pixels(px, tiles, BANDS, ["scene"], SIZE, STRIDE))
 
 
-def train(spark, sf, bands):
-    px, tiles, t = training_data(spark, sf)
-    return K.train_pixel_classifier(px, tiles, t, bands, ["scene"], SIZE, STRIDE, max_iter=30), px, tiles
+def fit(data, bands):
+    px, tiles, seen = data
+    return K.train_pixel_classifier(px, tiles, seen, bands, ["scene"], SIZE, STRIDE, max_iter=30)
 
 
 @query("k1_train_and_evaluate")
 def k1(spark, sf):
-    model, px, tiles = train(spark, sf, BANDS)
-    return K.evaluate(model, px, tiles, "test", ["scene"], SIZE, STRIDE)
+    data = training_data(spark, sf)
+    return K.evaluate(fit(data, BANDS), data[2], "test")
 
 
 @query("k2_predict_pixels")
 def k2(spark, sf):
-    model, px, _ = train(spark, sf, BANDS)
-    return K.predict_pixels(model, px, BANDS).select("row", "col", "scene", "label", "prediction")
+    data = training_data(spark, sf)
+    return K.predict_pixels(fit(data, BANDS), data[0], BANDS).select("row", "col", "scene", "label", "prediction")
 
 
 @query("k3_compare_arms")
 def k3(spark, sf):
-    reports = []
-    for bands in (BANDS, ["b04", "b03"]):
-        model, px, tiles = train(spark, sf, bands)
-        reports.append(M.segmentation_report(K.evaluate(model, px, tiles, "test", ["scene"], SIZE, STRIDE)))
-    return K.compare_arms(*reports)
+    # Both arms learn from the same split and the same pixels.
+    data = training_data(spark, sf)
+    return K.compare_arms(*[M.segmentation_report(K.evaluate(fit(data, bands), data[2], "test"))
+                            for bands in (BANDS, ["b04", "b03"])])
 
 
 @query("k4_model_provenance", """WITH """ + S.PX + ", " + S.FRAME + """ SELECT count(*) AS tiles, count(DISTINCT key) AS keys FROM (
@@ -461,19 +460,26 @@ def k4(spark, sf):
 
 @query("k5_score_pack")
 def k5(spark, sf):
-    model, px, tiles = train(spark, sf, BANDS)
-    key = F.concat(F.col("scene").cast("string"), F.lit("/r"), F.col("top").cast("string"), F.lit("_c"), F.col("left").cast("string"))
+    data = training_data(spark, sf)
+    model, tiles = fit(data, BANDS), data[1]
     test = tiles.where(F.col("split") == "test")
-    chips = T.assign_tiles(K.predict_pixels(model, px, BANDS), SIZE, STRIDE).withColumn("key", key)
-    chips = chips.join(test.select("key"), "key", "left_semi")
-    labels = T.with_mask(chips).select("key", "row", "col", F.col("mask").alias("class_code"))
+    # Observations meet the chips as stored; only those inside are labelled and predicted.
+    inside = T.tiles_over_pixels(B.px_obs(spark, sf), test.select("scene", "top", "left", "key"), ["scene"], SIZE, STRIDE)
+    refl = R.reflectance(R.mask_observations(inside, BANDS), BANDS)
+    inside = weak_label(R.with_indices(refl, BANDS)).select("row", "col", "tiles", "label", "trainable", *BANDS)
+    # A pixel is predicted once and then goes to the chips over it, which predictions and labels both read.
+    chips = T.with_mask(K.predict_pixels(model, inside, BANDS)).select(
+        F.explode("tiles.key").alias("key"), "row", "col", "prediction", F.col("mask").alias("class_code"))
+    chips = materialise(chips)
+    labels = chips.select("key", "row", "col", "class_code")
     return K.score_pack(chips.select("key", "row", "col", "prediction"), labels, test, model.provenance)["per_tile"]
 
 
 @query("d26_run_metrics")
 def d26(spark, sf):
-    model, px, tiles = train(spark, sf, BANDS)
-    report = M.segmentation_report(K.evaluate(model, px, tiles, "test", ["scene"], SIZE, STRIDE))
+    data = training_data(spark, sf)
+    model, tiles = fit(data, BANDS), data[1]
+    report = M.segmentation_report(K.evaluate(model, data[2], "test"))
     out = K.run_metrics(model, tiles, report)
     return out.select("train_tiles", "val_tiles", "test_tiles", "boundary_tiles_omitted", "mean_iou", "both_met", "reason")
 

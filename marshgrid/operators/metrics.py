@@ -82,11 +82,14 @@ def target_verdict(report: DataFrame, assessable: Column | bool = True, reason:
         F.when(ok, iou_ok & f1_ok).alias("both_met"), F.when(~ok, why.cast("string")).alias("reason"))
 
 
-def tile_agreement(scored: DataFrame, tile: list[str]) -> DataFrame:
-    """Labelled pixels and share predicted like the label, per annotated tile."""
+def tile_agreement(scored: DataFrame, tile: list[str], weight: str | None = None) -> DataFrame:
+    """Labelled pixels and share predicted like the label, per annotated tile; ``weight`` counts a row several times."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    same = F.col("prediction") == F.col("target")
+    # A pixel without a prediction is labelled, and no part of the share.
+    hits, judged = F.sum(F.when(same, n).when(~same, 0)), F.sum(F.when(same.isNotNull(), n))
     return scored.where(F.col("target").between(0, K - 1)).groupBy(*tile).agg(
-        F.count(F.lit(1)).alias("labelled_px"),
-        F.round(F.avg((F.col("prediction") == F.col("target")).cast("double")), 4).alias("agreement"))
+        F.sum(n).alias("labelled_px"), F.round(hits / judged, 4).alias("agreement"))
 
 
 def reed_overlap(scored: DataFrame, tile: list[str]) -> DataFrame:

@@ -241,14 +241,16 @@ def tile_cells(tiles: DataFrame, size: int, stride: int) -> DataFrame:
     return tiles.withColumn("_cr", cell("top")).withColumn("_cc", cell("left"))
 
 
-def tile_cover(tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
-    """How many of the given tiles cover each cell."""
-    return tile_cells(tiles, size, stride).groupBy(*by, "_cr", "_cc").agg(F.count(F.lit(1)).alias("cover"))
+def tile_cover(tiles: DataFrame, by: list[str], size: int, stride: int, keep: list[str] | None = None) -> DataFrame:
+    """How many of the given tiles cover each cell, apart for every value of the tile columns ``keep``."""
+    return tile_cells(tiles, size, stride).groupBy(*by, "_cr", "_cc", *(keep or [])).agg(F.count(F.lit(1)).alias("cover"))
 
 
-def covered_pixels(px: DataFrame, tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
-    """Pixels inside the tiles with ``cover``, the number of tiles over each."""
-    return with_cells(px, size, stride).join(tile_cover(tiles, by, size, stride), [*by, "_cr", "_cc"]).drop("_cr", "_cc")
+def covered_pixels(px: DataFrame, tiles: DataFrame, by: list[str], size: int, stride: int,
+                   keep: list[str] | None = None) -> DataFrame:
+    """Pixels inside the tiles with ``cover``, the number of tiles over each, apart for every value of ``keep``."""
+    cover = tile_cover(tiles, by, size, stride, keep)
+    return with_cells(px, size, stride).join(cover, [*by, "_cr", "_cc"]).drop("_cr", "_cc")
 
 
 def distinct_pixels(px: DataFrame, tiles: DataFrame, values: list[str], by: list[str], size: int, stride: int,
@@ -263,6 +265,29 @@ def distinct_pixels(px: DataFrame, tiles: DataFrame, values: list[str], by: list
     return seen.groupBy(*values).agg(F.sum(F.when(F.col(counted), F.col("cover"))).alias("n")).where(F.col("n") > 0)
 
 
+def split_pixels(px: DataFrame, tiles: DataFrame, bands: list[str], by: list[str], size: int, stride: int) -> DataFrame:
+    """The different pixels of every split: label, usable, trainable and bands, with their number ``n``.
+
+    A pixel counts once for every tile of the split over it.  Training, its statistics and weights, and the scores
+    of every split are sums over these rows, so the pixels themselves are read once for all of them.
+    """
+    values = ["label", "usable", "trainable", *bands]
+    placed = tiles.where(F.col("split").isNotNull())
+    seen = covered_pixels(px.select(*by, "row", "col", *values), placed, by, size, stride, ["split"])
+    return seen.groupBy("split", *values).agg(F.sum("cover").alias("n"))
+
+
+def tiles_over_pixels(px: DataFrame, tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
+    """The pixels inside the tiles, each once, with ``tiles``: the tiles over it (the columns besides ``by``).
+
+    At most ``ceil(size / stride)`` squared tiles are over a pixel.  Pixels are exchanged here: what made them and
+    what follows, labels for one, are too large for the compiler as one method, which a broadcast would leave.
+    """
+    rest = [c for c in tiles.columns if c not in by]
+    cells = tile_cells(tiles, size, stride).groupBy(*by, "_cr", "_cc").agg(F.collect_list(F.struct(*rest)).alias("tiles"))
+    return with_cells(px, size, stride).join(cells.hint("merge"), [*by, "_cr", "_cc"]).drop("_cr", "_cc")
+
+
 def pixels_of_tiles(px: DataFrame, tiles: DataFrame, by: list[str], size: int, stride: int) -> DataFrame:
     """The pixels of the given tiles, one row per (tile, pixel) with the tile's columns.
 
@@ -296,7 +321,11 @@ def band_statistics(px: DataFrame, tiles: DataFrame, bands: list[str], by: list[
     powers = {(b, k): off[b] if k == 1 else off[b] * off[b] for b in bands for k in (1, 2)}
     cells = (with_cells(px.where("usable").select(*by, "row", "col", *bands), size, step).groupBy(*by, "_cr", "_cc")
              .agg(F.count_if(known).alias("_px"), *[F.sum(v).alias(f"_{k}_{b}") for (b, k), v in powers.items()]))
-    seen = cells.join(tile_cover(chosen, by, size, step), [*by, "_cr", "_cc"])
+    return _moments(cells.join(tile_cover(chosen, by, size, step), [*by, "_cr", "_cc"]), chosen, bands, floor)
+
+
+def _moments(seen: DataFrame, tiles: DataFrame, bands: list[str], floor: float) -> DataFrame:
+    """Mean and deviation per band of rows with ``cover``, ``_px`` and the two sums of every band."""
     n = F.nullif(F.sum(F.col("cover") * F.col("_px")), F.lit(0))
     def moment(b, k):
         return F.sum(F.col("cover") * F.col(f"_{k}_{b}")) / n
@@ -305,7 +334,7 @@ def band_statistics(px: DataFrame, tiles: DataFrame, bands: list[str], by: list[
     rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(b).alias("band"), F.col(f"m_{b}").alias("mean"),
                               F.col(f"s_{b}").alias("std")) for i, b in enumerate(bands)])
     # A store without tiles has no statistics; tiles without usable pixels are an error.
-    out = with_scalar(stats, chosen.agg(F.count(F.lit(1)).alias("_tiles"))).where((F.col("usable_px") > 0) | (F.col("_tiles") > 0))
+    out = with_scalar(stats, tiles.agg(F.count(F.lit(1)).alias("_tiles"))).where((F.col("usable_px") > 0) | (F.col("_tiles") > 0))
     out = out.select("usable_px", F.inline(rows))
     empty = F.raise_error(F.lit("the tiles hold no usable pixels"))
     return out.select("position", "band",
@@ -313,6 +342,16 @@ def band_statistics(px: DataFrame, tiles: DataFrame, bands: list[str], by: list[
                       F.round(F.greatest(F.col("std"), F.lit(floor)), 6).alias("std"), "usable_px")
 
 
+def statistics_of_distinct(seen: DataFrame, tiles: DataFrame, bands: list[str], floor: float = 1e-4) -> DataFrame:
+    """:func:`band_statistics` of the ``tiles`` from the rows of :func:`split_pixels` that lie in them."""
+    ok = F.col("usable") & P.known(*[F.col(b) for b in bands])
+    off = {b: F.col(b).cast("double") - 0.25 for b in bands}
+    sums = seen.where(ok).select(F.col("n").alias("cover"), F.lit(1).alias("_px"),
+                                 *[v.alias(f"_1_{b}") for b, v in off.items()],
+                                 *[(v * v).alias(f"_2_{b}") for b, v in off.items()])
+    return _moments(sums, tiles, bands, floor)
+
+
 def channel_statistics(px: DataFrame, bands: list[str], floor: float = 1e-3) -> DataFrame:
     """Per-channel moments over each channel's own finite values; an empty channel gives (0, 1)."""
     stats = px.agg(*[F.avg(b).alias(f"m_{b}") for b in bands], *[F.stddev_pop(b).alias(f"s_{b}") for b in bands])

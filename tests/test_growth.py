@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from harness import bindings as B
 from harness import q_annotate as Q
 from marshgrid.operators import classify as K
+from marshgrid.operators import metrics as M
 from marshgrid.operators import tiles as T
 
 #: Bytecodes of a method from which on the JVM interprets it for good.
@@ -79,3 +80,56 @@ def test_statistics_without_a_known_band_fail(spark):
     none = px.withColumn("a", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="no usable pixels"):
         T.band_statistics(none, tl, BANDS, ["scene"], 8, 4).collect()
+
+
+def test_training_reads_the_pixels_once(spark):
+    """Counts, statistics and weights of a split from one table of its different pixels, by brute force."""
+    (rows, px), (at, tl) = pixels(spark), tiles(spark)
+    named = [(*t, "train" if t[1] < 8 else "test") for t in at]
+    split = spark.createDataFrame(named, "scene int, top int, left int, split string")
+    seen = T.split_pixels(px, split, BANDS, ["scene"], 8, 4)
+    want = Counter()
+    for s, r, c, label, trainable, usable, a, b in rows:
+        for name in ("train", "test"):
+            n = covers([t[:3] for t in named if t[3] == name], s, r, c)
+            if n:
+                want[(name, label, usable, trainable, a, b)] += n
+    got = {tuple(x[k] for k in ("split", "label", "usable", "trainable", *BANDS)): x["n"] for x in seen.collect()}
+    assert got == dict(want)
+    train = split.where("split = 'train'")
+    part = seen.where("split = 'train'")
+    assert sorted(T.statistics_of_distinct(part, train, BANDS).collect()) == sorted(
+        T.band_statistics(px, train, BANDS, ["scene"], 8, 4).collect())
+
+
+def test_predictions_are_those_of_the_fitted_model(spark):
+    data = Q.training_data(spark, "/root/testdata/sf0.01")
+    model = Q.fit(data, Q.BANDS)
+    values = spark.range(500).select("id", *[(F.rand(i) * 0.6).alias(b) for i, b in enumerate(Q.BANDS)])
+    scaled = T.standardise_bands(values, model.band_statistics, Q.BANDS)
+    want = {x["id"]: int(x["prediction"]) for x in model.pipeline.transform(scaled).select("id", "prediction").collect()}
+    got = {x["id"]: x["prediction"] for x in K.predict_pixels(model, values, Q.BANDS).collect()}
+    assert got == want and len(set(got.values())) > 1
+    broken = values.withColumn(Q.BANDS[0], F.lit(float("nan")))
+    with pytest.raises(Exception, match="not a number"):
+        K.predict_pixels(model, broken, Q.BANDS).collect()
+    # Every split and score of both arms comes from the table of different pixels.
+    assert {x["support_px"] > 0 for x in K.evaluate(model, data[2], "test").collect()} == {True}
+
+
+def test_tile_agreement_of_counts(spark):
+    rows = [("a", 0, 0), ("a", 0, 1), ("a", 1, 1), ("a", 1, None), ("b", 2, 3), ("b", -1, 2)]
+    one = spark.createDataFrame(rows, "key string, target int, prediction int")
+    counts = one.groupBy("key", "target", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    got = sorted(map(tuple, M.tile_agreement(counts, ["key"], "n").collect()))
+    assert got == sorted(map(tuple, M.tile_agreement(one, ["key"]).collect())) == [("a", 4, 0.6667), ("b", 1, 0.0)]
+
+
+def test_pixels_meet_their_tiles_before_prediction(spark, sf):
+    (rows, px), (at, tl) = pixels(spark), tiles(spark)
+    got = {(x["scene"], x["row"], x["col"]): sorted(tuple(t) for t in x["tiles"])
+           for x in T.tiles_over_pixels(px, tl, ["scene"], 8, 4).collect()}
+    want = {(s, r, c): sorted((t, x) for z, t, x in at if covers([(z, t, x)], s, r, c)) for s, r, c, *_ in rows}
+    assert got == {k: v for k, v in want.items() if v}
+    keyed = Q.footprints(spark, sf).select("scene", "top", "left", "key")
+    assert code_size(T.tiles_over_pixels(B.px_obs(spark, sf), keyed, ["scene"], Q.SIZE, Q.STRIDE)) < HUGE
