@@ -258,9 +258,12 @@ def a8(spark, sf):
     return out.select("key", "feature_pos", "class_code", F.size(F.get("rings", F.lit(0))).alias("vertices"))
 
 
+def drawn(spark, sf):
+    return A.parse_annotations(label_documents(spark, sf)).withColumns({"height": F.lit(16), "width": F.lit(16)})
+
+
 def burnt(spark, sf):
-    poly = A.parse_annotations(label_documents(spark, sf)).withColumns({"height": F.lit(16), "width": F.lit(16)})
-    return A.rasterize_polygons(poly)
+    return A.rasterize_polygons(drawn(spark, sf))
 
 
 @query("c7_rasterize_polygons", """WITH o AS (SELECT o_orderkey AS key, o_orderkey % 10 AS x, o_orderkey % 7 AS y, o_orderkey % 3 AS c0,
@@ -279,7 +282,7 @@ def a8_read(spark, sf):
     keys = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"))
     chips = keys.withColumns({"height": F.lit(16), "width": F.lit(16)})
     raster = keys.where(F.col("key") % 4 == 0).withColumns({"row": F.lit(0), "col": F.lit(0), "class_code": F.lit(200)})
-    out = A.read_annotations(raster, burnt(spark, sf), chips)
+    out = A.read_annotations(raster, None, chips, polygons=drawn(spark, sf))
     per = out.groupBy("key").agg((F.max("class_code") == 200).alias("raster"))
     return per.groupBy(F.when(F.col("raster"), "raster").otherwise("polygon").alias("source")).agg(F.count(F.lit(1)).alias("tiles"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +113,9 @@ def rasterize_polygons(polygons: DataFrame, key: str = "key") -> DataFrame:
     """Burn polygons onto pixel centres, later features over earlier ones.
 
     Rings are in pixel units.  Each polygon is cut into pixel rows; a row's edge
-    crossings, sorted, bound the covered runs of columns.  Only covered pixels are
-    ever produced, so the work follows the burnt ground and not polygons x pixels.
+    crossings, sorted, bound the covered runs of columns.  The runs of one pixel row of one
+    tile meet, and only what they cover is ever produced, each pixel once: the work follows the
+    burnt ground and not polygons x pixels, and no pixel is held or exchanged.
     Holes come out by the even-odd rule.
     """
     edges = F.flatten(F.transform("rings", lambda ring: F.zip_with(
@@ -130,20 +133,30 @@ def rasterize_polygons(polygons: DataFrame, key: str = "key") -> DataFrame:
     runs = crossed.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1)))
     c0 = F.greatest(F.lit(0), F.ceil(F.get("xs", F.col("k") * 2) - 0.5).cast("int"))
     c1 = F.least(F.col("width") - 1, F.ceil(F.get("xs", F.col("k") * 2 + 1) - 0.5).cast("int") - 1)
-    px = runs.withColumn("col", F.explode(F.when(c1 >= c0, F.sequence(c0, c1))))
     # position * 256 + code keeps the overwrite a plain numeric maximum; a code that does not
     # fit a byte would spill into the position.
     code = F.when(F.col("class_code").between(0, 255), F.col("class_code")).when(F.col("class_code").isNotNull(), F.raise_error(
         F.concat(F.lit("class code outside 0..255: "), F.col("class_code").cast("string"))).cast("int"))
-    top = F.max(F.col("feature_pos").cast("long") * 256 + code).alias("_m")
-    return px.groupBy(key, "row", "col").agg(top).select(
-        key, "row", "col", F.pmod("_m", F.lit(256)).cast("int").alias("class_code"))
+    placed = runs.select(key, "row", (F.col("feature_pos").cast("long") * 256 + code).alias("m"),
+                         c0.alias("c0"), c1.alias("c1")).where(F.col("c1") >= F.col("c0"))
+    lines = placed.groupBy(key, "row").agg(F.collect_list(F.struct("m", "c0", "c1")).alias("runs"))
+    # A line is cut where runs begin and end; between two cuts the greatest run over the first column wins.
+    cuts = F.array_sort(F.array_distinct(F.concat(F.col("runs.c0"), F.transform("runs", lambda r: r["c1"] + 1))))
+    cut = lines.withColumn("cuts", cuts).select(key, "row", "runs", F.explode(
+        F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("from"),
+                     F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("to"))).alias("s"))
+    over = F.filter("runs", lambda r: (r["c0"] <= F.col("s.from")) & (F.col("s.from") <= r["c1"]))
+    won = cut.select(key, "row", "s", over.alias("over")).where(F.size("over") > 0).select(
+        key, "row", "s", F.pmod(F.array_max("over.m"), F.lit(256)).cast("int").alias("class_code"))
+    return won.select(key, "row", F.explode(F.sequence(F.col("s.from"), F.col("s.to") - 1)).alias("col"), "class_code")
 
 
 def read_annotations(raster_labels: DataFrame | None, burnt: DataFrame | None, chips: DataFrame,
-                     key: str = "key") -> DataFrame:
+                     key: str = "key", polygons: DataFrame | None = None) -> DataFrame:
     """Human labels per pixel: the raster table where a tile has one, else its polygons.
 
+    Give the polygons burnt, or as ``polygons`` in pixel units: then those of raster tiles are dropped
+    before they become pixels.
     A raster label off the chip grid is an error.  Unlabelled tiles have no rows.
     """
     parts = []
@@ -152,13 +165,15 @@ def read_annotations(raster_labels: DataFrame | None, burnt: DataFrame | None, c
         inside = (F.col("row") >= 0) & (F.col("row") < F.col("height")) & (F.col("col") >= 0) & (F.col("col") < F.col("width"))
         parts.append(on_grid.select(key, "row", "col", F.when(inside, F.col("class_code")).otherwise(
             F.raise_error(F.lit("raster labels are not on the chip grid")).cast("int")).alias("class_code")))
-    if burnt is not None:
-        rest = burnt if raster_labels is None else burnt.join(
+    for drawn, burn in ((burnt, lambda df: df), (polygons, lambda df: rasterize_polygons(df, key))):
+        if drawn is None:
+            continue
+        rest = drawn if raster_labels is None else drawn.join(
             raster_labels.select(key).distinct(), key, "left_anti")
-        parts.append(rest.select(key, "row", "col", "class_code"))
+        parts.append(burn(rest).select(key, "row", "col", "class_code"))
     if not parts:
         raise ValueError("no annotation source given")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def join_predictions(predictions: DataFrame, labels: DataFrame, tile: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import random
 import re
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from harness import bindings as B
 from harness import q_annotate as Q
+from marshgrid.operators import annotate as A
 from marshgrid.operators import classify as K
 from marshgrid.operators import metrics as M
 from marshgrid.operators import tiles as T
@@ -133,3 +135,26 @@ def test_pixels_meet_their_tiles_before_prediction(spark, sf):
     assert got == {k: v for k, v in want.items() if v}
     keyed = Q.footprints(spark, sf).select("scene", "top", "left", "key")
     assert code_size(T.tiles_over_pixels(B.px_obs(spark, sf), keyed, ["scene"], Q.SIZE, Q.STRIDE)) < HUGE
+
+
+def test_burnt_runs_by_brute_force(spark):
+    """Overlapping boxes, a null class and a raster tile; no pixel is held by an aggregate."""
+    rng = random.Random(5)
+    boxes = [(k, f, rng.choice([0, 1, 3]), x, y, x + rng.randrange(1, 9), y + rng.randrange(1, 9))
+             for k in range(6) for f in range(7) for x, y in [(rng.randrange(-3, 14), rng.randrange(-3, 14))]]
+    rows = [(k, f, code, [[(float(x), float(y)) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]], 16, 16)
+            for k, f, code, x0, y0, x1, y1 in boxes]
+    poly = spark.createDataFrame(rows, "key int, feature_pos int, class_code int, "
+                                       "rings array<array<struct<x:double,y:double>>>, height int, width int")
+    want = {}
+    for k, f, code, x0, y0, x1, y1 in boxes:
+        want.update({(k, r, c): code for r in range(max(y0, 0), min(y1, 16)) for c in range(max(x0, 0), min(x1, 16))})
+    out = A.rasterize_polygons(poly)
+    got = [((x["key"], x["row"], x["col"]), x["class_code"]) for x in out.collect()]
+    assert dict(got) == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [" in line and "col#" in line.split("],")[0] for line in plan.splitlines())
+    raster = spark.createDataFrame([(2, 0, 0, 200)], "key int, row int, col int, class_code int")
+    chips = spark.range(6).selectExpr("cast(id as int) as key", "16 as height", "16 as width")
+    read = {tuple(x) for x in A.read_annotations(raster, None, chips, polygons=poly).collect()}
+    assert read == {(*k, v) for k, v in want.items() if k[0] != 2} | {(2, 0, 0, 200)}
