@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marshgrid import contract as C
 from marshgrid.functions import geo as G
 from marshgrid.operators.scale import rank_within, with_scalar
 
 STRATEGIES = ["uncertainty", "reed", "random"]
+#: Pixel rows of a tile that are burnt together, pixels burnt at a time and pixels of a batch that goes back.
+STRIP, CANVAS, PIXELS_OUT = 16, 1 << 22, 1 << 17
+#: Place of a run without a class, below that of every feature; place of a pixel that no run covers.
+UNCLASSED, UNCOVERED = -(1 << 62), -(1 << 63)
 
 
 def annotation_scores(tallies: DataFrame, strategy: str = "uncertainty", seed: int = 0,
@@ -57,7 +66,7 @@ def annotation_topk(tallies: DataFrame, order: list[str], limit: int = 20, min_s
 
 # --- reading labels back -----------------------------------------------------------
 
-FEATURE = "type string, properties map<string,string>, geometry string"
+FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
 
 
 def parse_annotations(documents: DataFrame, key: str = "key", document: str = "document") -> DataFrame:
@@ -66,13 +75,12 @@ def parse_annotations(documents: DataFrame, key: str = "key", document: str = "d
     Columns: key, feature_pos, class_code, rings.  A feature without a class is an
     error; documents without geometry give no rows, which reads as "not yet".
     """
-    features = F.from_json(F.get_json_object(document, "$.features"), f"array<struct<{_struct(FEATURE)}>>")
+    features = F.from_json(F.get_json_object(document, "$.features"), f"array<{FEATURE}>")
     rows = documents.select(key, F.posexplode(features).alias("feature_pos", "f"))
     code = class_of(F.col("f.properties"))
     checked = F.when(code.isNotNull(), code).otherwise(
         F.raise_error(F.concat(F.lit("a feature has no class in "), F.col(key).cast("string"))).cast("int"))
-    kind = F.get_json_object("f.geometry", "$.type")
-    coords = F.get_json_object("f.geometry", "$.coordinates")
+    kind, coords = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     single = F.array(F.from_json(coords, "array<array<array<double>>>"))
     many = F.from_json(coords, "array<array<array<array<double>>>>")
     polygons = F.when(kind == "Polygon", single).when(kind == "MultiPolygon", many)
@@ -83,10 +91,6 @@ def parse_annotations(documents: DataFrame, key: str = "key", document: str = "d
     return parts.select(key, "feature_pos", "class_code", rings.alias("rings"))
 
 
-def _struct(ddl: str) -> str:
-    return ",".join(f"{part.split(' ', 1)[0]}:{part.split(' ', 1)[1]}" for part in ddl.split(", "))
-
-
 def class_of(props: Column) -> Column:
     """Class from ``class_code``, else ``class_name``, else ``class`` (a name or a code)."""
     names = F.create_map(*[F.lit(v) for i, n in enumerate(C.CLASS_NAMES) for v in (n, i)])
@@ -112,43 +116,102 @@ def polygons_to_pixels(polygons: DataFrame, chips: DataFrame, key: str = "key")
 def rasterize_polygons(polygons: DataFrame, key: str = "key") -> DataFrame:
     """Burn polygons onto pixel centres, later features over earlier ones.
 
-    Rings are in pixel units.  Each polygon is cut into pixel rows; a row's edge
-    crossings, sorted, bound the covered runs of columns.  The runs of one pixel row of one
-    tile meet, and only what they cover is ever produced, each pixel once: the work follows the
-    burnt ground and not polygons x pixels, and no pixel is held or exchanged.
+    Rings are in pixel units.  The edges of all polygons that cross a strip of ``STRIP`` pixel rows of
+    one tile meet; strips are burnt by scan line, many at a time (:func:`burn_strips`).  Only covered
+    pixels are produced, each once, and none is exchanged; a group holds the edges of one strip.
     Holes come out by the even-odd rule.
     """
-    edges = F.flatten(F.transform("rings", lambda ring: F.zip_with(
-        ring, G.next_points(ring), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))))
-    src = polygons.select(key, "feature_pos", "class_code", "height", "width", edges.alias("edges"))
-    ys = F.transform("edges", lambda e: e["y0"])
-    first = F.greatest(F.lit(0), F.ceil(F.array_min(ys) - 0.5).cast("int"))
-    last = F.least(F.col("height") - 1, F.floor(F.array_max(ys) - 0.5).cast("int"))
-    rows = src.where(F.size("edges") > 0).withColumn(
-        "row", F.explode(F.when(last >= first, F.sequence(first, last))))
-    yc = F.col("row") + F.lit(0.5)
-    hit = F.filter("edges", lambda e: ((e["y0"] <= yc) & (yc < e["y1"])) | ((e["y1"] <= yc) & (yc < e["y0"])))
-    xs = F.array_sort(F.transform(hit, lambda e: e["x0"] + (yc - e["y0"]) / (e["y1"] - e["y0"]) * (e["x1"] - e["x0"])))
-    crossed = rows.select(key, "feature_pos", "class_code", "width", "row", xs.alias("xs")).where(F.size("xs") >= 2)
-    runs = crossed.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1)))
-    c0 = F.greatest(F.lit(0), F.ceil(F.get("xs", F.col("k") * 2) - 0.5).cast("int"))
-    c1 = F.least(F.col("width") - 1, F.ceil(F.get("xs", F.col("k") * 2 + 1) - 0.5).cast("int") - 1)
+    edges = F.filter(F.flatten(F.transform("rings", lambda ring: F.zip_with(
+        ring, G.next_points(ring), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"))))),
+        lambda e: e["y0"] != e["y1"])
     # position * 256 + code keeps the overwrite a plain numeric maximum; a code that does not
     # fit a byte would spill into the position.
     code = F.when(F.col("class_code").between(0, 255), F.col("class_code")).when(F.col("class_code").isNotNull(), F.raise_error(
         F.concat(F.lit("class code outside 0..255: "), F.col("class_code").cast("string"))).cast("int"))
-    placed = runs.select(key, "row", (F.col("feature_pos").cast("long") * 256 + code).alias("m"),
-                         c0.alias("c0"), c1.alias("c1")).where(F.col("c1") >= F.col("c0"))
-    lines = placed.groupBy(key, "row").agg(F.collect_list(F.struct("m", "c0", "c1")).alias("runs"))
-    # A line is cut where runs begin and end; between two cuts the greatest run over the first column wins.
-    cuts = F.array_sort(F.array_distinct(F.concat(F.col("runs.c0"), F.transform("runs", lambda r: r["c1"] + 1))))
-    cut = lines.withColumn("cuts", cuts).select(key, "row", "runs", F.explode(
-        F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("from"),
-                     F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("to"))).alias("s"))
-    over = F.filter("runs", lambda r: (r["c0"] <= F.col("s.from")) & (F.col("s.from") <= r["c1"]))
-    won = cut.select(key, "row", "s", over.alias("over")).where(F.size("over") > 0).select(
-        key, "row", "s", F.pmod(F.array_max("over.m"), F.lit(256)).cast("int").alias("class_code"))
-    return won.select(key, "row", F.explode(F.sequence(F.col("s.from"), F.col("s.to") - 1)).alias("col"), "class_code")
+    m = F.coalesce(F.col("feature_pos").cast("long") * 256 + code, F.lit(UNCLASSED))
+    # A generator evaluates its argument once; a column that a filter reads would be spelt out again.
+    sides = [F.coalesce(n, F.lit((1 << 31) - 1)).alias(n) for n in ("height", "width")]
+    src = polygons.select(key, m.alias("m"), *sides, F.explode(F.array(edges)).alias("edges"))
+    ys = F.concat(F.col("edges.y0"), F.col("edges.y1"))
+    first = F.greatest(F.lit(0), F.ceil(F.array_min(ys) - 0.5).cast("int"))
+    last = F.least(F.col("height") - 1, F.floor(F.array_max(ys) - 0.5).cast("int"))
+    strips = F.when(last >= first, F.sequence(F.floor(first / STRIP).cast("int"), F.floor(last / STRIP).cast("int")))
+    cut = src.where(F.size("edges") > 0).select(key, "m", "height", "width", "edges", F.explode(strips).alias("strip"))
+    top = F.col("strip") * STRIP
+    inside = F.filter("edges", lambda e: (F.greatest(e["y0"], e["y1"]) > top) & (F.least(e["y0"], e["y1"]) < top + STRIP))
+    met = cut.groupBy(key, "strip").agg(F.collect_list(F.struct("m", "height", "width", inside.alias("edges"))).alias("polygons"))
+    schema = T.StructType([polygons.schema[key], *[T.StructField(n, T.IntegerType()) for n in ("row", "col", "class_code")]])
+    return met.mapInArrow(burn_strips, schema)
+
+
+def burn_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, strip, polygons) to (key, row, col, class_code), at most about ``CANVAS`` pixels at a time."""
+    for batch in batches:
+        widest = pc.max(batch.column(2).flatten().field("width")).as_py() or 1
+        step = max(1, CANVAS // (STRIP * max(widest, 1)))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            tile, row, col, m = _burn(part.column(1).to_numpy(), part.column(2))
+            for i in range(0, len(m), PIXELS_OUT):
+                s = slice(i, i + PIXELS_OUT)
+                columns = [part.column(0).take(pa.array(tile[s])), *[pa.array(v[s].astype(np.int32)) for v in (row, col)],
+                           pa.array((m[s] & 255).astype(np.int32), mask=m[s] == UNCLASSED)]
+                yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], "row", "col", "class_code"])
+
+
+def _places(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts ``n``: the item of every repetition, and its place among those of the item."""
+    item = np.repeat(np.arange(len(n)), n)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _burn(strip: np.ndarray, polygons: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Pixels of strips as (place of the strip, row, col, greatest m over the pixel)."""
+    group, _ = _places(np.diff(polygons.offsets.to_numpy()))
+    poly = polygons.flatten()
+    m, height, width = (poly.field(n).to_numpy() for n in ("m", "height", "width"))
+    lists = poly.field("edges")
+    owner, _ = _places(np.diff(lists.offsets.to_numpy()))
+    x0, y0, x1, y1 = (lists.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("x0", "y0", "x1", "y1"))
+    # The rows whose centre an edge crosses.
+    top = strip[group].astype(np.int64) * STRIP
+    lo = np.maximum(np.ceil(np.minimum(y0, y1) - 0.5), top[owner])
+    hi = np.minimum(np.ceil(np.maximum(y0, y1) - 0.5) - 1, np.minimum(top + STRIP, height)[owner] - 1)
+    e, k = _places(np.maximum(hi - lo + 1, 0).astype(np.int64))
+    row = lo[e].astype(np.int64) + k
+    x = x0[e] + (row + 0.5 - y0[e]) / (y1 - y0)[e] * (x1 - x0)[e]
+    line = owner[e] * STRIP + row % STRIP
+    order = np.lexsort((x, line))
+    x, line = x[order], line[order]
+    # Crossings of one line of one polygon, sorted, bound its runs two by two.
+    start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]][:len(line)])
+    _, rank = _places(np.diff(np.r_[start, len(line)]))
+    a = np.flatnonzero((rank[:-1] % 2 == 0) & (line[1:] == line[:-1]))
+    p = line[a] // STRIP
+    c0 = np.fmax(0, np.ceil(x[a] - 0.5))
+    c1 = np.fmin(width[p] - 1, np.ceil(x[a + 1] - 0.5) - 1)
+    # Later features are painted later, so that they stay.
+    some = np.flatnonzero(c1 >= c0)
+    some = some[np.argsort(m[p[some]], kind="stable")]
+    p, c0, c1, at = p[some], c0[some].astype(np.int64), c1[some].astype(np.int64), line[a][some] % STRIP
+    at += group[p] * STRIP
+    left = np.full(len(strip) * STRIP, np.iinfo(np.int64).max)
+    right = np.full(len(strip) * STRIP, -1)
+    np.minimum.at(left, at, c0)
+    np.maximum.at(right, at, c1)
+    size = np.where(right >= 0, right - left + 1, 0)
+    begin = np.cumsum(size) - size
+    canvas = np.full(int(size.sum()), UNCOVERED)
+    length = c1 - c0 + 1
+    block = np.cumsum(length) // CANVAS
+    for b in np.unique(block):
+        s = slice(*np.searchsorted(block, [b, b + 1]))
+        run, k = _places(length[s])
+        canvas[(begin[at[s]] + c0[s] - left[at[s]])[run] + k] = m[p[s]][run]
+    lines, k = _places(size)
+    px = np.flatnonzero(canvas != UNCOVERED)
+    lines, k = lines[px], k[px]
+    return lines // STRIP, strip[lines // STRIP] * STRIP + lines % STRIP, left[lines] + k, canvas[px]
 
 
 def read_annotations(raster_labels: DataFrame | None, burnt: DataFrame | None, chips: DataFrame,

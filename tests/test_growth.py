@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,58 @@ def test_burnt_runs_by_brute_force(spark):
     chips = spark.range(6).selectExpr("cast(id as int) as key", "16 as height", "16 as width")
     read = {tuple(x) for x in A.read_annotations(raster, None, chips, polygons=poly).collect()}
     assert read == {(*k, v) for k, v in want.items() if k[0] != 2} | {(2, 0, 0, 200)}
+
+
+def test_strips_by_brute_force(spark, monkeypatch):
+    """Holes, parts and null classes over several strips; edges meet by strip, and few pixels are burnt at a time."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(12):
+        for f in range(5):
+            rings = [[(rng.uniform(-6, 46), rng.uniform(-6, 46)) for _ in range(rng.randrange(3, 7))] for _ in range(rng.randrange(1, 3))]
+            rows.append((f"t{k}", f, rng.choice([0, 1, 3, None]), rings, 40, 37))
+    poly = spark.createDataFrame(rows, "key string, feature_pos int, class_code int, "
+                                       "rings array<array<struct<x:double,y:double>>>, height int, width int")
+    want = {}
+    for unclassed in (True, False):
+        for key, f, code, rings, h, w in rows:
+            for r in range(h):
+                y, xs = r + 0.5, []
+                for ring in rings:
+                    for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+                        if y0 <= y < y1 or y1 <= y < y0:
+                            xs.append(x0 + (y - y0) / (y1 - y0) * (x1 - x0))
+                xs.sort()
+                if (code is None) == unclassed:
+                    want.update({(key, r, c): code for c in range(w)
+                                 for a, b in zip(xs[::2], xs[1::2]) if a <= c + 0.5 < b})
+    out = A.rasterize_polygons(poly)
+    got = [((x["key"], x["row"], x["col"]), x["class_code"]) for x in out.collect()]
+    assert dict(got) == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [" in line and "row#" in line.split("],")[0] for line in plan.splitlines())
+    with monkeypatch.context() as small:
+        small.setattr(A, "CANVAS", 1000)
+        small.setattr(A, "PIXELS_OUT", 300)
+        strips = {}
+        for key, f, code, rings, h, w in rows:
+            edges = [dict(x0=a[0], y0=a[1], x1=b[0], y1=b[1]) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])]
+            for s in range(3):
+                m = A.UNCLASSED if code is None else f * 256 + code
+                strips.setdefault((key, s), []).append(dict(m=m, height=h, width=w, edges=edges))
+        batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in strips]), pa.array([s for _, s in strips], pa.int32()),
+                                            pa.array(list(strips.values()))], names=["key", "strip", "polygons"])
+        parts = [x for part in A.burn_strips([batch]) for x in part.to_pylist()]
+    assert {(x["key"], x["row"], x["col"]): x["class_code"] for x in parts} == want and len(parts) == len(want)
+
+
+def test_odd_geometries_give_no_rows(spark):
+    """Geometries that are not objects are skipped, and those around them are read."""
+    good = '{"properties": {"class": 1}, "geometry": {"type": "%s", "coordinates": %s}}'
+    ring = "[[0, 0], [4, 0], [4, 4.5]]"
+    doc = '{"features": [{"properties": {"class": 1}, "geometry": "abc"}, {"geometry": 7}, {"geometry": null}, %s, %s, %s]}' % (
+        good % ("Polygon", f"[{ring}]"), good % ("MultiPolygon", f"[[{ring}], [{ring}, {ring}]]"), good % ("Point", "[1, 2]"))
+    docs = spark.createDataFrame([("a", doc), ("b", "{}"), ("c", "{broken"), ("d", None)], "key string, document string")
+    got = sorted((x["key"], x["feature_pos"], x["class_code"], len(x["rings"]), x["rings"][0][2]["y"])
+                 for x in A.parse_annotations(docs).collect())
+    assert got == [("a", 3, 1, 1, 4.5), ("a", 4, 1, 1, 4.5), ("a", 4, 1, 2, 4.5)]
