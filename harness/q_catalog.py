@@ -125,7 +125,7 @@ def archive_listing(spark, sf):
         members.append(F.when(~((n == "B12") & (o % 5 == 0)), F.lit(f"p.SAFE/IMG/R{g}m/T36RUV_{n}_{g}m.jp2")))
         members.append(F.lit(f"p.SAFE/IMG/R{g}m/{n}_copy.jp2"))
     members.append(F.lit("p.SAFE/IMG/R20m/SCL_20m.jp2"))
-    rows = B.table(spark, sf, "orders").select(
+    rows = B.spread(spark, B.table(spark, sf, "orders"), "o_orderkey").select(
         o.alias("scene_id"), F.concat(o.cast("string"), F.lit(".zip")).alias("archive"),
         F.posexplode(F.array(*members)).alias("position", "member"))
     # Archives of every fifth order lose their B12 members entirely.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshgrid import contract as C
+from marshgrid.functions import geo as G
 
 STAC_ITEM = """
 id string, collection string, bbox array<double>, geometry struct<type:string,coordinates:string>,
@@ -130,19 +131,29 @@ def resolve_archive_assets(listing: DataFrame, by=("scene_id",)) -> DataFrame:
     """Archive member listings (by..., archive, position, member) to band assets.
 
     The first member in listing order wins per band.  ``missing`` lists required
-    bands not found; :func:`require_assets` turns that into an error.
+    bands not found; :func:`require_assets` turns that into an error.  Members that match meet once, in one
+    row an archive; a listing that is already laid out by ``by`` is not exchanged at all.
     """
     # The contract is eleven rows, so matching is a row-local explode, not a join.
     bands = [(n, int(g)) for n, _, g, _ in C.BANDS] + [(C.MASK_BAND[0], int(C.MASK_BAND[2]))]
-    member = F.col("member")
-    filename = F.element_at(F.split(member, "/"), -1)
-    matches = [F.when(member.endswith(".jp2") & member.contains(f"/R{gsd}m/")
-                      & (filename.contains(f"_{name}_") | filename.startswith(f"{name}_")), F.lit(name))
-               for name, gsd in bands]
-    found = listing.withColumn("band", F.explode(F.array(*matches))).where(F.col("band").isNotNull())
-    first = found.groupBy(*by, "band").agg(
-        F.min_by(F.concat("archive", F.lit("!/"), "member"), F.col("position")).alias("href"))
-    per = first.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("band", "href"))).alias("assets"))
+    names = F.array(*[F.lit(n) for n, _ in bands])
+    member, filename = F.col("member"), F.col("filename")
+    # The explode of one element keeps the file name from being spelt out for every band.
+    images = listing.where(member.endswith(".jp2")).select(
+        *by, "archive", "position", "member", F.explode(F.array(F.substring_index(member, "/", -1))).alias("filename"))
+    matches = [F.when(member.contains(f"/R{gsd}m/") & (filename.contains(f"_{name}_") | filename.startswith(f"{name}_")), F.lit(i))
+               for i, (name, gsd) in enumerate(bands)]
+    found = images.select(*by, "archive", "position", "member", F.explode(F.array(*matches)).alias("band")).where(F.col("band").isNotNull())
+    hits = found.groupBy(*by).agg(F.collect_list(F.struct(
+        "band", F.col("position").isNull().alias("unplaced"), "position", "archive", "member")).alias("hits"))
+
+    def first(h):
+        kept = F.filter(h, lambda x, i: (i == 0) | (x["band"] != F.get(h, i - 1)["band"]))
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(
+            F.get(names, x["band"]).alias("band"), F.concat(x["archive"], F.lit("!/"), x["member"]).alias("href"))))
+
+    # A generator again: the map is read by two columns.
+    per = hits.select(*by, F.explode(F.array(G.let(F.sort_array("hits"), first))).alias("assets"))
     everyone = listing.select(*by).distinct()
     joined = everyone.join(per, list(by), "left").withColumn(
         "assets", F.coalesce("assets", F.create_map().cast("map<string,string>")))

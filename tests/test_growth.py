@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from harness import bindings as B
 from harness import q_annotate as Q
+from marshgrid import contract as C
 from marshgrid.operators import annotate as A
 from marshgrid.operators import classify as K
 from marshgrid.operators import metrics as M
 from marshgrid.operators import tiles as T
+from marshgrid.sources import catalog as S
 
 #: Bytecodes of a method from which on the JVM interprets it for good.
 HUGE = 8000
@@ -214,3 +216,33 @@ def test_odd_geometries_give_no_rows(spark):
     got = sorted((x["key"], x["feature_pos"], x["class_code"], len(x["rings"]), x["rings"][0][2]["y"])
                  for x in A.parse_annotations(docs).collect())
     assert got == [("a", 3, 1, 1, 4.5), ("a", 4, 1, 1, 4.5), ("a", 4, 1, 2, 4.5)]
+
+
+def test_archives_meet_once(spark):
+    """First member of a band in listing order; a listing laid out by archive is not exchanged again."""
+    rng = random.Random(3)
+    names = [n for n, *_ in C.BANDS] + [C.MASK_BAND[0]]
+    gsd = {n: int(g) for n, _, g, _ in C.BANDS} | {C.MASK_BAND[0]: int(C.MASK_BAND[2])}
+    rows = []
+    for k in range(20):
+        members = ["manifest.xml"]
+        for _ in range(rng.randrange(0, 30)):
+            a, b = rng.choice(names), rng.choice(names)
+            members.append(rng.choice(["IMG", "x/IMG"]) + f"/R{rng.choice([10, 20, 60])}m/" + rng.choice(
+                [f"T_{a}_20m.jp2", f"{a}_copy.jp2", f"T_{a}_{b}_x.jp2", f"T{a}.jp2", f"T_{a}_.tif"]))
+        rows += [(k, f"{k}.zip", p, m) for p, m in enumerate(members)]
+    rng.shuffle(rows)
+    listing = spark.createDataFrame(rows, "scene_id int, archive string, position int, member string")
+    want = {}
+    for k, archive, _, m in sorted(rows):
+        file, kept = m.rsplit("/", 1)[-1], want.setdefault(k, {})
+        for n in names:
+            if m.endswith(".jp2") and f"/R{gsd[n]}m/" in m and (f"_{n}_" in file or file.startswith(f"{n}_")):
+                kept.setdefault(n, f"{archive}!/{m}")
+    out = S.resolve_archive_assets(listing).collect()
+    assert {x["scene_id"]: x["assets"] for x in out} == want and len(out) == len(want)
+    assert all(sorted(x["missing"]) == sorted(set(C.BANDS_8) - set(x["assets"])) for x in out)
+    laid = S.resolve_archive_assets(listing.repartition(3, "scene_id"))
+    plan = laid._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange (\w+)\(scene_id#\d+, (\d+)\)", plan)) == {("hashpartitioning", "3")}
+    assert "Exchange" not in re.sub(r"Exchange hashpartitioning\(scene_id#\d+, 3\), REPARTITION_BY_NUM", "", plan)
