@@ -68,6 +68,16 @@ def spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+#: Rows of a task where a step holds what it reads.
+ROWS_A_TASK = 1 << 18
+
+
+def laid_out(spark: SparkSession, df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over as many tasks as their number asks for: a larger table has more tasks, not larger ones."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // ROWS_A_TASK)), *keys)
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run a binding with its tables passed as DataFrames, so no global view is left behind."""
     text = sql
@@ -92,16 +102,32 @@ def px_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored integers per (scene, row, col): the rows of ``PX_OBS`` in integer arithmetic."""
     keys = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"))
+    return _bands(keys.selectExpr("cast(l_orderkey div 120 as int) as row", "cast(l_orderkey % 120 as int) as col",
+                                  "cast(l_linenumber as int) as scene", "pk", "sk"))
+
+
+def _bands(keys: DataFrame) -> DataFrame:
     base = keys.selectExpr(
-        "cast(l_orderkey div 120 as int) as row", "cast(l_orderkey % 120 as int) as col",
-        "cast(l_linenumber as int) as scene", "cast(pk % 7 as int) as arch",
-        "pk * 31 + sk * 17 + l_linenumber * 7 as h", "if(sk % 23 = 0, 0, 1) as seen",
+        "row", "col", "scene", "cast(pk % 7 as int) as arch",
+        "pk * 31 + sk * 17 + scene * 7 as h", "if(sk % 23 = 0, 0, 1) as seen",
         "case when (pk + sk) % 10 = 0 then 9 when (pk + sk) % 10 = 1 then 3 when pk % 7 <= 1 then 6 else 4 end as scl")
     return base.selectExpr("row", "col", "scene", "scl", *[
         f"cast(seen * (array({', '.join(map(str, level))})[arch] * (975 + (h + {phase}) % 51) div 1000) as int) as {b}"
         for b, (level, phase) in LEVELS.items()])
 
 
+def px_samples(spark: SparkSession, sf_dir: str, mask: str = "scl") -> DataFrame:
+    """``px_obs`` as one row per band, laid out by pixel, so that its bands meet without another exchange."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "cast(l_orderkey div 120 as int) as row", "cast(l_orderkey % 120 as int) as col",
+        "cast(l_linenumber as int) as scene", "l_partkey", "l_suppkey")
+    px = _bands(laid_out(spark, rows, "row", "col").groupBy("row", "col", "scene").agg(
+        F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk")))
+    # ``unpivot`` would forget the layout.
+    return px.select("scene", "row", "col", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("band"), F.col(c).alias("dn")) for c, name in [*zip(BANDS5, BANDS5), ("scl", mask)]])))
+
+
 def scene_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SCENE_DIM).withColumnRenamed("acq_day", "acquired")
 

@@ -175,17 +175,13 @@ def d5(spark, sf):
 
 @query("c1_assemble_bands", f"WITH {S.PX} SELECT {PIX}, {', '.join(BANDS)}, scl FROM px")
 def c1(spark, sf):
-    px = B.px_obs(spark, sf)
-    samples = px.unpivot(["scene", "row", "col"], [*BANDS, "scl"], "band", "dn")
-    return R.assemble_bands(samples, [*BANDS, "scl"])
+    return R.assemble_bands(B.px_samples(spark, sf), [*BANDS, "scl"])
 
 
 @query("a5_scan_observations", f"""WITH {S.MASKED} SELECT {PIX}, valid, {', '.join(
     f'CASE WHEN valid THEN d{b[1:]} END AS {b}' for b in BANDS)} FROM m WHERE r >= 20 AND r < 84 AND c >= 10 AND c < 74""")
 def a5(spark, sf):
-    px = B.px_obs(spark, sf).withColumnRenamed("scl", "SCL")
-    samples = px.unpivot(["scene", "row", "col"], [*BANDS, "SCL"], "band", "dn")
-    return R.scan_observations(samples, BANDS, (20, 10, 84, 74)).select("row", "col", "scene", "valid", *BANDS)
+    return R.scan_observations(B.px_samples(spark, sf, "SCL"), BANDS, (20, 10, 84, 74)).select("row", "col", "scene", "valid", *BANDS)
 
 
 # --- raster statistics ----------------------------------------------------------

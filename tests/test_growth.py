@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from harness import bindings as B
 from harness import q_annotate as Q
+from harness import q_pixels  # noqa: F401
+from harness.registry import QUERIES
 from marshgrid import contract as C
 from marshgrid.operators import annotate as A
 from marshgrid.operators import classify as K
 from marshgrid.operators import metrics as M
+from marshgrid.operators import raster as R
 from marshgrid.operators import tiles as T
 from marshgrid.sources import catalog as S
 
@@ -246,3 +249,17 @@ def test_archives_meet_once(spark):
     plan = laid._jdf.queryExecution().executedPlan().toString()
     assert set(re.findall(r"Exchange (\w+)\(scene_id#\d+, (\d+)\)", plan)) == {("hashpartitioning", "3")}
     assert "Exchange" not in re.sub(r"Exchange hashpartitioning\(scene_id#\d+, 3\), REPARTITION_BY_NUM", "", plan)
+
+
+def test_bands_meet_by_one_exchange_whose_tasks_follow_the_rows(spark, sf, monkeypatch):
+    bands = [*B.BANDS5, "scl"]
+    want = B.px_obs(spark, sf).select("scene", "row", "col", *bands)
+    monkeypatch.setattr(B, "ROWS_A_TASK", 700)
+    got = R.assemble_bands(B.px_samples(spark, sf), bands)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    rows = B.table(spark, sf, "lineitem").count()
+    plan = QUERIES["c1_assemble_bands"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    tasks = -(-rows // 700)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert re.findall(r"Exchange .*", plan) and all(f", {tasks})" in x for x in re.findall(r"Exchange .*", plan))
+    assert len(re.findall(r"Exchange ", plan)) == 1
