@@ -75,7 +75,9 @@ def parse_annotations(documents: DataFrame, key: str = "key", document: str = "d
     Columns: key, feature_pos, class_code, rings.  A feature without a class is an
     error; documents without geometry give no rows, which reads as "not yet".
     """
-    features = F.from_json(F.get_json_object(document, "$.features"), f"array<{FEATURE}>")
+    # One pass over a document; what that does not read, such as a single feature without brackets, is cut out first.
+    features = F.coalesce(F.from_json(document, f"features array<{FEATURE}>")["features"],
+                          F.from_json(F.get_json_object(document, "$.features"), f"array<{FEATURE}>"))
     rows = documents.select(key, F.posexplode(features).alias("feature_pos", "f"))
     code = class_of(F.col("f.properties"))
     checked = F.when(code.isNotNull(), code).otherwise(

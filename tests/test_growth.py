@@ -215,10 +215,12 @@ def test_odd_geometries_give_no_rows(spark):
     ring = "[[0, 0], [4, 0], [4, 4.5]]"
     doc = '{"features": [{"properties": {"class": 1}, "geometry": "abc"}, {"geometry": 7}, {"geometry": null}, %s, %s, %s]}' % (
         good % ("Polygon", f"[{ring}]"), good % ("MultiPolygon", f"[[{ring}], [{ring}, {ring}]]"), good % ("Point", "[1, 2]"))
-    docs = spark.createDataFrame([("a", doc), ("b", "{}"), ("c", "{broken"), ("d", None)], "key string, document string")
+    docs = spark.createDataFrame([("a", doc), ("b", "{}"), ("c", "{broken"), ("d", None),
+                                  ("e", '{"features": %s}' % (good % ("Polygon", f"[{ring}]"))),
+                                  ("f", '{"features": [%s], "features": []}' % (good % ("Polygon", f"[{ring}]")))], "key string, document string")
     got = sorted((x["key"], x["feature_pos"], x["class_code"], len(x["rings"]), x["rings"][0][2]["y"])
                  for x in A.parse_annotations(docs).collect())
-    assert got == [("a", 3, 1, 1, 4.5), ("a", 4, 1, 1, 4.5), ("a", 4, 1, 2, 4.5)]
+    assert got == [("a", 3, 1, 1, 4.5), ("a", 4, 1, 1, 4.5), ("a", 4, 1, 2, 4.5), ("e", 0, 1, 1, 4.5)]
 
 
 def test_archives_meet_once(spark):
