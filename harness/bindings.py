@@ -136,7 +136,7 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extent of the pixel grid: one row."""
     rows = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey").alias("k"))
     return rows.select((F.floor(F.col("k") / 120.0) + 1).cast("int").alias("height"), F.lit(120).alias("width")) \
-               .withColumn("total_px", (F.col("height") * F.col("width")).cast("long"))
+               .withColumn("total_px", F.col("height").cast("long") * F.col("width"))
 
 
 def px_masked(spark: SparkSession, sf_dir: str) -> DataFrame:

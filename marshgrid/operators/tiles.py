@@ -8,7 +8,7 @@ sent to every tile that covers them.
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marshgrid import contract as C
@@ -447,21 +447,52 @@ def extract_tile(px: DataFrame, top: int, left: int, size: int) -> DataFrame:
     return inside.withColumn("row", F.col("row") - top).withColumn("col", F.col("col") - left)
 
 
+#: Cells of a strip of a tile, unless one row of it has more.
+STRIP_CELLS = 1 << 12
+
+
 def pad_to_tile(tiles: DataFrame, px: DataFrame, by: list[str], size: int, values: list[str], fill=0) -> DataFrame:
     """Dense ``size`` x ``size`` frame per tile; bottom and right filled with ``fill``.
 
-    ``tiles`` is (by..., height, width); an oversize tile is an error.
+    ``tiles`` is (by..., height, width); an oversize tile is an error.  Strips of whole rows of a tile, of
+    ``STRIP_CELLS`` cells, meet their pixels in one exchange.  Empty cells are made only behind it, by the row
+    before them: no row makes more cells than its strip has, as a task holds all that one row makes.
     """
     def side(name):
         return F.when(F.col(name) <= size, F.col(name)).otherwise(
             F.raise_error(F.lit(f"{name} exceeds the tile size {size}")).cast("int"))
-    frame = tiles.select(*by, side("height").alias("height"), side("width").alias("width")) \
-        .withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))) \
-        .withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    dense = frame.join(px.select(*by, "row", "col", *values), [*by, "row", "col"], "left")
+    rows = max(1, STRIP_CELLS // size)
+    sides = F.struct(side("height").alias("height"), side("width").alias("width"))
+    # A strip starts with a row of its own, one cell ahead; it carries the sides of its tile, a list as tiles may repeat.
+    starts = tiles.groupBy(*by).agg(F.collect_list(sides).alias("_sides")) \
+        .withColumn("_strip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((size - 1) // rows).cast("long")))) \
+        .withColumn("_at", F.col("_strip") * (rows * size) - 1)
+    inside = F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1)
+    for b in by:
+        inside = inside & F.col(b).isNotNull()
+    cells = px.where(inside).select(
+        *by, F.floor(F.col("row") / rows).alias("_strip"), (F.col("row").cast("long") * size + F.col("col")).alias("_at"),
+        *values)
+    order = Window.partitionBy(*by, "_strip").orderBy("_at")
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    end = F.least(F.lit(size), (F.col("_strip") + 1) * rows) * size
+    met = starts.unionByName(cells, allowMissingColumns=True).select(
+        *by, *values, "_at", (F.col("_at") + F.col("_sides").isNotNull().cast("int")).alias("_from"),
+        F.greatest("_at", F.coalesce(F.lead("_at").over(order), end) - 1).alias("_to"),
+        F.first("_sides").over(before).alias("_sides"))
+
+    def whole(at):
+        return F.expr(f"cast({at} div {size} as int)")
+    spans = met.where("_from <= _to").select(
+        *by, *values, F.inline("_sides"), "_at", whole("_from").alias("_first"), whole("_to").alias("_last"),
+        F.expr(f"cast(_from % {size} as int)").alias("_left"), F.expr(f"cast(_to % {size} as int)").alias("_right"))
+    dense = spans.withColumn("row", F.explode(F.sequence("_first", "_last"))).withColumn("col", F.explode(F.sequence(
+        F.when(F.col("row") == F.col("_first"), F.col("_left")).otherwise(0),
+        F.when(F.col("row") == F.col("_last"), F.col("_right")).otherwise(size - 1))))
     outside = (F.col("row") >= F.col("height")) | (F.col("col") >= F.col("width"))
-    return dense.select(*by, "height", "width", "row", "col",
-                        *[F.when(outside, F.lit(fill)).otherwise(F.col(v)).alias(v) for v in values])
+    seen = F.col("row").cast("long") * size + F.col("col") == F.col("_at")
+    return dense.select(*[F.col(b).cast(tiles.schema[b].dataType).alias(b) for b in by], "height", "width", "row", "col",
+                        *[F.when(outside, F.lit(fill)).otherwise(F.when(seen, F.col(v))).alias(v) for v in values])
 
 
 def crop_from_padding(padded: DataFrame) -> DataFrame:
